@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from emberline.operators.joins import join_lookup
 from emberline.storage import materialize
 
 HOT_ROWS = 1_000_000
@@ -99,3 +100,13 @@ def trailing_rows(df: DataFrame, keys: list[str], order: str, value: Column, len
     w = Window.partitionBy(*keys, "_chunk").orderBy(order).rowsBetween(-halo, 0)
     return (spread.withColumn(name, F.collect_list(value).over(w))
             .filter(F.col("_chunk") == home).drop("_rn", "_chunk"))
+
+
+def padded_sequences(df: DataFrame, keys: list[str], order: str, value: Column, length: int, zero: Column,
+                     name: str = "sequence", chunk: int = 100_000, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Trailing windows brought to min(``length``, rows of the group) by ``zero`` on the left."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
+    seq = trailing_rows(df, keys, order, value, length, name, chunk, hot_rows)
+    seq = join_lookup(seq, sizes, keys, "_size", hot_rows=hot_rows)
+    pad = F.array_repeat(zero, (F.least(F.lit(length), F.col("_size")) - F.size(name)).cast("int"))
+    return seq.withColumn(name, F.concat(pad, F.col(name))).select(*df.columns, name)

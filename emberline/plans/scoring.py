@@ -53,7 +53,7 @@ def score_zones(routed: DataFrame, out: str, settings: Settings = Settings()) ->
         "ecozone", "thr", "has_clf", "has_reg").collect()}
     with_model = [z for z, r in entries.items() if r["has_clf"] or r["has_reg"]]
     parts = [predict_zone(routed.filter(F.col("ecozone") == z), out, z, entries[z]) for z in sorted(with_model)]
-    rest = routed.filter(~F.col("ecozone").isin(*with_model)) if with_model else routed
+    rest = routed.filter(~F.coalesce(F.col("ecozone").isin(*with_model), F.lit(False))) if with_model else routed
     parts.append(predict_zone(rest, out, -1, {"has_clf": False, "has_reg": False, "thr": 0.5}))
     return reduce(DataFrame.unionByName, parts)
 
