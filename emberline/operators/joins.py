@@ -1,8 +1,6 @@
 """Joins that stay balanced when one key holds a large share of the rows."""
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, functions as F
 
 # A side is broadcast only after counting that it has at most this many rows.
@@ -22,16 +20,17 @@ def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner", rows: i
 
 
 def join_lookup(big: DataFrame, lookup: DataFrame, keys: list[str], weight: str | None = None,
-                how: str = "inner", hot_rows: int = HOT_ROWS) -> DataFrame:
+                how: str = "inner", hot_rows: int = HOT_ROWS, sizes: DataFrame | None = None) -> DataFrame:
     """Join rows to a table that is unique per ``keys``; keys with many rows never meet in one task.
 
     The heaviest keys are found by counting and their few lookup rows are broadcast; all other keys take
-    the shuffle join. ``weight`` names a lookup column that already holds the rows per key.
+    the shuffle join. ``weight`` names a column of ``sizes`` (by default of the lookup) that already
+    holds the rows per key.
     """
     if how not in ("inner", "left"):
         raise ValueError(how)
     if weight:
-        heavy = lookup.select(*keys, F.col(weight).alias("_n"))
+        heavy = (lookup if sizes is None else sizes).select(*keys, F.col(weight).alias("_n"))
     else:
         heavy = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     rows = heavy.filter(F.col("_n") > hot_rows).orderBy(F.desc("_n")).limit(HOT_KEYS).collect()
@@ -44,7 +43,3 @@ def join_lookup(big: DataFrame, lookup: DataFrame, keys: list[str], weight: str
         F.broadcast(lookup.join(hot, keys, "left_semi")), keys, how)
     rest = big.join(hot, keys, "left_anti").join(lookup.join(hot, keys, "left_anti"), keys, how)
     return rest.unionByName(hot_side.select(rest.columns))
-
-
-def all_of(conditions) -> "F.Column":
-    return reduce(lambda a, b: a & b, conditions)

@@ -29,7 +29,8 @@ def score_curve(scored: DataFrame, by: list[str], hot_rows: int = HOT_ROWS) -> D
     """One row per distinct score with running positives and rows, highest score first."""
     g = scored.groupBy(*by, "y_prob").agg(
         F.sum(F.col("y_true").cast("long")).alias("pos"), F.count(F.lit(1)).alias("n"))
-    return running_totals(g, by, [F.desc("y_prob")], {"cum_pos": F.col("pos"), "cum_n": F.col("n")}, hot_rows)
+    return running_totals(g, by, [F.desc("y_prob")], {"cum_pos": F.col("pos"), "cum_n": F.col("n")}, hot_rows,
+                          bound=scored)
 
 
 def class_totals(scored: DataFrame, by: list[str]) -> DataFrame:

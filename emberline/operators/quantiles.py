@@ -20,7 +20,9 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], by: list
     by = by or []
     keys = [*by, "column"]
     counts = value_counts(df, cols, by, "double")
-    run = running_totals(counts, keys, [F.col("value")], {"upto": F.col("n")}, hot_rows)
+    # A column has at most as many values in a group as the group has rows.
+    bound = df.select(*by, F.lit("").alias("column"))
+    run = running_totals(counts, keys, [F.col("value")], {"upto": F.col("n")}, hot_rows, bound)
     sizes = run.groupBy(*keys).agg(F.max("upto").alias("_size"))
     ranked = run.join(sizes, keys) if by else run.join(F.broadcast(sizes), keys)
     picks = []

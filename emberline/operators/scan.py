@@ -14,16 +14,23 @@ from emberline.storage import materialize
 HOT_ROWS = 1_000_000
 
 
-def has_hot_group(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> bool:
-    if not keys:
-        return df.limit(hot_rows + 1).count() > hot_rows
+def group_sizes(df: DataFrame, keys: list[str]) -> tuple[int, int]:
+    """Rows of the largest group and of the whole table; counts are combined before the shuffle."""
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return not sizes.filter(F.col("_n") > hot_rows).select("_n").limit(1).isEmpty()
+    r = sizes.agg(F.max("_n"), F.sum("_n")).first()
+    return r[0] or 0, r[1] or 0
 
 
-def _parts(df: DataFrame, keys: list[str], order: list[Column], hot_rows: int) -> DataFrame:
+def _split_hot(df: DataFrame, keys: list[str], order: list[Column], hot_rows: int, bound: DataFrame | None) -> DataFrame | None:
+    """The table cut into pinned ranges (column ``_part``), or None when every group fits one task.
+
+    ``bound`` may name a cheaper table whose groups are at least as large as those of ``df``.
+    """
+    largest, total = group_sizes(df if bound is None else bound, keys)
+    if largest <= hot_rows:
+        return None
     spark = df.sparkSession
-    wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // hot_rows))
+    wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // hot_rows))
     ranged = df.repartitionByRange(wanted, *[F.col(f"`{k}`") for k in keys], *order)
     return materialize(ranged.withColumn("_part", F.spark_partition_id()), "ranged")
 
@@ -36,12 +43,12 @@ def _same(a: DataFrame, b: DataFrame, names: list[str]):
 
 
 def running_totals(df: DataFrame, keys: list[str], order: list[Column], sums: dict[str, Column],
-                   hot_rows: int = HOT_ROWS) -> DataFrame:
+                   hot_rows: int = HOT_ROWS, bound: DataFrame | None = None) -> DataFrame:
     """Add inclusive running sums per ``keys`` in ``order``; ``order`` must be unique inside a group."""
-    if not has_hot_group(df, keys, hot_rows):
+    parts = _split_hot(df, keys, order, hot_rows, bound)
+    if parts is None:
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns({n: F.sum(c).over(w) for n, c in sums.items()})
-    parts = _parts(df, keys, order, hot_rows)
     w = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = parts.withColumns({n: F.sum(c).over(w) for n, c in sums.items()})
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -64,10 +71,10 @@ def carry_forward(df: DataFrame, order: str, cols: list[str], keys: list[str] |
                   hot_rows: int = HOT_ROWS) -> DataFrame:
     """Replace each NULL by the last non-null value before it; columns are carried on their own."""
     keys = keys or []
-    if not has_hot_group(df, keys, hot_rows):
+    parts = _split_hot(df, keys, [F.col(order)], hot_rows, None)
+    if parts is None:
         w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in cols})
-    parts = _parts(df, keys, [F.col(order)], hot_rows)
     w = Window.partitionBy(*keys, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     local = parts.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in cols})
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -88,7 +95,7 @@ def trailing_rows(df: DataFrame, keys: list[str], order: str, value: Column, len
     the one before it, so no task needs the whole group.
     """
     halo = length - 1
-    if not has_hot_group(df, keys, hot_rows):
+    if group_sizes(df, keys)[0] <= hot_rows:
         w = Window.partitionBy(*keys).orderBy(order).rowsBetween(-halo, 0)
         return df.withColumn(name, F.collect_list(value).over(w))
     chunk = max(chunk, length)

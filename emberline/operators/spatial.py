@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from emberline.functions.columns import great_circle_km, shrink_longitude
 from emberline.operators.components import connected_components
-from emberline.operators.joins import HOT_ROWS, all_of, join_lookup, join_small
+from emberline.operators.joins import HOT_ROWS, join_lookup, join_small
 from emberline.storage import materialize
 
 EARTH_KM = 6371.0
@@ -159,8 +159,8 @@ def point_pairs(unclear: DataFrame, a: DataFrame, b: DataFrame, eps_km: float) -
 
 def fold_points(rows: DataFrame, part: str | None, key: str = "row_id") -> DataFrame:
     p = F.col(part).cast("long") if part else F.lit(0).cast("long")
-    return rows.groupBy(p.alias("part"), "latitude", "longitude").agg(
-        F.count(F.lit(1)).alias("w"), F.min(key).alias("first_row"))
+    return materialize(rows.groupBy(p.alias("part"), "latitude", "longitude").agg(
+        F.count(F.lit(1)).alias("w"), F.min(key).alias("first_row")), "folded")
 
 
 def _eps_grid(eps_km: float) -> tuple[Grid, float]:
@@ -192,10 +192,10 @@ def neighbour_counts(rows: DataFrame, eps_km: float, part: str | None = None, ke
     nodes = node_table(pts, grid)
     whole, unclear = radius_pairs(nodes, nodes, grid, radius)
     counts = _reach_counts(whole, unclear, pts, pts, grid, eps_km)
-    counts = counts.join(pts.select("part", "latitude", "longitude", "w"), ["part", "latitude", "longitude"])
     slim = rows.select(key, (F.col(part).cast("long") if part else F.lit(0).cast("long")).alias("part"),
                        "latitude", "longitude")
-    return join_lookup(slim, counts, ["part", "latitude", "longitude"], "w", hot_rows=hot_rows).select(key, "neighbours")
+    return join_lookup(slim, counts, ["part", "latitude", "longitude"], "w", hot_rows=hot_rows, sizes=pts).select(
+        key, "neighbours")
 
 
 def density_clusters(rows: DataFrame, eps_km: float, min_points: int, part: str | None = None, key: str = "row_id",

@@ -104,13 +104,12 @@ CLEAN_SQL = f"""(select * exclude (NDVI, temperature_2m, fire_intensity, vapor_p
 # Sources, cleaning and scalar features
 # --------------------------------------------------------------------------------------------------------------
 @query("load_clean", f"""select row_id, latitude, longitude, {NDVI_NUM} as NDVI, temperature_2m, relative_humidity,
-  vapor_pressure_deficit, wind_speed, total_precipitation_sum, volumetric_soil_water_layer_1, flat_layer, land_class,
-  fire_detected, fire_intensity, ecozone, year from $samples""")
+  try_cast(vapor_pressure_deficit as double) as vapor_pressure_deficit, wind_speed, total_precipitation_sum, volumetric_soil_water_layer_1, flat_layer, land_class,
+  fire_detected::bigint as fire_detected, fire_intensity, ecozone::bigint as ecozone, year::bigint as year from $samples""")
 def load_clean(spark, sf):
     path = new_path(spark, "samples")
     tables.write_csv(view(spark, sf, "samples"), path)
-    df = clean.clean_brackets(tables.load_samples(spark, path))
-    return df.withColumn("flat_layer", columns.number_or_null(F.col("flat_layer")))
+    return clean.clean_brackets(tables.load_samples(spark, path))
 
 
 @query("predictions_sink", """select row_id, ecozone, y_true, round(y_prob, 6) as fire_prob,
@@ -286,7 +285,7 @@ def map_frame(spark, sf):
 
 @query("sequence_window", """select event_id as row_id, user_id as pixel_id, len(s) as steps, round(s[1], 6) as oldest,
   round(s[len(s)], 6) as newest, round(list_sum(s), 4) as total from (
-  select *, list_concat(list_transform(range(least(7, n) - len(l)), x -> 0.0::double), l) as s from (
+  select *, list_concat(list_transform(range(least(7, n) - len(l)), lambda x: 0.0::double), l) as s from (
     select event_id, user_id, list(value) over (partition by user_id order by event_id rows between 6 preceding and current row) as l,
       count(*) over (partition by user_id) as n from events))""")
 def sequence_window(spark, sf):
@@ -339,11 +338,11 @@ def humidity_vpd(spark, sf):
                     F.round(climate.vapour_pressure_deficit(t, dew), 6).alias("vapor_pressure_deficit"))
 
 
-@query("mean_temperature", """select o_custkey as pixel_id, round((avg(o_totalprice) + avg(o_totalprice / 2)) / 2, 4) as temperature_2m
+@query("mean_temperature", """select o_custkey as pixel_id, round((avg(o_totalprice) + avg(sqrt(o_totalprice))) / 2, 4) as temperature_2m
   from orders group by 1""")
 def mean_temperature(spark, sf):
     o = load(spark, sf, "orders").groupBy(F.col("o_custkey").alias("pixel_id")).agg(
-        F.avg("o_totalprice").alias("hi"), F.avg(F.col("o_totalprice") / 2).alias("lo"))
+        F.avg("o_totalprice").alias("hi"), F.avg(F.sqrt("o_totalprice")).alias("lo"))
     return rounded(o.select("pixel_id", climate.mean_temperature(F.col("hi"), F.col("lo")).alias("temperature_2m")), 4)
 
 
@@ -399,18 +398,18 @@ DAILY_SQL = f"""d as (select pixel_id, obs_date, avg(value) filter (band = 'temp
 
 @query("daily_composite", f"""with {DAILY_SQL} select pixel_id, obs_date, round(temperature_2m, 5) as temperature_2m,
   round(total_precipitation, 5) as total_precipitation, round(soil_moisture, 5) as soil_moisture,
-  round(wind_speed, 5) as wind_speed, round(relative_humidity, 5) as relative_humidity, round(NDVI, 6) as NDVI,
+  round(wind_speed, 5) as wind_speed, round(relative_humidity, 5) as relative_humidity, round(NDVI, 12) as NDVI,
   fire_count, fire_detected from daily""")
 def daily_composite(spark, sf):
     d = composites.daily_composite(view(spark, sf, "obs"))
-    return d.select("pixel_id", "obs_date", *[F.round(c, 5).alias(c) for c in d.columns[2:7]], F.round("NDVI", 6).alias("NDVI"),
+    return d.select("pixel_id", "obs_date", *[F.round(c, 5).alias(c) for c in d.columns[2:7]], F.round("NDVI", 12).alias("NDVI"),
                     "fire_count", "fire_detected")
 
 
-@query("causal_ndvi", f"with {DAILY_SQL} select pixel_id, obs_date, round(NDVI, 6) as NDVI from daily where NDVI is not null")
+@query("causal_ndvi", f"with {DAILY_SQL} select pixel_id, obs_date, round(NDVI, 12) as NDVI from daily where NDVI is not null")
 def causal_ndvi(spark, sf):
     d = composites.with_causal_ndvi(composites.daily_bands(view(spark, sf, "obs")))
-    return rounded(d.filter(F.col("NDVI").isNotNull()).select("pixel_id", "obs_date", "NDVI"))
+    return rounded(d.filter(F.col("NDVI").isNotNull()).select("pixel_id", "obs_date", "NDVI"), 12)
 
 
 @query("daily_fire", f"""with cal as (select unnest(generate_series(date '{START}', date '{END}' - 1, interval 1 day))::date as obs_date),
@@ -435,12 +434,13 @@ def calendar(spark, sf):
   round(coalesce(avg(value) filter (band = 'volumetric_soil_water_layer_1'), 0), 5) as volumetric_soil_water_layer_1,
   round(coalesce(avg(value) filter (band = 'u_component_of_wind_10m'), 0), 5) as u_component_of_wind_10m,
   round(coalesce(avg(value) filter (band = 'v_component_of_wind_10m'), 0), 5) as v_component_of_wind_10m,
-  round(avg(coalesce(value, 0)) filter (band = 'NDVI'), 5) as NDVI,
+  round(avg(coalesce(value, 0)) filter (band = 'NDVI'), 7) as NDVI,
   count(*) filter (band = 'BurnDate' and value > 0) as fire_intensity,
   (count(*) filter (band = 'BurnDate' and value > 0) > 0)::int as fire_detected
   from $obs where ts >= timestamp '{START}' and ts < timestamp '{END}' group by 1""")
 def period_composite(spark, sf):
-    return rounded(composites.period_composite(view(spark, sf, "obs"), START, END), 5)
+    p = composites.period_composite(view(spark, sf, "obs"), START, END)
+    return p.select(*[F.round(n, 7 if n == "NDVI" else 5).alias(n) if t == "double" else F.col(n) for n, t in p.dtypes])
 
 
 @query("grid_downsample", """select floor(latitude / 0.25)::bigint as cell_y, floor(longitude / 0.25)::bigint as cell_x,
@@ -457,7 +457,7 @@ def first_image(spark, sf):
     return composites.first_image(view(spark, sf, "obs"), "2024-01-03", "2024-01-25").select("pixel_id", "band", "ts", "value")
 
 
-STACK_COLS = {"elevation": 4, "population_density": 4, "relative_humidity": 5, "NDVI": 6}
+STACK_COLS = {"elevation": 4, "population_density": 4, "relative_humidity": 5, "NDVI": 12}
 
 
 @query("band_stack", f"""with {DAILY_SQL} select d.pixel_id, d.obs_date, {', '.join(f'round({c}, {n}) as {c}' for c, n in STACK_COLS.items())},
@@ -494,24 +494,24 @@ def fire_zone_profile(spark, sf):
     avg(coalesce(value, 0)) filter (band = 'NDVI') as NDVI, count(*) filter (band = 'BurnDate' and value > 0) as fire_intensity
     from $obs where ts >= timestamp '{START}' and ts < timestamp '{END}' group by 1)
   select p.pixel_id, round(s.latitude, 6) as latitude, round(100 * ({MAGNUS.format(t='dew')}) / ({MAGNUS.format(t='t')}), 4) as relative_humidity,
-    round(NDVI, 4) as NDVI, fire_intensity, '2024_2024_aggregated' as date
+    round(NDVI, 7) as NDVI, fire_intensity, '2024_2024_aggregated' as date
   from p join $static s using (pixel_id) where NDVI is not null and pixel_id in (select pixel_id from inside)""")
 def period_samples(spark, sf):
     s = dataset.period_samples(view(spark, sf, "obs"), view(spark, sf, "static"), view(spark, sf, "rings"), START, END)
     return s.select("pixel_id", F.round("latitude", 6).alias("latitude"), F.round("relative_humidity", 4).alias("relative_humidity"),
-                    F.round("NDVI", 4).alias("NDVI"), "fire_intensity", "date")
+                    F.round("NDVI", 7).alias("NDVI"), "fire_intensity", "date")
 
 
 @query("daily_samples", f"""with inside as ({REGION_SQL.replace('p.row_id, e.region', 'p.pixel_id as pixel_id, e.region').replace('$geo p', '$static p')}),
   {DAILY_SQL} select d.pixel_id, strftime(obs_date, '%Y-%m-%d') as date, (dayofyear(obs_date) - 1)::int as doy, year(obs_date)::int as year,
-    round(temperature_2m, 4) as temperature_2m, round(wind_speed, 4) as wind_speed, round(NDVI, 6) as NDVI, fire_count
+    round(temperature_2m, 4) as temperature_2m, round(wind_speed, 4) as wind_speed, round(NDVI, 12) as NDVI, fire_count
   from daily d join $static s on s.pixel_id = d.pixel_id where d.pixel_id in (select pixel_id from inside)
     and temperature_2m is not null and total_precipitation is not null and soil_moisture is not null and wind_speed is not null
     and relative_humidity is not null and NDVI is not null""")
 def daily_samples(spark, sf):
     s = dataset.daily_samples(view(spark, sf, "obs"), view(spark, sf, "static"), view(spark, sf, "rings"), START, END)
     return s.select("pixel_id", "date", "doy", "year", F.round("temperature_2m", 4).alias("temperature_2m"),
-                    F.round("wind_speed", 4).alias("wind_speed"), F.round("NDVI", 6).alias("NDVI"), "fire_count")
+                    F.round("wind_speed", 4).alias("wind_speed"), F.round("NDVI", 12).alias("NDVI"), "fire_count")
 
 
 # --------------------------------------------------------------------------------------------------------------
@@ -569,9 +569,10 @@ DBSCAN_CTE = f"""{EPS_PAIRS},
                from $geo g left join lab on lab.node = g.row_id)"""
 
 
-@query("dbscan", f"with recursive {DBSCAN_CTE} select * from clusters")
+@query("dbscan", f"with recursive {DBSCAN_CTE} select row_id, part, is_core, coalesce(cluster, -1) as cluster from clusters")
 def dbscan(spark, sf):
-    return spatial.density_clusters(view(spark, sf, "geo"), 12.0, 8, "region_id")
+    c = spatial.density_clusters(view(spark, sf, "geo"), 12.0, 8, "region_id")
+    return c.withColumn("cluster", F.coalesce("cluster", F.lit(-1)))
 
 
 ZONES_CTE = """zones as (select part, cluster, n, (row_number() over (order by part, cluster) - 1)::int as zone from (
@@ -662,14 +663,14 @@ def zone_list(spark, sf):
 
 
 @query("safe_zones", """select ecozone, samples, status, case when status = 'SAFE_ZONE' then 1.0 end::double as pr_auc,
-  case when status = 'SAFE_ZONE' then case when fires = 0 then samples else 0 end end as tn,
-  case when status = 'SAFE_ZONE' then case when fires > 0 then samples else 0 end end as tp from (
+  case when status = 'SAFE_ZONE' and fires = 0 then samples else 0 end as tn,
+  case when status = 'SAFE_ZONE' and fires > 0 then samples else 0 end as tp from (
   select ecozone, count(*) as samples, count(*) filter (fire_detected = 1) as fires,
     case when count(*) < 200 then 'SKIPPED_SMALL_ZONE' when count(distinct fire_detected) < 2 then 'SAFE_ZONE' else 'TRAINABLE' end as status
   from $samples group by 1)""")
 def safe_zones(spark, sf):
     return zoning.screen_zones(zoning.zone_profile(view(spark, sf, "samples"))).select(
-        "ecozone", "samples", "status", "pr_auc", "tn", "tp")
+        "ecozone", "samples", "status", "pr_auc", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("tn", "tp")])
 
 
 def _registry(spark, sf) -> DataFrame:

@@ -9,14 +9,6 @@ from emberline.operators.clean import drop_configured
 from emberline.operators.scan import HOT_ROWS, row_rank
 
 OBS_SCHEMA = "dataset string, pixel_id long, lat double, lon double, ts timestamp, band string, value double"
-# Columns of the sample file that hold numbers.
-SAMPLE_TYPES = {
-    "row_id": "bigint", "latitude": "double", "longitude": "double", "temperature_2m": "double",
-    "relative_humidity": "double", "total_precipitation_sum": "double", "total_precipitation": "double",
-    "volumetric_soil_water_layer_1": "double", "soil_moisture": "double", "elevation": "double",
-    "population_density": "double", "forest_fraction": "double", "fire_count": "int", "fire_detected": "int",
-    "year": "int", "doy": "int", "ecozone": "int", "macro_zone": "int",
-}
 
 
 def csv_header(spark: SparkSession, path: str) -> list[str]:
@@ -24,22 +16,38 @@ def csv_header(spark: SparkSession, path: str) -> list[str]:
     return spark.read.option("header", True).csv(path).columns
 
 
-def load_samples(spark: SparkSession, path: str, settings: Settings = Settings(), schema: StructType | str | None = None,
-                 infer: bool = False) -> DataFrame:
+def with_found_types(df: DataFrame) -> DataFrame:
+    """Text columns as integers or numbers where every value parses, in one pass; all others stay text."""
+    cols = [n for n, t in df.dtypes if t == "string"]
+    if not cols:
+        return df
+
+    def all_parse(c: str, kind: str):
+        v = F.col(f"`{c}`")
+        return F.bool_and(v.isNull() | v.try_cast(kind).isNotNull())
+    tests = [all_parse(c, k).alias(f"{k}{i}") for i, c in enumerate(cols) for k in ("bigint", "double")]
+    found = df.agg(*tests).first()
+    kinds = {}
+    for i, c in enumerate(cols):
+        whole, number = found[f"bigint{i}"], found[f"double{i}"]
+        if number:
+            kinds[c] = "bigint" if whole else "double"
+    return df.select(*[F.col(f"`{c}`").cast(kinds[c]).alias(c) if c in kinds else F.col(f"`{c}`") for c in df.columns])
+
+
+def load_samples(spark: SparkSession, path: str, settings: Settings = Settings(),
+                 schema: StructType | str | None = None) -> DataFrame:
     """Sample CSV with header; configured columns dropped, a ``row_id`` added when absent, NaN read as NULL.
 
-    Known columns get declared types, others are read as text unless ``infer`` asks for a typing pass.
-    Added ids follow file order, with gaps between input splits.
+    With a ``schema`` the file is read once. Without, columns are typed by their values, so that dirty numbers such as
+    ``[0.5]`` stay text for the cleaning step. Added ids follow file order, with gaps between input splits.
     """
     names = csv_header(spark, path)
-    reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
-    if schema is not None:
-        df = reader.schema(schema).csv(path)
-    elif infer:
-        df = reader.option("inferSchema", True).csv(path)
-    else:
-        df = reader.schema(", ".join(f"`{n}` {SAMPLE_TYPES.get(n, 'string')}" for n in names)).csv(path)
+    reader = spark.read.option("header", True)
+    df = reader.schema(schema or ", ".join(f"`{n}` string" for n in names)).csv(path)
     df = drop_configured(df, settings)
+    if schema is None:
+        df = with_found_types(df)
     if "row_id" not in df.columns:
         df = df.select(F.monotonically_increasing_id().alias("row_id"), "*")
     return nan_to_null(df)

@@ -23,8 +23,8 @@ VIEWS = {
     "geo": f"""select c_custkey as row_id, c_nationkey as region_id,
       {_at(_LAT, 'c_nationkey', 'c_custkey')} as latitude, {_at(_LON, 'c_nationkey', 'c_custkey')} as longitude
       from {{customer}}""",
-    # Long observations: ten bands over 30 days.
-    "obs": """select user_id as pixel_id, ts, cast(ts as date) as obs_date,
+    # Long observations: ten bands over 30 days, ten users to a pixel.
+    "obs": """select user_id // 10 as pixel_id, ts, cast(ts as date) as obs_date,
       case event_type
         when 'view' then case when event_id % 3 = 0 then 'u_component_of_wind_10m' else 'temperature_2m' end
         when 'click' then case when event_id % 3 = 0 then 'v_component_of_wind_10m' else 'dewpoint_temperature_2m' end
