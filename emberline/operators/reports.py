@@ -39,7 +39,9 @@ def meta_correlation(summary: DataFrame, cols: list[str] = META_COLUMNS) -> Data
     """Pearson correlation of zone figures, rows with a NULL left out; ``(a, b, corr)``."""
     full = summary.select(*[F.col(c).cast("double") for c in cols]).dropna("any")
     pairs = [(a, b) for a in cols for b in cols]
-    wide = full.agg(*[F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
+    # A figure without spread has no correlation: NULL.
+    wide = full.agg(*[F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)).alias(f"c{i}")
+                      for i, (a, b) in enumerate(pairs)])
     rows = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{i}").alias("corr"))
                      for i, (a, b) in enumerate(pairs)])
     return wide.select(F.explode(rows).alias("_r")).select("_r.*")

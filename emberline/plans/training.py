@@ -161,6 +161,14 @@ def train_zones(zoned: DataFrame, out: str, settings: Settings = Settings(), fre
     return store.load_registry(spark, out)
 
 
+def remaining_after(zoned: DataFrame, out: str, settings: Settings = Settings()) -> list[int]:
+    """Zones a resumed run would still train."""
+    profile = zoning.screen_zones(zoning.zone_profile(zoned, settings), settings).filter(
+        F.col("status") == zoning.STATUS["train"])
+    left = zoning.remaining_zones(profile, store.completed_zones(zoned.sparkSession, out))
+    return sorted(r["ecozone"] for r in left.select("ecozone").collect())
+
+
 def train_all(samples: DataFrame, out: str, settings: Settings = Settings(), fresh: bool = True, k: int | None = None,
               **options) -> DataFrame:
     """Features, zones, router, models, registry and global tables from a sample table."""
