@@ -49,23 +49,36 @@ def clean_brackets(df: DataFrame, keep_text: bool = False) -> DataFrame:
     return df.select(*[out[c].alias(c) if c in out else F.col(q(c)) for c in df.columns])
 
 
+def fill_medians(df: DataFrame, cols: dict) -> DataFrame:
+    """Replace columns by expressions whose NULLs take the exact median; one pass serves all columns."""
+    if not cols:
+        return df
+    df = df.withColumns(cols)
+    mids = medians(df, list(cols))
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(mids[c]).cast("double")) for c in cols})
+
+
+def _target(df: DataFrame, target: str) -> dict:
+    return {target: number_or_null(F.col(target))} if target in df.columns else {}
+
+
+def _temperature(df: DataFrame) -> dict:
+    name = "temperature_2m"
+    return {name: zero_is_missing(number_or_null(F.col(name)))} if name in df.columns else {}
+
+
 def fill_target(df: DataFrame, target: str = "fire_intensity") -> DataFrame:
     """Numeric-or-NULL target, NULL replaced by the exact median."""
-    if target not in df.columns:
-        return df
-    df = df.withColumn(target, number_or_null(F.col(target)))
-    return df.withColumn(target, F.coalesce(F.col(target), F.lit(medians(df, [target])[target]).cast("double")))
+    return fill_medians(df, _target(df, target))
+
+
+def add_celsius(df: DataFrame) -> DataFrame:
+    return df.withColumn("temp_c", kelvin_to_celsius(F.col("temperature_2m"))) if "temperature_2m" in df.columns else df
 
 
 def fill_temperature(df: DataFrame) -> DataFrame:
     """Zero Kelvin means missing; missing takes the median of the rest. Adds ``temp_c``."""
-    if "temperature_2m" not in df.columns:
-        return df
-    t = zero_is_missing(number_or_null(F.col("temperature_2m")))
-    df = df.withColumn("temperature_2m", t)
-    mid = F.lit(medians(df, ["temperature_2m"])["temperature_2m"]).cast("double")
-    df = df.withColumn("temperature_2m", F.coalesce("temperature_2m", mid))
-    return df.withColumn("temp_c", kelvin_to_celsius(F.col("temperature_2m")))
+    return add_celsius(fill_medians(df, _temperature(df)))
 
 
 def scale_ndvi(df: DataFrame, scale: float = 10000.0) -> DataFrame:
@@ -99,8 +112,7 @@ def fill_coordinates(df: DataFrame, order: str = "row_id", hot_rows: int = HOT_R
 def engineer_features(df: DataFrame, settings: Settings = Settings(), hot_rows: int = HOT_ROWS) -> DataFrame:
     """All cleaning steps in order; a step is skipped when its columns are absent."""
     df = clean_brackets(df)
-    df = fill_target(df, settings.target_reg)
-    df = fill_temperature(df)
+    df = add_celsius(fill_medians(df, _target(df, settings.target_reg) | _temperature(df)))
     df = scale_ndvi(df, settings.ndvi_scale)
     df = vpd_wind(df)
     return fill_coordinates(df, hot_rows=hot_rows)

@@ -5,6 +5,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from emberline.functions.climate import is_forest, relative_humidity, wind_speed
 from emberline.operators.joins import BROADCAST_ROWS, is_small, join_small
+from emberline.operators.scan import row_rank
+from emberline.storage import materialize
 
 
 def between_dates(df: DataFrame, start, end, ts: str = "ts") -> DataFrame:
@@ -115,12 +117,12 @@ def drop_incomplete(df: DataFrame) -> DataFrame:
 
 def polygon_edges(vertices: DataFrame) -> DataFrame:
     """Closed rings ``(region, ring, seq, lon, lat)`` as edges."""
-    w = Window.partitionBy("region", "ring").orderBy("seq")
-    first = Window.partitionBy("region", "ring").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return vertices.select(
-        "region", F.col("lon").alias("x1"), F.col("lat").alias("y1"),
-        F.coalesce(F.lead("lon").over(w), F.first("lon").over(first)).alias("x2"),
-        F.coalesce(F.lead("lat").over(w), F.first("lat").over(first)).alias("y2"))
+    ring = ["region", "ring"]
+    v = row_rank(vertices.select(*ring, "seq", "lon", "lat"), ring, [F.col("seq")], "_i").drop("seq")
+    v = join_small(v, vertices.groupBy(*ring).agg(F.count(F.lit(1)).alias("_n")), ring)
+    here = v.select(*ring, (F.col("_i") % F.col("_n") + 1).alias("_i"), F.col("lon").alias("x1"), F.col("lat").alias("y1"))
+    there = v.select(*ring, "_i", F.col("lon").alias("x2"), F.col("lat").alias("y2"))
+    return here.join(there, [*ring, "_i"]).select("region", "x1", "y1", "x2", "y2")
 
 
 def points_in_regions(points: DataFrame, vertices: DataFrame, band_degrees: float = 0.25,
@@ -131,7 +133,8 @@ def points_in_regions(points: DataFrame, vertices: DataFrame, band_degrees: floa
     """
     e = polygon_edges(vertices).filter(F.col("y1") != F.col("y2"))
     lo, hi = F.least("y1", "y2"), F.greatest("y1", "y2")
-    e = e.withColumn("band", F.explode(F.sequence(F.floor(lo / band_degrees), F.floor(hi / band_degrees))))
+    e = materialize(e.withColumn(
+        "band", F.explode(F.sequence(F.floor(lo / band_degrees), F.floor(hi / band_degrees)))), "edges")
     p = points.select(key, "latitude", "longitude", F.floor(F.col("latitude") / band_degrees).alias("band"))
     small = is_small(e, BROADCAST_ROWS)
     box = e.groupBy("band").agg(F.max(F.greatest("x1", "x2")).alias("_east"), F.min(F.least("x1", "x2")).alias("_west"))

@@ -15,7 +15,7 @@ from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from emberline.config import Settings
 from emberline.operators import metrics
@@ -87,7 +87,7 @@ def run_parallel(jobs: list, workers: int) -> list:
         except Exception as e:  # one failing job must not stop the others
             return e
     with ThreadPoolExecutor(max(1, workers)) as pool:
-        return list(pool.map(inheritable_thread_target(guarded), jobs))
+        return list(pool.map(inheritable_thread_target(SparkSession.active())(guarded), jobs))
 
 
 def fold_scores(params: dict, train: DataFrame, folds: int, repeats: int, seed: int, workers: int = 4) -> DataFrame:

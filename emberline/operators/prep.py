@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from emberline.operators.clean import split_columns
 from emberline.operators.joins import join_small
 from emberline.operators.quantiles import exact_quantiles, modes
+from emberline.storage import materialize
 
 # Distinct values of one categorical column that may become indicator columns.
 MAX_CATEGORIES = 10_000
@@ -73,9 +74,10 @@ def scale_stats(df: DataFrame, by: list[str], numeric: list[str]) -> DataFrame:
     """Long table ``(by, column, median, mean, std)``; mean and population deviation after filling."""
     mids = exact_quantiles(df, numeric, [0.5], by)
     wide = (mids.groupBy(*by).pivot("column", numeric).agg(F.first("q0")))
-    wide = wide.select(*by, *[F.col(f"`{c}`").alias(f"_m{i}") for i, c in enumerate(numeric)])
-    j = join_small(df.select(*by, *[F.col(f"`{c}`").cast("double").alias(f"_c{i}") for i, c in enumerate(numeric)]), wide, by) \
-        if by else df.select(*[F.col(f"`{c}`").cast("double").alias(f"_c{i}") for i, c in enumerate(numeric)]).join(F.broadcast(wide))
+    wide = materialize(wide.select(*by, *[F.col(f"`{c}`").alias(f"_m{i}") for i, c in enumerate(numeric)]), "medians")
+    slim = df.select(*by, *[F.col(f"`{c}`").cast("double").alias(f"_c{i}") for i, c in enumerate(numeric)])
+    # Without groups the medians are a single row.
+    j = join_small(slim, wide, by) if by else slim.join(F.broadcast(wide))
     aggs = []
     for i in range(len(numeric)):
         filled = F.coalesce(f"_c{i}", f"_m{i}")

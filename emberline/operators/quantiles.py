@@ -3,7 +3,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from emberline.operators.joins import join_small
 from emberline.operators.scan import HOT_ROWS, running_totals
+from emberline.storage import materialize
 
 
 def value_counts(df: DataFrame, cols: list[str], by: list[str], kind: str) -> DataFrame:
@@ -19,12 +21,15 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], by: list
     """Long table ``(by, column, q0, q1, ...)`` with the exact quantile of each column for each probability."""
     by = by or []
     keys = [*by, "column"]
+    # One row per group with the number of values of each column; the largest bounds the scan.
+    wide = df.groupBy(*by).agg(*[F.count(f"`{c}`").alias(f"_{i}") for i, c in enumerate(cols)])
+    sizes = wide.select(*by, F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(f"_{i}").alias("_size")) for i, c in enumerate(cols)])).alias("_s"))
+    sizes = materialize(sizes.select(*by, "_s.*"), "sizes")
+    largest, total = sizes.agg(F.max("_size"), F.sum("_size")).first()
     counts = value_counts(df, cols, by, "double")
-    # A column has at most as many values in a group as the group has rows.
-    bound = df.select(*by, F.lit("").alias("column"))
-    run = running_totals(counts, keys, [F.col("value")], {"upto": F.col("n")}, hot_rows, bound)
-    sizes = run.groupBy(*keys).agg(F.max("upto").alias("_size"))
-    ranked = run.join(sizes, keys) if by else run.join(F.broadcast(sizes), keys)
+    run = running_totals(counts, keys, [F.col("value")], {"upto": F.col("n")}, hot_rows, (largest or 0, total or 0))
+    ranked = join_small(run, sizes, keys) if by else run.join(F.broadcast(sizes), keys)
     picks = []
     for i, p in enumerate(probs):
         place = (F.col("_size") - 1) * F.lit(float(p))

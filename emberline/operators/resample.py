@@ -122,9 +122,10 @@ def nearest_rows(queries: DataFrame, refs: DataFrame, k: int, block_rows: int =
     lists = best.groupBy("vid").agg(F.sort_array(F.collect_list(
         F.struct("d", F.col("row_id").alias("neighbour"), F.col("label").alias("neighbour_label")))).alias("near"))
     # Rows with equal features share one list; each leaves itself out.
-    by_features = q.select("vid", "features").join(lists, "vid").select("features", "near")
+    by_features = q.select("vid", "features", "n").join(lists, "vid").select("features", "near", "n")
     mine = F.slice(F.filter("near", lambda x: x["neighbour"] != F.col("row_id")), 1, k)
-    rows = queries.select("row_id", "features").join(by_features, "features").select("row_id", F.posexplode(mine).alias("place", "_x"))
+    rows = join_lookup(queries.select("row_id", "features"), by_features, ["features"], sizes=q, weight="n")
+    rows = rows.select("row_id", F.posexplode(mine).alias("place", "_x"))
     return rows.select("row_id", "place", "_x.neighbour", "_x.d", "_x.neighbour_label")
 
 

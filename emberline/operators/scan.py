@@ -21,12 +21,15 @@ def group_sizes(df: DataFrame, keys: list[str]) -> tuple[int, int]:
     return r[0] or 0, r[1] or 0
 
 
-def _split_hot(df: DataFrame, keys: list[str], order: list[Column], hot_rows: int, bound: DataFrame | None) -> DataFrame | None:
+Bound = DataFrame | tuple[int, int] | None
+
+
+def _split_hot(df: DataFrame, keys: list[str], order: list[Column], hot_rows: int, bound: Bound) -> DataFrame | None:
     """The table cut into pinned ranges (column ``_part``), or None when every group fits one task.
 
-    ``bound`` may name a cheaper table whose groups are at least as large as those of ``df``.
+    ``bound`` may give the sizes (largest group, whole table), or a cheaper table whose groups are at least as large.
     """
-    largest, total = group_sizes(df if bound is None else bound, keys)
+    largest, total = bound if isinstance(bound, tuple) else group_sizes(df if bound is None else bound, keys)
     if largest <= hot_rows:
         return None
     spark = df.sparkSession
@@ -43,7 +46,7 @@ def _same(a: DataFrame, b: DataFrame, names: list[str]):
 
 
 def running_totals(df: DataFrame, keys: list[str], order: list[Column], sums: dict[str, Column],
-                   hot_rows: int = HOT_ROWS, bound: DataFrame | None = None) -> DataFrame:
+                   hot_rows: int = HOT_ROWS, bound: Bound = None) -> DataFrame:
     """Add inclusive running sums per ``keys`` in ``order``; ``order`` must be unique inside a group."""
     parts = _split_hot(df, keys, order, hot_rows, bound)
     if parts is None:

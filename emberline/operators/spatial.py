@@ -7,7 +7,6 @@ far pairs are settled as a whole, only the unclear ones are opened. No step list
 """
 from __future__ import annotations
 
-import itertools
 import math
 from dataclasses import dataclass
 
@@ -107,14 +106,18 @@ def _open(pairs: DataFrame, nodes: DataFrame, side: str) -> DataFrame:
 def _neighbour_cells(a: DataFrame, b: DataFrame, grid: Grid, radius: float, half: bool) -> DataFrame:
     """Level-0 cell pairs that can hold points within ``radius``."""
     r = math.ceil(radius / grid.size)
-    steps = []
-    for step in itertools.product(range(-r, r + 1), repeat=len(grid.origin)):
-        gap2 = sum((max(abs(s) - 1, 0) * grid.size) ** 2 for s in step)
-        if gap2 <= radius ** 2 * (1 + SLACK) and (not half or step > (0,) * len(step)):
-            steps.append(F.struct(*[F.lit(s).alias(f"s{i}") for i, s in enumerate(step)]))
-    near = a.filter("id.lvl = 0").select("part", F.col("node").alias("a"), F.explode(F.array(*steps)).alias("_s"))
+    near = a.filter("id.lvl = 0").select("part", F.col("node").alias("a"))
+    gap2, later = F.lit(0.0), F.lit(False)
+    for i in reversed(grid.axes):
+        near = near.withColumn(f"s{i}", F.explode(F.sequence(F.lit(-r), F.lit(r))))
+        step = F.col(f"s{i}")
+        gap2 = gap2 + F.pow(F.greatest(F.abs(step) - 1, F.lit(0)) * grid.size, F.lit(2.0))
+        later = (step > 0) | ((step == 0) & later)
+    near = near.filter(gap2 <= radius ** 2 * (1 + SLACK))
+    if half:
+        near = near.filter(later)
     near = near.select("part", "a", F.struct(F.lit(0).alias("lvl"), *[
-        (F.col(f"a.id.i{i}") + F.col(f"_s.s{i}")).alias(f"i{i}") for i in grid.axes]).alias("id"))
+        (F.col(f"a.id.i{i}") + F.col(f"s{i}")).alias(f"i{i}") for i in grid.axes]).alias("id"))
     pairs = near.join(b.filter("id.lvl = 0").select("part", "id", F.col("node").alias("b")), ["part", "id"])
     return pairs.select("part", "a", "b", F.col("a.id").alias("root_a"), F.col("b.id").alias("root_b"))
 
@@ -198,9 +201,9 @@ def neighbour_counts(rows: DataFrame, eps_km: float, part: str | None = None, ke
         key, "neighbours")
 
 
-def density_clusters(rows: DataFrame, eps_km: float, min_points: int, part: str | None = None, key: str = "row_id",
-                     leaf_points: int = LEAF_POINTS, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Density clusters per ``part``: ``(row_id, part, is_core, cluster)``.
+def cluster_points(rows: DataFrame, eps_km: float, min_points: int, part: str | None = None, key: str = "row_id",
+                   leaf_points: int = LEAF_POINTS, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Density clusters per ``part``, one row per coordinate: ``(part, latitude, longitude, w, is_core, cluster)``.
 
     A core row has ``min_points`` rows (itself included) within ``eps_km``; core rows within reach share a cluster,
     named by its smallest core ``row_id``; a border row joins the reachable cluster with the smallest name;
@@ -249,9 +252,16 @@ def density_clusters(rows: DataFrame, eps_km: float, min_points: int, part: str
     border = found.groupBy(*keys).agg(F.min("cluster").alias("cluster"))
     labelled = core.join(cells, ["part", "root"]).select(*keys, "w", "is_core", "cluster").unionByName(
         edge_pts.join(border, keys, "left").select(*keys, "w", "is_core", "cluster"))
+    return materialize(labelled, "labelled")
+
+
+def density_clusters(rows: DataFrame, eps_km: float, min_points: int, part: str | None = None, key: str = "row_id",
+                     leaf_points: int = LEAF_POINTS, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``cluster_points`` for every row: ``(row_id, part, is_core, cluster)``."""
+    points = cluster_points(rows, eps_km, min_points, part, key, leaf_points, hot_rows)
     slim = rows.select(key, (F.col(part).cast("long") if part else F.lit(0).cast("long")).alias("part"),
                        "latitude", "longitude")
-    return join_lookup(slim, materialize(labelled, "labelled"), keys, "w", hot_rows=hot_rows).select(
+    return join_lookup(slim, points, ["part", "latitude", "longitude"], "w", hot_rows=hot_rows).select(
         key, "part", "is_core", "cluster")
 
 
@@ -265,17 +275,18 @@ def _start_level(n: int, leaf_points: int) -> int:
 
 
 def nearest_vote(queries: DataFrame, refs: DataFrame, k: int, label: str, shrink: bool = False,
-                 leaf_points: int = LEAF_POINTS) -> DataFrame:
+                 leaf_points: int = LEAF_POINTS, weight: str | None = None) -> DataFrame:
     """Distance-weighted vote of the ``k`` nearest reference rows for every distinct query coordinate.
 
     Weights are 1/d; when some of the k are at distance 0 only those vote; the largest weight wins, the smallest
     label on a tie. Equal distances at the k-th place are taken in (latitude, x, label) order. Returns
-    ``(latitude, longitude, w, label)`` with ``w`` query rows per coordinate.
+    ``(latitude, longitude, w, label)`` with ``w`` query rows per coordinate. ``weight`` names a reference column that
+    says how many rows a reference row stands for.
     """
     q = _plane(queries.groupBy("latitude", "longitude").agg(F.count(F.lit(1)).alias("w"))
                .withColumn("part", F.lit(0).cast("long")), shrink)
-    r = _plane(refs.groupBy("latitude", "longitude", F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("w"))
-               .withColumn("part", F.lit(0).cast("long")), shrink)
+    r = _plane(refs.groupBy("latitude", "longitude", F.col(label).alias("label"))
+               .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("w")).withColumn("part", F.lit(0).cast("long")), shrink)
     q, r = materialize(q, "queries"), materialize(r, "refs")
     span = (q.select("c0", "c1").unionByName(r.select("c0", "c1"))
             .agg(F.min("c0"), F.max("c0"), F.min("c1"), F.max("c1")).first())
@@ -320,8 +331,8 @@ def nearest_vote(queries: DataFrame, refs: DataFrame, k: int, label: str, shrink
 
 
 def route(rows: DataFrame, refs: DataFrame, k: int, label: str = "ecozone", shrink: bool = False,
-          leaf_points: int = LEAF_POINTS, hot_rows: int = HOT_ROWS) -> DataFrame:
+          leaf_points: int = LEAF_POINTS, hot_rows: int = HOT_ROWS, weight: str | None = None) -> DataFrame:
     """Rows with the voted ``label`` added (an existing one is replaced)."""
-    voted = materialize(nearest_vote(rows, refs, k, label, shrink, leaf_points), "voted")
+    voted = materialize(nearest_vote(rows, refs, k, label, shrink, leaf_points, weight), "voted")
     out = join_lookup(rows.drop(label), voted, ["latitude", "longitude"], "w", hot_rows=hot_rows)
     return out.drop("w")

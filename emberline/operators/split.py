@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from emberline.operators.joins import join_small
 from emberline.operators.scan import HOT_ROWS, row_rank
+from emberline.storage import materialize
 
 
 def shuffle_key(seed: int, key: str = "row_id") -> Column:
@@ -29,7 +30,7 @@ def test_quotas(df: DataFrame, by: list[str], label: str, share: float) -> DataF
 def stratified_holdout(df: DataFrame, by: list[str], label: str, share: float = 0.2, seed: int = 42,
                        key: str = "row_id", hot_rows: int = HOT_ROWS) -> DataFrame:
     """Add ``is_test``; exact class quotas inside every group."""
-    quotas = test_quotas(df, by, label, share)
+    quotas = materialize(test_quotas(df, by, label, share), "quotas")
     ranked = row_rank(df.withColumn("_h", shuffle_key(seed, key)), [*by, label], [F.col("_h"), F.col(key)], "_rn", hot_rows)
     out = join_small(ranked, quotas, [*by, label])
     return out.withColumn("is_test", F.col("_rn") <= F.col("_quota")).select(*df.columns, "is_test")

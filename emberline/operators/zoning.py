@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from emberline.config import Settings
 from emberline.operators.joins import HOT_ROWS, join_lookup, join_small
 from emberline.operators.scan import row_rank
-from emberline.operators.spatial import density_clusters, route
+from emberline.operators.spatial import cluster_points, route
 from emberline.storage import materialize
 
 
@@ -39,10 +39,11 @@ def nearest_centre(centres: list[tuple[float, float]]) -> Column:
     return (F.least(*options) if len(options) > 1 else options[0])["i"]
 
 
-def number_zones(clustered: DataFrame, min_rows: int, part: str = "part", hot_rows: int = HOT_ROWS) -> DataFrame:
+def number_zones(clustered: DataFrame, min_rows: int, part: str = "part", hot_rows: int = HOT_ROWS,
+                 weight: str | None = None) -> DataFrame:
     """``(part, cluster, n, zone)`` of the clusters with enough rows, counted through by part, then cluster."""
     kept = (clustered.filter(F.col("cluster").isNotNull()).groupBy(part, "cluster")
-            .agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_rows))
+            .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("n")).filter(F.col("n") >= min_rows))
     ranked = row_rank(kept, [], [F.col(part), F.col("cluster")], "zone", hot_rows)
     return ranked.withColumn("zone", (F.col("zone") - 1).cast("int"))
 
@@ -55,14 +56,13 @@ def extract_zones(df: DataFrame, settings: Settings = Settings(), k: int | None
     slim = materialize(df.select("row_id", "latitude", "longitude", "macro_zone"), "macro")
     large = slim.groupBy("macro_zone").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= settings.min_macro_rows)
     eligible = slim.join(F.broadcast(large.select("macro_zone")), "macro_zone", "left_semi")
-    clusters = materialize(density_clusters(
-        eligible, settings.eps_km, settings.min_samples, "macro_zone", hot_rows=hot_rows), "clusters")
-    zones = materialize(number_zones(clusters, settings.min_cluster_rows, hot_rows=hot_rows), "zones")
+    clusters = cluster_points(eligible, settings.eps_km, settings.min_samples, "macro_zone", hot_rows=hot_rows)
+    zones = materialize(number_zones(clusters, settings.min_cluster_rows, hot_rows=hot_rows, weight="w"), "zones")
     if zones.isEmpty():
         return df.withColumn("ecozone", F.col("macro_zone"))
-    named = join_small(clusters, zones, ["part", "cluster"]).select("row_id", F.col("zone").alias("ecozone"))
-    refs = slim.join(named, "row_id").select("latitude", "longitude", "ecozone")
-    return route(df, refs, settings.route_k, "ecozone", shrink=True, hot_rows=hot_rows)
+    refs = join_small(clusters, zones, ["part", "cluster"]).select(
+        "latitude", "longitude", F.col("zone").alias("ecozone"), "w")
+    return route(df, refs, settings.route_k, "ecozone", shrink=True, hot_rows=hot_rows, weight="w")
 
 
 def assign_zones(df: DataFrame, router_points: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
