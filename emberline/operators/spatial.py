@@ -1,7 +1,7 @@
 """Radius neighbours, density clusters and weighted nearest-neighbour votes over coordinates.
 
 Rows with equal coordinates are folded into one weighted point first, so copies never multiply. Points are
-placed in square cells; a cell with too many points is cut 4 x 4 (per axis) again, so a leaf cell holds few points
+placed in square cells; a cell with too many points is halved along every axis again, so a leaf cell holds few points
 however dense a place is. Pairs of cells are then judged by the boxes around their points: clearly near and clearly
 far pairs are settled as a whole, only the unclear ones are opened. No step lists all pairs of a dense place.
 """
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -19,13 +20,14 @@ from emberline.storage import materialize
 
 EARTH_KM = 6371.0
 LEAF_POINTS = 64
-MAX_DEPTH = 14
+VOTE_LEAF_POINTS = 24
+MAX_DEPTH = 28
 SLACK = 1e-9
 
 
 @dataclass(frozen=True)
 class Grid:
-    """Cells of side ``size`` at level 0, side ``size / 4**level`` below."""
+    """Cells of side ``size`` at level 0, side ``size / 2**level`` below."""
     origin: tuple[float, ...]
     size: float
 
@@ -34,12 +36,12 @@ class Grid:
         return range(len(self.origin))
 
     def cell(self, level: int) -> Column:
-        scale = float(4 ** level)
+        scale = float(2 ** level)
         return F.struct(F.lit(level).alias("lvl"), *[
             F.floor((F.col(f"c{i}") - self.origin[i]) / self.size * scale).alias(f"i{i}") for i in self.axes])
 
     def ancestor(self, cell: str, level: Column) -> Column:
-        up = (F.col(f"{cell}.lvl") - level) * 2
+        up = F.col(f"{cell}.lvl") - level
         return F.struct(level.cast("int").alias("lvl"), *[
             F.call_function("shiftright", F.col(f"{cell}.i{i}"), up.cast("int")).alias(f"i{i}") for i in self.axes])
 
@@ -50,37 +52,45 @@ def on_sphere(df: DataFrame, lat: str = "latitude", lon: str = "longitude") -> D
     return df.withColumns({"c0": F.cos(p) * F.cos(l), "c1": F.cos(p) * F.sin(l), "c2": F.sin(p)})
 
 
-def place_points(points: DataFrame, grid: Grid, leaf_points: int = LEAF_POINTS, start: int = 0) -> tuple[DataFrame, int]:
-    """Add ``leaf`` (cell id) to distinct points; returns the table and its deepest level."""
-    left, placed, depth = points, [], start
-    for level in range(start, MAX_DEPTH + 1):
-        depth = level
+def place_points(points: DataFrame, grid: Grid, leaf_points: int = LEAF_POINTS,
+                 start: int = 0) -> tuple[DataFrame, list[int]]:
+    """Add ``leaf`` (cell id) to distinct points; returns the table and the levels that cells are opened at.
+
+    Only the points of too full cells go on to a deeper level; how deep follows from how full those cells are.
+    """
+    left, placed, level, levels = points, [], start, [0, *range(start % 2 or 2, start, 2)]
+    while True:
+        levels.append(level)
         keyed = left.withColumn("leaf", grid.cell(level))
-        full = keyed.groupBy("part", "leaf").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > leaf_points)
-        full = None if level == MAX_DEPTH else materialize(full.select("part", "leaf"), "full")
-        if full is None or full.isEmpty():
+        full = None
+        if level < MAX_DEPTH:
+            full = keyed.groupBy("part", "leaf").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > leaf_points)
+            full = materialize(full, "full")
+        fill = full.agg(F.avg("_n")).first()[0] if full is not None else None
+        if fill is None:
             placed.append(keyed)
             break
+        full = full.drop("_n")
         placed.append(join_small(keyed, full, ["part", "leaf"], "left_anti"))
         left = join_small(keyed, full, ["part", "leaf"], "left_semi").drop("leaf")
-    out = placed[0]
-    for p in placed[1:]:
-        out = out.unionByName(p)
-    return materialize(out, "placed"), depth
+        level = min(MAX_DEPTH, level + max(1, int(math.log(fill / leaf_points, 4))))
+    return materialize(reduce(DataFrame.unionByName, placed), "placed"), sorted(set(levels))
 
 
-def node_table(placed: DataFrame, grid: Grid) -> DataFrame:
+def node_table(placed: DataFrame, grid: Grid, levels: list[int]) -> DataFrame:
     """Every cell on the way from level 0 to the leaves: weight, box of its points, parent."""
     box = [f(f"c{i}").alias(f"{n}{i}") for i in grid.axes for n, f in (("lo", F.min), ("hi", F.max))]
     leaves = placed.groupBy("part", "leaf").agg(F.sum("w").alias("w"), *box)
-    spread = leaves.withColumn("_l", F.explode(F.sequence(F.lit(0), F.col("leaf.lvl"))))
+    used = F.array(*[F.lit(l) for l in levels])
+    spread = leaves.withColumn("_l", F.explode(F.filter(used, lambda l: l <= F.col("leaf.lvl"))))
     spread = spread.withColumn("id", grid.ancestor("leaf", F.col("_l")))
     up = [f(f"{n}{i}").alias(f"{n}{i}") for i in grid.axes for n, f in (("lo", F.min), ("hi", F.max))]
     nodes = spread.groupBy("part", "id").agg(
         F.sum("w").alias("w"), F.bool_or(F.col("_l") == F.col("leaf.lvl")).alias("is_leaf"), *up)
     fields = ["id", "w", "is_leaf"] + [f"{n}{i}" for i in grid.axes for n in ("lo", "hi")]
-    return materialize(nodes.select(
-        "part", "id", grid.ancestor("id", F.col("id.lvl") - 1).alias("parent"), F.struct(*fields).alias("node")), "nodes")
+    above = F.coalesce(F.array_max(F.filter(used, lambda l: l < F.col("id.lvl"))), F.lit(-1))
+    nodes = nodes.withColumn("parent", F.when(above >= 0, grid.ancestor("id", F.greatest(above, F.lit(0)))))
+    return materialize(nodes.select("part", "id", "parent", F.struct(*fields).alias("node")), "nodes")
 
 
 def _bounds(grid: Grid) -> dict[str, Column]:
@@ -146,7 +156,8 @@ def radius_pairs(a: DataFrame, b: DataFrame, grid: Grid, radius: float, starts:
         rest = rest.filter(~final)
         if rest.limit(1).isEmpty():
             break
-        pairs = _open(_open(rest, a, "a"), b, "b")
+        half_open = _open(rest, a, "a").withColumns(_bounds(grid)).filter(F.col("near2") <= r2 * (1 + SLACK))
+        pairs = _open(half_open.drop("near2", "far2"), b, "b")
     return whole, unclear
 
 
@@ -191,8 +202,8 @@ def neighbour_counts(rows: DataFrame, eps_km: float, part: str | None = None, ke
                      leaf_points: int = LEAF_POINTS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Rows within ``eps_km`` (the row itself included) for every row, inside ``part``."""
     grid, radius = _eps_grid(eps_km)
-    pts, _ = place_points(on_sphere(fold_points(rows, part, key)), grid, leaf_points)
-    nodes = node_table(pts, grid)
+    pts, levels = place_points(on_sphere(fold_points(rows, part, key)), grid, leaf_points)
+    nodes = node_table(pts, grid, levels)
     whole, unclear = radius_pairs(nodes, nodes, grid, radius)
     counts = _reach_counts(whole, unclear, pts, pts, grid, eps_km)
     slim = rows.select(key, (F.col(part).cast("long") if part else F.lit(0).cast("long")).alias("part"),
@@ -210,9 +221,9 @@ def cluster_points(rows: DataFrame, eps_km: float, min_points: int, part: str |
     noise has a NULL cluster.
     """
     grid, radius = _eps_grid(eps_km)
-    pts, _ = place_points(on_sphere(fold_points(rows, part, key)), grid, leaf_points)
+    pts, levels = place_points(on_sphere(fold_points(rows, part, key)), grid, leaf_points)
     root = grid.ancestor("leaf", F.lit(0))
-    nodes = node_table(pts, grid)
+    nodes = node_table(pts, grid, levels)
     thin = nodes.filter("id.lvl = 0").filter(F.col("node.w") < min_points)
     pts = pts.withColumn("root", root).join(
         thin.select("part", F.col("id").alias("root"), F.lit(True).alias("_thin")), ["part", "root"], "left")
@@ -227,7 +238,7 @@ def cluster_points(rows: DataFrame, eps_km: float, min_points: int, part: str |
 
     # 2. Cells of core points are the vertices; cells that touch are joined.
     cells = materialize(core.groupBy("part", "root").agg(F.min("first_row").alias("v")), "cells")
-    core_nodes = node_table(core, grid)
+    core_nodes = node_table(core, grid, levels)
     met, check = radius_pairs(core_nodes, core_nodes, grid, radius, once=True)
     touching = met.select("part", "root_a", "root_b").unionByName(
         point_pairs(check, core, core, eps_km).select("part", "root_a", "root_b")).distinct()
@@ -271,11 +282,11 @@ def _plane(df: DataFrame, shrink: bool) -> DataFrame:
 
 
 def _start_level(n: int, leaf_points: int) -> int:
-    return max(0, math.ceil(math.log(max(n / leaf_points, 1), 16)))
+    return max(0, math.ceil(math.log(max(n / leaf_points, 1), 4)))
 
 
 def nearest_vote(queries: DataFrame, refs: DataFrame, k: int, label: str, shrink: bool = False,
-                 leaf_points: int = LEAF_POINTS, weight: str | None = None) -> DataFrame:
+                 leaf_points: int = VOTE_LEAF_POINTS, weight: str | None = None) -> DataFrame:
     """Distance-weighted vote of the ``k`` nearest reference rows for every distinct query coordinate.
 
     Weights are 1/d; when some of the k are at distance 0 only those vote; the largest weight wins, the smallest
@@ -292,24 +303,28 @@ def nearest_vote(queries: DataFrame, refs: DataFrame, k: int, label: str, shrink
             .agg(F.min("c0"), F.max("c0"), F.min("c1"), F.max("c1")).first())
     size = max(span[1] - span[0], span[3] - span[2], 1e-9) * (1 + 1e-6)
     grid = Grid((span[0], span[2]), size)
-    q, depth_q = place_points(q, grid, leaf_points, _start_level(q.count(), leaf_points))
-    r, depth_r = place_points(r, grid, leaf_points, _start_level(r.count(), leaf_points))
-    qn, rn = node_table(q, grid), node_table(r, grid)
+    q, levels_q = place_points(q, grid, leaf_points, _start_level(q.count(), leaf_points))
+    r, levels_r = place_points(r, grid, leaf_points, _start_level(r.count(), leaf_points))
+    qn, rn = node_table(q, grid, levels_q), node_table(r, grid, levels_r)
 
     # Level 0 is one cell on each side; cells are opened level by level and far ones dropped.
     pairs = qn.filter("id.lvl = 0").select("part", F.col("node").alias("a")).join(
         rn.filter("id.lvl = 0").select("part", F.col("node").alias("b")), "part")
     by_cell = Window.partitionBy("part", "a.id")
     near_first = by_cell.orderBy("far2", "b.id").rowsBetween(Window.unboundedPreceding, 0)
-    rounds = max(depth_q, depth_r)
-    for i in range(rounds + 1):
+
+    def near_enough(pairs: DataFrame) -> DataFrame:
+        """Drop reference cells that lie beyond the farthest place the k-th neighbour can be."""
         judged = pairs.withColumns(_bounds(grid)).withColumn("_cum", F.sum("b.w").over(near_first))
         judged = judged.withColumn("reach2", F.min(F.when(F.col("_cum") >= k, F.col("far2"))).over(by_cell))
         kept = judged.filter(F.col("reach2").isNull() | (F.col("near2") <= F.col("reach2") * (1 + SLACK)))
-        kept = kept.select("part", "a", "b", "reach2")
-        if i < rounds:
-            kept = kept.drop("reach2")
-            pairs = materialize(_open(_open(kept, qn, "a"), rn, "b"), "pairs")
+        return kept.select("part", "a", "b", "reach2")
+
+    for _ in range(max(len(levels_q), len(levels_r)) - 1):
+        # One side at a time, so that the children of both are never listed together before the far ones are gone.
+        pairs = near_enough(_open(near_enough(pairs).drop("reach2"), qn, "a")).drop("reach2")
+        pairs = materialize(_open(pairs, rn, "b"), "pairs")
+    kept = near_enough(pairs)
     leafs = kept.select(F.col("a.id").alias("_q"), F.col("b.id").alias("_r"), "reach2")
     qs = q.select(F.col("leaf").alias("_q"), "latitude", "longitude", F.col("c0").alias("q0"), F.col("c1").alias("q1"))
     rs = r.select(F.col("leaf").alias("_r"), F.col("c0").alias("r0"), F.col("c1").alias("r1"), "label", "w")
@@ -331,7 +346,7 @@ def nearest_vote(queries: DataFrame, refs: DataFrame, k: int, label: str, shrink
 
 
 def route(rows: DataFrame, refs: DataFrame, k: int, label: str = "ecozone", shrink: bool = False,
-          leaf_points: int = LEAF_POINTS, hot_rows: int = HOT_ROWS, weight: str | None = None) -> DataFrame:
+          leaf_points: int = VOTE_LEAF_POINTS, hot_rows: int = HOT_ROWS, weight: str | None = None) -> DataFrame:
     """Rows with the voted ``label`` added (an existing one is replaced)."""
     voted = materialize(nearest_vote(rows, refs, k, label, shrink, leaf_points, weight), "voted")
     out = join_lookup(rows.drop(label), voted, ["latitude", "longitude"], "w", hot_rows=hot_rows)

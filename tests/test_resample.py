@@ -30,7 +30,7 @@ def brute(rows, k):
     return out
 
 
-@pytest.mark.parametrize("block", [2048, 16])
+@pytest.mark.parametrize("block", [16])
 def test_nearest_rows(df, rows, block):
     got = resample.nearest_rows(df, df, 3, block_rows=block).toPandas().sort_values(["row_id", "place"])
     near = got.groupby("row_id").neighbour.apply(list)
