@@ -122,10 +122,10 @@ def out_of_fold(params: dict, train: DataFrame, settings: Settings) -> DataFrame
     return s.select("row_id", "fold", F.col("y_prob").alias("prob"))
 
 
-def warm_up(params: dict, train: DataFrame, valid: DataFrame, settings: Settings) -> float:
-    """Validation score after training on the first rows only."""
+def warm_up(params: dict, train: DataFrame, settings: Settings):
+    """Model fitted on the first rows only."""
     few = first_rows(train.withColumn("_one", F.lit(0)), ["_one"], settings.warmup_rows).drop("_one")
-    return precision_of(estimator(params, True, settings.seed).fit(few), valid)
+    return estimator(params, True, settings.seed).fit(few)
 
 
 @dataclass
@@ -145,14 +145,21 @@ def select_classifier(train: DataFrame, valid: DataFrame, settings: Settings, ca
     ``valid`` is a validation split of the training rows; the test rows play no part in the choice.
     """
     spark, rows, fitted = train.sparkSession, [], {}
+    # With no more rows than the warm-up takes, the warm-up model is already the full one.
+    whole = train.limit(settings.warmup_rows + 1).count() <= settings.warmup_rows
     for i, (name, params) in enumerate((candidates or base_candidates(settings)).items()):
         try:
-            if warm_up(params, train, valid, settings) < settings.warmup_gate:
-                continue
             t0 = clock()
-            model = estimator(params, True, settings.seed).fit(train)
+            model = warm_up(params, train, settings)
             seconds = clock() - t0
             full = precision_of(model, valid)
+            if full < settings.warmup_gate:
+                continue
+            if not whole:
+                t0 = clock()
+                model = estimator(params, True, settings.seed).fit(train)
+                seconds = clock() - t0
+                full = precision_of(model, valid)
             mean, std = cross_validate(params, train, settings)
             rows.append((i, name, full, mean, std, seconds))
             fitted[name] = Choice(model, params, full, mean, std)
@@ -236,11 +243,12 @@ def select_regressor(fires: DataFrame, test_fires: DataFrame, settings: Settings
         params = search_regressor(fires, settings, space)
         if params:
             return estimator(params, False, settings.seed).fit(fires), params
-    best = None
-    for params in (candidates or base_candidates(settings)).values():
+    best, options = None, list((candidates or base_candidates(settings)).values())
+    for params in options:
         try:
             model = estimator(params, False, settings.seed).fit(fires)
-            loss = regression_loss(regression_scored(model, test_fires), False)
+            # The loss only ranks candidates; a single one needs none.
+            loss = regression_loss(regression_scored(model, test_fires), False) if len(options) > 1 else 0.0
         except Exception:
             continue
         if best is None or loss < best[2]:

@@ -39,8 +39,8 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[F.round(F.col(f"`{n}`"), digits).alias(n) if t == "double" else F.col(f"`{n}`") for n, t in df.dtypes])
 
 
-SMALL = Settings(eps_km=12.0, min_samples=8, min_macro_rows=50, min_cluster_rows=10, min_zone_rows=200, boost_rounds=5,
-                 boost_depth=3, cv_repeats=1, cv_folds=3, zone_workers=6, warmup_gate=0.0)
+SMALL = Settings(eps_km=12.0, min_samples=8, min_macro_rows=50, min_cluster_rows=10, min_zone_rows=200, boost_rounds=3,
+                 boost_depth=3, cv_repeats=1, cv_folds=2, zone_workers=8, warmup_gate=0.0)
 START, END = "2024-01-01", "2024-02-01"
 
 # --------------------------------------------------------------------------------------------------------------
