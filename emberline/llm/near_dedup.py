@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from emberline.llm.words import blocks, bounded_batches, column, mix, shingles, word_hashes
 from emberline.operators.components import connected_components
@@ -23,8 +23,8 @@ from emberline.storage import materialize
 SHINGLE, SIMILARITY = 5, 0.8
 # 32 bands of 6 slots: a pair at similarity 0.8 shares no band with probability (1 - 0.8^6)^32 = 6e-5.
 BANDS, ROWS = 32, 6
-# Buckets up to this size are compared in full; larger ones by rounds of pivots, twice as many each round.
-SMALL, PIVOTS = 24, 16
+# Buckets up to this size are compared in full; larger ones by rounds of pivots, four times as many each round.
+SMALL, PIVOTS = 8, 2
 
 GOLD, STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
@@ -108,27 +108,57 @@ def _sketch(bands: int, rows: int):
     return run
 
 
-def overlap(texts_a: pa.Array, texts_b: pa.Array) -> np.ndarray:
-    """Weighted Jaccard similarity of the shingle multisets of text pairs."""
-    n = len(texts_a)
-    both = pa.concat_arrays([texts_a.cast(pa.large_string()), texts_b.cast(pa.large_string())])
-    sh, ends = shingles(*word_hashes(both), SHINGLE)
+def overlap(texts: pa.Array, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Weighted Jaccard similarity of the shingle multisets of the text pairs (a[i], b[i]); each text is cut up once."""
+    n = len(a)
+    sh, ends = shingles(*word_hashes(texts), SHINGLE)
     doc, s, c = weigh(sh, ends)
-    pair, side = doc % n, doc >= n
+    size = np.bincount(doc, minlength=len(texts))
+    first, total = np.cumsum(size) - size, np.bincount(doc, c, len(texts))
+    who = np.stack([a, b], axis=1).ravel()
+    reps = size[who]
+    at = np.repeat(first[who] - (np.cumsum(reps) - reps), reps) + np.arange(reps.sum())
+    pair = np.repeat(np.arange(2 * n) // 2, reps)
+    s, c = s[at], c[at]
     order = np.lexsort((s, pair))
-    pair, s, c, side = pair[order], s[order], c[order], side[order]
-    same = np.flatnonzero((pair[1:] == pair[:-1]) & (s[1:] == s[:-1]) & (side[1:] != side[:-1]))
+    pair, s, c = pair[order], s[order], c[order]
+    same = np.flatnonzero((pair[1:] == pair[:-1]) & (s[1:] == s[:-1]))  # a text holds a shingle once
     common = np.bincount(pair[same], np.minimum(c[same], c[same + 1]), n)
-    total = np.bincount(pair, c, n)
-    return common / np.maximum(total - common, 1)
+    return common / np.maximum(total[a] + total[b] - common, 1)
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t in blocks(batches):
-        j = overlap(column(t, "text_a"), column(t, "text_b"))
+        enc = pa.concat_arrays([column(t, "text_a").cast(pa.large_string()), column(t, "text_b").cast(pa.large_string())]).dictionary_encode()
+        at = enc.indices.to_numpy(zero_copy_only=False)
+        j = overlap(enc.dictionary, at[:t.num_rows], at[t.num_rows:])
         yield pa.RecordBatch.from_arrays([column(t, "a"), column(t, "b"), pa.array(1.0 - j)], names=["a", "b", "d"])
 
 
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per block: every distinct shingle with the number of documents that hold it (2 stands for more), one of them and
+    its count there."""
+    for t in blocks(batches):
+        sh, ends = shingles(*word_hashes(column(t, "text")), SHINGLE)
+        doc, s, c = weigh(sh, ends)
+        order = np.argsort(s, kind="stable")
+        doc, s, c = doc[order], s[order], c[order]
+        at = np.flatnonzero(np.append(True, s[1:] != s[:-1])) if len(s) else np.zeros(0, np.int64)
+        ids = column(t, "doc_id").to_numpy(zero_copy_only=False)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(s[at].view(np.int64)), pa.array(np.minimum(np.diff(np.append(at, len(s))), 2)), pa.array(ids[doc[at]].astype(np.int64)),
+             pa.array(c[at])], names=["shingle", "docs", "node", "weight"])
+
+
+def _shared(opened: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, c): how much of each open document's multiset also occurs in another open document."""
+    nodes = materialize(opened.groupBy("node").agg(F.first("n").alias("n")), "open")
+    cut = (texts.join(nodes.select(F.col("node").alias("doc_id")), "doc_id").mapInArrow(_cut, "shingle long, docs long, node long, weight long")
+           .groupBy("shingle").agg(F.sum("docs").alias("docs"), F.min("node").alias("node"), F.max("weight").alias("weight")))
+    alone = cut.filter("docs = 1").groupBy("node").agg(F.sum("weight").alias("alone"))
+    return materialize(nodes.join(alone, "node", "left").select("node", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("c")), "shared")
+
+
 def classes(docs: DataFrame, similarity: float = SIMILARITY, small: int = SMALL, pivots: int = PIVOTS) -> DataFrame:
     """One row per input row: doc_id, class_id (smallest doc_id of its class), class_size (documents), n_links, kept.
 
@@ -154,44 +184,49 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, small: int = SMALL,
     side = F.broadcast(wanted) if is_small(wanted) else wanted
     texts = materialize(src.join(side, F.col("doc_id") == F.col("_node"), "left_semi").groupBy("doc_id").agg(F.first("text").alias("text")), "texts")
 
-    far = 1.0 - similarity
+    far = 1.0 - similarity + 1e-9
+    # The middle of a group of copies shares the most bands with the others, so it makes the best pivot.
+    rank = materialize(opened.groupBy("node").agg(F.sum("k").alias("rank")), "rank")
+    opened = opened.join(rank, "node").withColumn("c", F.col("n"))
+    need = (1 - far) / (2 - far)
     done = spark.createDataFrame([], "a long, b long, d double")
-    while not opened.isEmpty():
-        w = opened.select("bucket", F.col("node").alias("v"), F.col("n").alias("vn"), "k")
-        # Small buckets: all pairs. Large ones: every member with the bucket's pivots, which a map-side top-n picks.
-        order = F.struct(F.xxhash64("node").alias("h"), "node", "n")
-        few = (opened.filter(F.col("k") > small).groupBy("bucket", F.pmod(F.xxhash64("node", "bucket"), F.lit(pivots)).alias("g"))
-               .agg(F.min(order).alias("p")).select("bucket", F.col("p.node").alias("p"), F.col("p.n").alias("pn")))
-        few = materialize(few.unionByName(opened.filter(F.col("k") <= small).select("bucket", F.col("node").alias("p"), F.col("n").alias("pn"))), "pivots")
-        pairs = few.join(w, "bucket").filter((F.col("p") != F.col("v")) & ((F.col("k") > small) | (F.col("p") < F.col("v"))))
-        bound = 1.0 - F.least("pn", "vn") / F.greatest("pn", "vn")  # distance is at least this
-        pairs = materialize(pairs.select("bucket", "p", "v", "k", F.least("p", "v").alias("a"), F.greatest("p", "v").alias("b"),
-                                         bound.alias("bound")), "pairs")
-        fresh = pairs.filter(F.col("bound") <= far + 1e-9).select("a", "b").distinct().join(done, ["a", "b"], "left_anti")
+    comp = None
+    while True:
+        # Pairs inside one component can give nothing new, so the members outside the bucket's main component are the
+        # ones to compare: all of them in small buckets, the first ``pivots`` in large ones.
+        part = opened if comp is None else opened.join(comp.select(F.col("v").alias("node"), "root"), "node", "left")
+        part = part.withColumn("root", F.coalesce("root", "node")) if comp is not None else part.withColumn("root", F.col("node"))
+        by_root = part.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("m"))
+        main = by_root.groupBy("bucket").agg(F.max(F.struct("m", "root")).alias("x"), F.count(F.lit(1)).alias("parts"), F.sum("m").alias("k"))
+        part = materialize(part.drop("k").join(main.filter("parts > 1").select("bucket", F.col("x.root").alias("main"), "k"), "bucket"), "parts")
+        if part.isEmpty():
+            break
+        order = Window.partitionBy("bucket").orderBy(F.desc("rank"), "node")
+        large = (part.filter((F.col("k") > small) & (F.col("root") != F.col("main")))
+                 .withColumn("r", F.row_number().over(order)).filter(F.col("r") <= pivots).drop("r"))
+        few = materialize(large.unionByName(part.filter((F.col("k") <= small) & (F.col("root") != F.col("main")))), "pivots")
+        p = few.select("bucket", F.col("node").alias("p"), F.col("n").alias("pn"), F.col("c").alias("pc"), F.col("root").alias("pr"))
+        w = part.select("bucket", F.col("node").alias("v"), F.col("n").alias("vn"), F.col("c").alias("vc"), F.col("root").alias("vr"))
+        # Similar multisets of sizes m and n have at least need * (m + n) in common, which neither can exceed.
+        pairs = p.join(w, "bucket").filter((F.col("pr") != F.col("vr")) & (F.least("pc", "vc") >= need * (F.col("pn") + F.col("vn"))))
+        fresh = pairs.select(F.least("p", "v").alias("a"), F.greatest("p", "v").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
         left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
         right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-        checked = fresh.join(right, "b").join(left, "a").mapInArrow(_verify, "a long, b long, d double")
+        checked = materialize(fresh.join(right, "b").join(left, "a").mapInArrow(_verify, "a long, b long, d double"), "checked")
         done = materialize(done.unionByName(checked), "done")
-        links = done.filter(F.col("d") <= far + 1e-9)
-        large = pairs.filter(F.col("k") > small)
-        if large.isEmpty():
+        rest = part.filter(F.col("k") > small).select("bucket", "node", "n", "c", "k", "rank").join(few.select("bucket", "node"), ["bucket", "node"], "left_anti")
+        opened = materialize(rest, "buckets")
+        if comp is None and not opened.isEmpty():  # what only one of the open documents holds cannot be shared
+            opened = opened.drop("c").join(_shared(opened, texts), "node")
+            least = opened.groupBy("bucket").agg(F.min("n").alias("least"))
+            opened = materialize(opened.join(least, "bucket").filter(F.col("c") >= need * (F.col("n") + F.col("least"))).drop("least"), "buckets")
+        if opened.isEmpty():
             break
-        # A member is finished as a pivot, or when every possible partner of it is surely linked with one of its pivots.
-        known = large.join(done, ["a", "b"], "left").select("bucket", "p", "v", F.coalesce("d", "bound").alias("d"))
-        ring = known.filter(F.col("d") > far + 1e-9).groupBy("bucket", "p").agg(F.min("d").alias("ring"))
-        settled = (known.filter(F.col("d") <= far + 1e-9).join(ring, ["bucket", "p"], "left")
-                   .filter(F.col("ring").isNull() | (F.col("d") + far < F.col("ring") - 1e-9)).select("bucket", F.col("v").alias("node")))
-        settled = settled.unionByName(few.select("bucket", F.col("p").alias("node"))).distinct()
-        rest = opened.filter(F.col("k") > small).join(settled, ["bucket", "node"], "left_anti").select("bucket", "node", "n")
-        # A bucket whose open members are one component already can give nothing new.
-        comp = connected_components(rest.select(F.col("node").alias("v")).unionByName(links.select(F.col("a").alias("v")))
-                                    .unionByName(links.select(F.col("b").alias("v"))).distinct(),
-                                    links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-        sizes = (rest.join(comp.withColumnRenamed("v", "node"), "node").groupBy("bucket")
-                 .agg(F.count(F.lit(1)).alias("k"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("k > 1 and r0 < r1").select("bucket", "k"))
-        opened = materialize(rest.join(sizes, "bucket").select("bucket", "node", "n", "k"), "buckets")
-        pivots *= 2
-    links = done.filter(F.col("d") <= far + 1e-9).select("a", "b")
+        links = done.filter(F.col("d") <= far)
+        nodes = links.select(F.col("a").alias("v")).unionByName(links.select(F.col("b").alias("v"))).distinct()
+        comp = connected_components(nodes, links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+        pivots *= 4
+    links = done.filter(F.col("d") <= far).select("a", "b")
     # Rows that repeat a doc_id with different content tie their contents together.
     home = named.join(content.select("k1", "k2", "n", "node"), ["k1", "k2", "n"], "left").select("doc_id", F.coalesce("node", "doc_id").alias("node"))
     home = materialize(home.groupBy("doc_id", "node").agg(F.count(F.lit(1)).alias("copies")), "home")

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -52,10 +53,10 @@ def tokens(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     return vocab, codes, ends
 
 
-def spread(codes: np.ndarray, ends: np.ndarray, lists: list[np.ndarray] | list[list], dtype) -> tuple[np.ndarray, np.ndarray]:
+def spread(codes: np.ndarray, ends: np.ndarray, lists: list, dtype) -> tuple[np.ndarray, np.ndarray]:
     """Replace every code by its list of values; new flat values and offsets per text."""
     size = np.fromiter((len(x) for x in lists), np.int64, len(lists))
-    flat = np.concatenate([np.asarray(x, dtype) for x in lists]) if len(lists) and size.sum() else np.zeros(0, dtype)
+    flat = np.fromiter(chain.from_iterable(lists), dtype, int(size.sum()))
     first = np.cumsum(size) - size
     n = size[codes]
     before = np.concatenate([[0], np.cumsum(n)])
@@ -79,7 +80,8 @@ def plain_words(text: str) -> list[str]:
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the plain words of each text, and offsets per text."""
     vocab, codes, ends = tokens(texts)
-    lists = [[xxhash.xxh64_intdigest(w) for w in plain_words(t)] for t in vocab]
+    one = xxhash.xxh64_intdigest
+    lists = [(one(t.lower()),) if t.isalnum() else [one(w) for w in plain_words(t)] for t in vocab]
     return spread(codes, ends, lists, np.uint64)
 
 
