@@ -23,7 +23,7 @@ from emberline.storage import materialize
 SHINGLE, SIMILARITY = 5, 0.8
 # 32 bands of 6 slots: a pair at similarity 0.8 shares no band with probability (1 - 0.8^6)^32 = 6e-5.
 BANDS, ROWS = 32, 6
-# Buckets up to this size are compared in full; larger ones by rounds of pivots, four times as many each round.
+# Buckets up to this size are compared in full; larger ones by rounds of pivots, many more each round.
 SMALL, PIVOTS = 8, 2
 
 GOLD, STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
@@ -205,10 +205,16 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, small: int = SMALL,
         large = (part.filter((F.col("k") > small) & (F.col("root") != F.col("main")))
                  .withColumn("r", F.row_number().over(order)).filter(F.col("r") <= pivots).drop("r"))
         few = materialize(large.unionByName(part.filter((F.col("k") <= small) & (F.col("root") != F.col("main")))), "pivots")
-        p = few.select("bucket", F.col("node").alias("p"), F.col("n").alias("pn"), F.col("c").alias("pc"), F.col("root").alias("pr"))
-        w = part.select("bucket", F.col("node").alias("v"), F.col("n").alias("vn"), F.col("c").alias("vc"), F.col("root").alias("vr"))
+        # A pair that meets in several buckets is made in one of them, the first that its pivot serves (32 at most).
+        p = few.join(few.groupBy("node").agg(F.collect_set("bucket").alias("pb")), "node").select(
+            "bucket", "pb", F.col("node").alias("p"), F.col("n").alias("pn"), F.col("c").alias("pc"), F.col("root").alias("pr"))
+        w = part.join(part.groupBy("node").agg(F.collect_set("bucket").alias("vb")), "node").select(
+            "bucket", "vb", F.col("node").alias("v"), F.col("n").alias("vn"), F.col("c").alias("vc"), F.col("root").alias("vr"))
         # Similar multisets of sizes m and n have at least need * (m + n) in common, which neither can exceed.
-        pairs = p.join(w, "bucket").filter((F.col("pr") != F.col("vr")) & (F.least("pc", "vc") >= need * (F.col("pn") + F.col("vn"))))
+        w = w.withColumnRenamed("bucket", "_bucket")
+        pairs = p.join(w, (F.col("bucket") == F.col("_bucket")) & (F.col("pr") != F.col("vr"))
+                       & (F.least("pc", "vc") >= need * (F.col("pn") + F.col("vn")))
+                       & (F.array_min(F.array_intersect("pb", "vb")) == F.col("bucket")))
         fresh = pairs.select(F.least("p", "v").alias("a"), F.greatest("p", "v").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
         left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
         right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
@@ -225,7 +231,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, small: int = SMALL,
         links = done.filter(F.col("d") <= far)
         nodes = links.select(F.col("a").alias("v")).unionByName(links.select(F.col("b").alias("v"))).distinct()
         comp = connected_components(nodes, links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-        pivots *= 4
+        pivots *= 32
     links = done.filter(F.col("d") <= far).select("a", "b")
     # Rows that repeat a doc_id with different content tie their contents together.
     home = named.join(content.select("k1", "k2", "n", "node"), ["k1", "k2", "n"], "left").select("doc_id", F.coalesce("node", "doc_id").alias("node"))
