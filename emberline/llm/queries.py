@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from emberline.llm import decontaminate, exact_dedup, language, near_dedup, packing
+from emberline.llm import decontaminate, exact_dedup, language, licenses, near_dedup, packing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decisions(table(spark, sf_dir, "documents"))
 
 
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.detect(table(spark, sf_dir, "documents"))
+
+
 def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     counts = language.learn(docs.filter(fold(4) != 2))
@@ -40,6 +44,7 @@ QUERIES = {
     "op1_greedy_string_tiling": decontaminated,
     "op4_configuration_packing": packed,
     "op5_exact_dedup": exact,
+    "op6_license_rules": license_scan,
     "op7_language_mixture": languages,
     "op8_bagminhash": near,
 }
