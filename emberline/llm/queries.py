@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from emberline.llm import decontaminate, exact_dedup, language, licenses, near_dedup, packing
+from emberline.llm import decontaminate, exact_dedup, language, licenses, near_dedup, packing, preference, quality, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,14 @@ def decontaminated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def graded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ratings become three grades: toxic 0, of low quality 1, good 2; a fifth of the documents is held out."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    rated = labels.select("doc_id", F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 2).alias("grade"))
+    model = quality.train(docs, rated.filter(fold(5) != 1), levels=3)
+    return quality.grade(docs, model, levels=3, keep=[(F.coalesce(fold(5), F.lit(0)) == 1).alias("held_out")])
+
+
 def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -40,13 +48,26 @@ def near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(table(spark, sf_dir, "documents"))
 
 
+def preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    out = preference.format_pairs(turns, preference.neighbours(turns))
+    return out.withColumns({c: preference.mask_text(F.col(c)) for c in ("chosen_mask", "rejected_mask")})
+
+
+def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"), learn_from=fold(5) != 1)
+
+
 QUERIES = {
     "op1_greedy_string_tiling": decontaminated,
+    "op3_ordinal_quality": graded,
     "op4_configuration_packing": packed,
     "op5_exact_dedup": exact,
     "op6_license_rules": license_scan,
     "op7_language_mixture": languages,
     "op8_bagminhash": near,
+    "op9_preference_pairs": preferences,
+    "op10_secret_forest": secret_scan,
 }
 
 SQL = {
@@ -55,4 +76,25 @@ SQL = {
         SELECT doc_id, min(doc_id) OVER w AS keep_id, CAST(count(*) OVER w AS BIGINT) AS group_size,
                doc_id = min(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
         FROM t WINDOW w AS (PARTITION BY norm)""",
+    "op9_preference_pairs": """
+        WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+        s AS (SELECT conv_id, CAST(floor(conv_id / 2) AS BIGINT) AS p, conv_id % 2 AS side, role, text,
+                     row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM t),
+        full_pairs AS (SELECT p FROM s GROUP BY p HAVING count(DISTINCT conv_id) = 2),
+        a AS (SELECT s.* FROM s JOIN full_pairs USING (p) WHERE side = 0),
+        b AS (SELECT s.* FROM s JOIN full_pairs USING (p) WHERE side <> 0),
+        j AS (SELECT coalesce(a.p, b.p) AS p, coalesce(a.i, b.i) AS i,
+                     coalesce(a.role = b.role AND a.text = b.text, false) AS same FROM a FULL JOIN b ON a.p = b.p AND a.i = b.i),
+        n AS (SELECT p, coalesce(min(i) FILTER (WHERE NOT same) - 1, max(i)) AS n FROM j GROUP BY p),
+        r AS (SELECT s.p, s.side, s.i, s.role, n.n, '<|' || role || '|>' || chr(10) || text || chr(10) AS part,
+                     length(role) + 5 AS head FROM s JOIN n USING (p)),
+        o AS (SELECT *, sum(length(part)) OVER (PARTITION BY p, side ORDER BY i) - length(part) AS pos FROM r WHERE i > n),
+        c AS (SELECT p, side, string_agg(part, '' ORDER BY i) AS body,
+                     coalesce(string_agg(CAST(pos + head AS VARCHAR) || '-' || CAST(pos + length(part) AS VARCHAR), ',' ORDER BY i)
+                              FILTER (WHERE role = 'assistant'), '') AS mask FROM o GROUP BY p, side)
+        SELECT n.p AS pair_id, n.p * 2 AS chosen_id, n.p * 2 + 1 AS rejected_id, CAST(n.n AS BIGINT) AS n_shared,
+               coalesce((SELECT string_agg(part, '' ORDER BY i) FROM r WHERE r.p = n.p AND r.side = 0 AND r.i <= r.n), '') AS prompt,
+               coalesce(x.body, '') AS chosen, coalesce(y.body, '') AS rejected, coalesce(x.mask, '') AS chosen_mask,
+               coalesce(y.mask, '') AS rejected_mask, coalesce(x.mask, '') <> '' AND coalesce(y.mask, '') <> '' AS usable
+        FROM n LEFT JOIN c x ON x.p = n.p AND x.side = 0 LEFT JOIN c y ON y.p = n.p AND y.side <> 0""",
 }
