@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from emberline.llm import decontaminate, exact_dedup, language, licenses, near_dedup, packing, preference, quality, secrets
+from emberline.llm import decontaminate, exact_dedup, language, language_model, licenses, near_dedup, packing, preference, quality, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,11 @@ def decontaminated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.coalesce(fold(5), F.lit(0)) == 1
+    return language_model.score(table(spark, sf_dir, "documents"), ~held).select("*", held.alias("held_out"))
+
+
 def graded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ratings become three grades: toxic 0, of low quality 1, good 2; a fifth of the documents is held out."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -60,6 +65,7 @@ def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_greedy_string_tiling": decontaminated,
+    "op2_elias_fano_bigrams": model_scores,
     "op3_ordinal_quality": graded,
     "op4_configuration_packing": packed,
     "op5_exact_dedup": exact,
