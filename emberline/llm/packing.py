@@ -8,8 +8,12 @@ remaining histogram is packed by best fit, and the ranges of ranks that each con
 """
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+import gc
+import re
 import zlib
 
 import numpy as np
@@ -34,16 +38,76 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _pieces(path: str, size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+# Plain words: Latin letters, perhaps with closing marks. The tokenizer lower-cases them and cuts them from the marks.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=-@{-~]*)")
+BLOCK = 12 << 20
+CACHE = 400_000
+
+
+def byte_symbols() -> list[str]:
+    """The symbol of each byte in byte-level vocabularies: printable bytes stand for themselves, others follow 255."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
+
+
+class WordIds:
+    """Ids of tokens between white space. Plain words go straight to the tokenizer's model, one call for each distinct
+    word; all others through the whole tokenizer. The cache is emptied when it is full."""
+
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_file(path)
+        self.tokenizer, self.symbols, self.cache = Tokenizer.from_file(path), byte_symbols(), {}
+        # The short cut holds for tokenizers that lower-case; it is tried on a few words and left out if it differs.
+        probe = ["Added", "word,", "été.", "Straße", "ZEBRA!!", "x###", "a|;"]
+        self.short = [list(self._plain(PLAIN.fullmatch(w))) for w in probe] == [e.ids for e in self.tokenizer.encode_batch(probe, add_special_tokens=False)]
+
+    def _part(self, text: str) -> array:
+        got = self.cache.get(text)
+        if got is None:
+            got = array("I", [t.id for t in self.tokenizer.model.tokenize("".join(self.symbols[b] for b in text.encode()) if not text.isascii() else text)])
+            self.cache[text] = got
+        return got
+
+    def _plain(self, m: re.Match) -> array:
+        return self._part(m[1].lower()) + self._part(m[2]) if m[2] else self._part(m[1].lower())
+
+    def __call__(self, vocab: list[str]) -> list:
+        out: list = [None] * len(vocab)
+        other, match, get, part = [], PLAIN.fullmatch, self.cache.get, self._part
+        for i, w in enumerate(vocab):
+            m = match(w) if self.short else None
+            if m is None:
+                other.append(i)
+                continue
+            word, marks = m.groups()
+            word = word.lower()
+            ids = get(word) or part(word)
+            out[i] = ids + (get(marks) or part(marks)) if marks else ids
+        for i, e in zip(other, self.tokenizer.encode_batch_fast([vocab[i] for i in other], add_special_tokens=False)):
+            out[i] = e.ids
+        if len(self.cache) > CACHE:
+            self.cache.clear()
+        return out
+
+
+@lru_cache(1)
+def word_ids(path: str) -> WordIds:
+    """One tokenizer and cache per Python worker, which serves many tasks."""
+    return WordIds(path)
+
+
+def _pieces(path: str, size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = word_ids(path)
         task, ranks = TaskContext.get().partitionId(), Counter()
-        for t in blocks(batches):
+        for t in blocks(batches, BLOCK):
             # The tokenizer drops white space and never joins across it, so every distinct token is encoded once.
             vocab, codes, ends = tokens(column(t, "text"))
-            ids, ends = spread(codes, ends, [e.ids for e in tok.encode_batch(vocab, add_special_tokens=False)], np.uint32)
+            gc.disable()  # half a million short arrays, none in a cycle
+            ids, ends = spread(codes, ends, encode(vocab), np.uint32)
+            gc.enable()
             docs, out = column(t, "doc_id").to_pylist(), []
             for i, doc in enumerate(docs):
                 own = np.append(ids[ends[i]:ends[i + 1]], 0).astype("<u4")
