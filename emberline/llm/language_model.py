@@ -61,11 +61,11 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         train = column(t, "train").to_numpy(zero_copy_only=False).astype(bool)
         count = np.bincount(full[np.repeat(train, np.diff(ends))], minlength=len(number))
         yield pa.RecordBatch.from_arrays(
-            [pa.array([f"{task}-{k}"]), pa.array([len(full)]), pa.array([len(number)]),
+            [pa.array([f"{task}-{k}"]), pa.array([len(full)]), pa.array([len(number)]), pa.array([end]),
              pa.array([squeeze(column(t, "row").to_numpy(zero_copy_only=False).astype("<i8"))], pa.binary()), pa.array([squeeze(train)], pa.binary()),
              pa.array([squeeze(ends.astype("<i4"))], pa.binary()), pa.array([squeeze(full.astype("<i4"))], pa.binary()),
              pa.array([zstandard.compress("\0".join(number).encode(), 1)], pa.binary()), pa.array([squeeze(count.astype("<i4"))], pa.binary())],
-            names=["chunk", "n_tokens", "n_words", "rows", "train", "ends", "codes", "words", "counts"])
+            names=["chunk", "n_tokens", "n_words", "end_code", "rows", "train", "ends", "codes", "words", "counts"])
 
 
 def _vocabulary(row) -> list[str]:
@@ -116,7 +116,7 @@ class Chunk:
             ids[at], counts[at] = expand(i, "<i8"), expand(c, "<i8")
         self.rows, self.train = expand(row.rows, "<i8"), expand(row.train, bool)
         self.ends, codes = expand(row.ends, "<i4").astype(np.int64), expand(row.codes, "<i4")
-        self.end = _vocabulary(row).index(END)
+        self.end = int(row.end_code)
         self.ids, self.counts = ids, counts
         self.unigram = (counts + 0.5) / (total + 0.5 * (distinct + 1))
         before = np.empty_like(codes)
@@ -221,7 +221,7 @@ def score(docs: DataFrame, train: Column, chunk_tokens: int = SHARD_TOKENS, shar
     src = docs.select(F.col("doc_id").cast("long").alias("row"), F.coalesce(train, F.lit(False)).alias("train"), F.coalesce("text", F.lit("")).alias("text"))
     # A null id travels as the smallest number, which no id may be.
     src = src.withColumn("row", F.coalesce("row", F.lit(-(2 ** 63))))
-    chunks = materialize(src.mapInArrow(_chunks, "chunk string, n_tokens long, n_words long, rows binary, train binary, ends binary, codes binary, words binary, counts binary"), "chunks")
+    chunks = materialize(src.mapInArrow(_chunks, "chunk string, n_tokens long, n_words long, end_code long, rows binary, train binary, ends binary, codes binary, words binary, counts binary"), "chunks")
     size = chunks.agg(F.sum("n_tokens"), F.sum("n_words")).first()
     word_shards, pair_shards = (max(1, -(-(x or 0) // y)) for x, y in ((size[1], shard_words), (size[0], chunk_tokens)))
 
@@ -231,14 +231,14 @@ def score(docs: DataFrame, train: Column, chunk_tokens: int = SHARD_TOKENS, shar
     stats = answered.filter("chunk is null").agg(F.sum("distinct"), F.sum("total")).first()
     distinct, total = stats[0] or 0, stats[1] or 0
 
-    gone = {c: F.lit(None).cast("binary") for c in ("rows", "train", "ends", "codes", "words")}
-    one = chunks.select("chunk", F.lit(0).alias("kind"), "n_words", "rows", "train", "ends", "codes", "words", *[F.lit(None).cast("binary").alias(c) for c in ("place", "ids", "counts")])
-    two = answered.filter("chunk is not null").select("chunk", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("n_words"), *[c.alias(n) for n, c in gone.items()], "place", "ids", "counts")
+    gone = {c: F.lit(None).cast("binary") for c in ("rows", "train", "ends", "codes")}
+    one = chunks.select("chunk", F.lit(0).alias("kind"), "n_words", "end_code", "rows", "train", "ends", "codes", *[F.lit(None).cast("binary").alias(c) for c in ("place", "ids", "counts")])
+    two = answered.filter("chunk is not null").select("chunk", F.lit(1).alias("kind"), *[F.lit(0).cast("long").alias(x) for x in ("n_words", "end_code")], *[c.alias(n) for n, c in gone.items()], "place", "ids", "counts")
     pairs = one.unionByName(two).groupBy("chunk").applyInPandas(
         _ask_pairs(pair_shards, distinct, total),
         "chunk string, shard int, place binary, ctx binary, size binary, ctx_count binary, w binary, seen binary, unigram binary").withColumnRenamed("size", "size_")
     model = materialize(pairs.groupBy("shard").applyInPandas(_answer_pairs, "chunk string, shard int, place binary, codes binary"), "tries")
-    three = model.filter("chunk is not null").select("chunk", F.lit(2).alias("kind"), F.lit(0).cast("long").alias("n_words"), *[c.alias(n) for n, c in gone.items()],
+    three = model.filter("chunk is not null").select("chunk", F.lit(2).alias("kind"), *[F.lit(0).cast("long").alias(x) for x in ("n_words", "end_code")], *[c.alias(n) for n, c in gone.items()],
                                                      "place", F.col("codes").alias("ids"), F.lit(None).cast("binary").alias("counts"))
     scored = one.unionByName(two).unionByName(three).groupBy("chunk").applyInPandas(
         _score(distinct, total), "row long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
