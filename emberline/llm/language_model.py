@@ -126,10 +126,19 @@ class Chunk:
         key, self.pair = np.unique(before.astype(np.int64) * n + codes, return_inverse=True)
         self.v, self.w = key // n, key % n
 
-    def shard(self, shards: int) -> np.ndarray:
-        v, w = self.ids[self.v].astype(np.uint64), self.ids[self.w].astype(np.uint64)
-        spread = np.where(self.counts[self.v] > HOT, w, np.uint64(0))
-        return (mix(v * np.uint64(0x9E3779B97F4A7C15) + spread) % np.uint64(shards)).astype(np.int64)
+    def asks(self, shards: int) -> dict[int, np.ndarray]:
+        """The places of the pairs to ask each pair shard for, sorted by the ids of context and word.
+
+        Successors of contexts with more than HOT training tokens are spread over all shards. Words that are in no training
+        text need not be asked for. The answers come in this order, so places are not sent.
+        """
+        v, w = self.ids[self.v], self.ids[self.w]
+        spread = np.where(self.counts[self.v] > HOT, w, 0).astype(np.uint64)
+        shard = (mix(v.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + spread) % np.uint64(shards)).astype(np.int64)
+        ask = np.flatnonzero((v > 0) & (w > 0))
+        ask = ask[np.lexsort((w[ask], v[ask], shard[ask]))]
+        parts = np.split(ask, np.flatnonzero(np.diff(shard[ask])) + 1) if len(ask) else []
+        return {int(shard[part[0]]): part for part in parts}
 
 
 def _split(frame: pd.DataFrame):
@@ -143,25 +152,19 @@ def _ask_pairs(shards: int, distinct: int, total: int):
         row, words, _ = _split(frame)
         c = Chunk(row, words, distinct, total)
         seen = np.bincount(c.pair[np.repeat(c.train, np.diff(c.ends))], minlength=len(c.v))
-        shard = c.shard(shards)
         v, w = c.ids[c.v], c.ids[c.w]
-        ask = np.flatnonzero((v > 0) & (w > 0))  # others were in no training text
-        ask = ask[np.lexsort((w[ask], v[ask], shard[ask]))]
+        wide = "<i4" if w.max(initial=0) < 2 ** 31 else "<i8"
         out = []
-        for part in np.split(ask, np.flatnonzero(np.diff(shard[ask])) + 1) if len(ask) else []:
+        for shard, part in c.asks(shards).items():
             ctx, first = np.unique(v[part], return_index=True)
             size = np.diff(np.append(first, len(part)))
-            out.append((c_name(row), int(shard[part[0]]), squeeze(part.astype("<i4")), squeeze(ctx.astype("<i8")), squeeze(size.astype("<i4")),
-                        squeeze(c.counts[c.v[part[first]]].astype("<i8")), squeeze(w[part].astype("<i4" if w.max() < 2 ** 31 else "<i8")),
+            out.append((row.chunk, shard, squeeze(ctx.astype("<i8")), squeeze(size.astype("<i4")),
+                        squeeze(c.counts[c.v[part[first]]].astype("<i8")), squeeze(w[part].astype(wide)),
                         squeeze(seen[part].astype("<i4")), squeeze(quantise(c.unigram[c.w[part]]))))
-        return pd.DataFrame(out, columns=["chunk", "shard", "place", "ctx", "size", "ctx_count", "w", "seen", "unigram"])
+        return pd.DataFrame(out, columns=["chunk", "shard", "ctx", "size", "ctx_count", "w", "seen", "unigram"])
     return run
 
 
-def c_name(row) -> str:
-    return row.chunk
-
-
 def _answer_pairs(frame: pd.DataFrame) -> pd.DataFrame:
     """Build the shard's trie from all questions and answer them from it; the last row is the trie."""
     vs, ws, n, total, uni = [], [], [], [], []
@@ -184,21 +187,22 @@ def _answer_pairs(frame: pd.DataFrame) -> pd.DataFrame:
     p = (seen[on] + PRIOR * 10.0 ** log10_of(uni[on])) / (total[on] + PRIOR)
     data = build(v[on], w[on], quantise(np.minimum(p, 1.0)))
     trie, file = mapped(data)
-    out = [(r.chunk, r.shard, r.place, squeeze(trie.lookup(a, b))) for r, a, b in zip(frame.itertuples(), vs, ws)]
+    out = [(r.chunk, r.shard, squeeze(trie.lookup(a, b))) for r, a, b in zip(frame.itertuples(), vs, ws)]
     del trie
     file.close()
-    out.append((None, int(frame["shard"].iloc[0]), None, data))
-    return pd.DataFrame(out, columns=["chunk", "shard", "place", "codes"])
+    out.append((None, int(frame["shard"].iloc[0]), data))
+    return pd.DataFrame(out, columns=["chunk", "shard", "codes"])
 
 
-def _score(distinct: int, total: int):
+def _score(shards: int, distinct: int, total: int):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         row, words, pairs = _split(frame)
         c = Chunk(row, words, distinct, total)
         uni = np.log10(c.unigram)
         code = np.zeros(len(c.v), np.uint8)
-        for place, got in zip(pairs["place"], pairs["ids"]):
-            code[expand(place, "<i4")] = expand(got, np.uint8)
+        asks = c.asks(shards)
+        for shard, got in zip(pairs["n_words"], pairs["ids"]):  # the rows of pair shards have their number there
+            code[asks[int(shard)]] = expand(got, np.uint8)
         context = c.counts[c.v]
         logp = np.where(code > 0, log10_of(code), np.log10(PRIOR / (context + PRIOR)) + uni[c.w])
         sums = lambda x: np.add.reduceat(x, c.ends[:-1]) if len(c.ends) > 1 else x[:0]
@@ -236,10 +240,11 @@ def score(docs: DataFrame, train: Column, chunk_tokens: int = SHARD_TOKENS, shar
     two = answered.filter("chunk is not null").select("chunk", F.lit(1).alias("kind"), *[F.lit(0).cast("long").alias(x) for x in ("n_words", "end_code")], *[c.alias(n) for n, c in gone.items()], "place", "ids", "counts")
     pairs = one.unionByName(two).groupBy("chunk").applyInPandas(
         _ask_pairs(pair_shards, distinct, total),
-        "chunk string, shard int, place binary, ctx binary, size binary, ctx_count binary, w binary, seen binary, unigram binary").withColumnRenamed("size", "size_")
-    model = materialize(pairs.groupBy("shard").applyInPandas(_answer_pairs, "chunk string, shard int, place binary, codes binary"), "tries")
-    three = model.filter("chunk is not null").select("chunk", F.lit(2).alias("kind"), *[F.lit(0).cast("long").alias(x) for x in ("n_words", "end_code")], *[c.alias(n) for n, c in gone.items()],
-                                                     "place", F.col("codes").alias("ids"), F.lit(None).cast("binary").alias("counts"))
+        "chunk string, shard int, ctx binary, size binary, ctx_count binary, w binary, seen binary, unigram binary").withColumnRenamed("size", "size_")
+    model = materialize(pairs.groupBy("shard").applyInPandas(_answer_pairs, "chunk string, shard int, codes binary"), "tries")
+    three = model.filter("chunk is not null").select(
+        "chunk", F.lit(2).alias("kind"), F.col("shard").cast("long").alias("n_words"), F.lit(0).cast("long").alias("end_code"),
+        *[c.alias(n) for n, c in gone.items()], F.lit(None).cast("binary").alias("place"), F.col("codes").alias("ids"), F.lit(None).cast("binary").alias("counts"))
     scored = one.unionByName(two).unionByName(three).groupBy("chunk").applyInPandas(
-        _score(distinct, total), "row long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        _score(pair_shards, distinct, total), "row long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return scored.select(F.when(F.col("row") != -(2 ** 63), F.col("row")).alias("doc_id"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
