@@ -1,0 +1,270 @@
+"""The training-data operators against brute force and on the awkward rows: nulls, empty and long texts, ties, repeats,
+empty tables, clashing column names."""
+import re
+import zlib
+from collections import Counter
+from math import log10
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+import check
+import corpus_pipeline
+from emberline.llm import decontaminate, elias_fano, exact_dedup, language, language_model, licenses, near_dedup, packing, preference, quality, queries, secrets
+
+SF = "/root/testdata/sf0.001"
+LONG = " ".join(f"word{i % 977} and{i % 13}" for i in range(40_000))
+ODD = [(1, "a  b\n c", "en"), (2, "a b c", None), (3, None, "en"), (4, "", "fr"), (5, LONG, "en"), (5, LONG, "en"), (None, "a b c", "en"),
+       (7, "### ***", "en"), (8, "The MIT License", "en"), (9, "x" * 50_000, None)]
+CLASH = "doc_id long, text string, lang string"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    more = ["_text", "keep_id", "node", "bucket", "n", "score", "length", "row", "kept", "c0"]
+    df = spark.createDataFrame(ODD, CLASH)
+    for c in more:
+        df = df.withColumn(c, F.lit("x"))
+    return df
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], CLASH)
+
+
+@pytest.fixture(scope="module")
+def texts(spark):
+    return {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_same_rows_as_sql(spark, name):
+    assert check.compare(spark, check.connect(SF), name, SF).startswith("ok")
+
+
+def test_exact_copies(spark, odd, empty):
+    rows = exact_dedup.decisions(odd).collect()
+    assert len(rows) == len(ODD) and exact_dedup.decisions(empty).count() == 0
+    assert {r.doc_id: r.keep_id for r in rows if r.doc_id in (1, 2, None)} == {1: 1, 2: 1, None: 1}
+    assert {r.doc_id: (r.keep_id, r.group_size) for r in rows if r.doc_id in (3, 4)} == {3: (3, 2), 4: (3, 2)}
+    kept = exact_dedup.deduplicate(odd)
+    assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3, 5, 7, 8, 9]
+
+
+def test_exact_copies_with_clashing_digests(odd):
+    weak = exact_dedup.decisions(odd, digest=lambda t: F.length(t).cast("string"), rows_per_salt=2)
+    strong = exact_dedup.decisions(odd)
+    key = lambda df: sorted(map(str, df.select("doc_id", "keep_id", "group_size", "kept").collect()))
+    assert key(weak) == key(strong)
+
+
+def brute_classes(texts):
+    def cut(t):
+        w = re.findall(r"[^\W_]+", (t or "").lower())
+        return Counter(tuple(w[i:i + 5]) for i in range(max(len(w) - 4, 1))) if w else Counter()
+
+    sets, root = {d: cut(t) for d, t in texts.items()}, {d: d for d in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1:]:
+            common = (sets[a] & sets[b]).total()
+            if common and common / (sets[a] | sets[b]).total() >= 0.8:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {d: find(d) for d in ids}
+
+
+@pytest.mark.parametrize("limits", [{}, {"small": 2, "pivots": 1}])
+def test_near_copies_are_those_of_all_pairs(spark, texts, limits):
+    words = [f"w{i}" for i in range(60)]
+    near = {10_000 + k: " ".join(words[:k] + [f"new{k}"] + words[k + 1:]) for k in range(40)} | {10_100 + k: " ".join([*words, f"x{k}", f"y{k}", f"z{k}"]) for k in range(12)}
+    both = texts | near
+    docs = spark.createDataFrame(list(both.items()), "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in near_dedup.classes(docs, **limits).collect()} == brute_classes(both)
+
+
+def test_near_copies_of_awkward_rows(odd, empty):
+    rows = near_dedup.classes(odd).collect()
+    assert len(rows) == len(ODD) and near_dedup.classes(empty).count() == 0
+    assert {r.doc_id: r.class_id for r in rows} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, None: None, 7: 7, 8: 8, 9: 9}
+    assert sorted(str(r.doc_id) for r in near_dedup.deduplicate(odd).collect()) == sorted(map(str, [1, 3, 4, 5, 5, None, 7, 8, 9]))
+
+
+def test_signatures_estimate_weighted_overlap():
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(0, 9, 200), rng.integers(0, 9, 200)
+    sh, n = np.arange(200).astype(np.uint64) * np.uint64(7919), 4096
+    doc = np.repeat([0, 1], 200)
+    count = np.concatenate([a, b])
+    sig = near_dedup.signatures(doc[count > 0], np.tile(sh, 2)[count > 0], count[count > 0], 2, n)
+    assert abs((sig[0] == sig[1]).mean() - np.minimum(a, b).sum() / np.maximum(a, b).sum()) < 0.03
+
+
+def test_tiles_find_reordered_passages():
+    item = list(range(1, 31))
+    assert sum(k for _, _, k in decontaminate.tiles(item, [99, *item[15:], 98, *item[:15]], 5)) == 30
+    assert decontaminate.tiles(item, [*item[:4], 99, *item[10:14]], 5) == []
+    found = decontaminate.tiles(item, [*item, *item], 5)
+    assert found == [(0, 0, 30)]
+
+
+def test_leaks(spark, odd, empty):
+    bench = spark.createDataFrame([(1, "a b c"), (2, None), (3, ""), (4, " ".join(f"t{i}" for i in range(12)))], "item_id long, text string")
+    docs = spark.createDataFrame([(20, "q t6 t7 t8 t9 t10 t11 r t0 t1 t2 t3 t4 t5"), (21, "t0 t1 t2 t3 z"), (22, None)], "doc_id long, text string")
+    for limit in (100, 0):  # sent to the tasks, or joined
+        got = {(r.doc_id, r.item_id): r.coverage for r in decontaminate.matches(docs, bench, broadcast_items=limit).collect()}
+        assert got == {(20, 4): 1.0}
+        assert {r.doc_id for r in decontaminate.matches(odd, bench, broadcast_items=limit).collect()} == {1, 2}
+        assert decontaminate.matches(empty, bench, broadcast_items=limit).count() == 0
+    assert decontaminate.clean(odd, bench).columns == odd.columns
+    assert decontaminate.matches(odd, bench.limit(0)).count() == 0
+
+
+def test_packing_round_trip(spark, texts, odd, empty):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(packing.tokenizer_path())
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = packing.pack(docs).collect()
+    by_doc = {}
+    for r in rows:
+        by_doc.setdefault(r.doc_id, []).append(r)
+    for d, t in texts.items():
+        ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        parts = sorted(by_doc[d], key=lambda r: r.piece)
+        assert [(r.start, r.length) for r in parts] == [(s, len(ids[s:s + 2048])) for s in range(0, len(ids), 2048)]
+        assert [r.ids_crc32 for r in parts] == [zlib.crc32(ids[r.start:r.start + r.length].tobytes()) for r in parts]
+    place = {}
+    for r in rows:
+        place.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for spans in place.values():
+        spans.sort()
+        assert all(a + n == b for (a, n), (b, _) in zip(spans, spans[1:])) and spans[0][0] == 0 and sum(n for _, n in spans) <= 2048
+    assert len(place) <= 1.01 * -(-sum(r.length for r in rows) // 2048) + 1
+    assert len({(r.doc_id, r.piece, r.sequence_id, r.offset) for r in packing.pack(odd).collect()}) >= len(ODD) and packing.pack(empty).count() == 0
+
+
+def test_word_ids_equal_the_tokenizer():
+    ids = packing.word_ids(packing.tokenizer_path())
+    for w in ["Σίσυφος", "ÀÉ,", "naïve..", "it's", "don't,", "<|endoftext|>", "a<|endoftext|>b", "İI", "ªº", "áb", "x\xa0y", "ß", "½", "token!!", "|a|"]:
+        assert list(ids([w])[0]) == ids.tokenizer.encode(w, add_special_tokens=False).ids
+
+
+def test_language_on_held_out_rows(spark, odd, empty):
+    rows = queries.languages(spark, "/root/testdata/sf0.01").filter("held_out").join(
+        spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
+    assert sum(r.lang == r.lang_pred for r in rows) >= 0.95 * len(rows)
+    counts = language.learn(odd)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.predict(odd, counts).collect()}
+    assert got[3] == got[4] == got[7] == ("und", 0.0) and got[8][0] == "en"
+    kept = language.identified(odd, counts)
+    assert kept.columns == odd.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, [1, 2, 5, 5, None, 8, 9]))
+    assert language.predict(odd, language.learn(empty)).filter("lang_pred <> 'und'").isEmpty() and language.identified(empty, counts).isEmpty()
+
+
+def test_mixtures_name_all_languages(spark):
+    docs = spark.createDataFrame([(1, "abc abd abe " * 30, "x"), (2, "uvw uvx uvy " * 30, "y")], CLASH)
+    mixed = spark.createDataFrame([(3, "abc abd abe " * 20 + "uvw uvx uvy " * 10)], "doc_id long, text string")
+    r = language.predict(mixed, language.learn(docs)).first()
+    assert (r.lang_pred, r.langs) == ("x", "x,y") and abs(r.score - 2 / 3) < 0.02
+
+
+def test_elias_fano_and_trie():
+    rng = np.random.default_rng(1)
+    for n, top in ((1, 0), (5, 3), (1000, 10 ** 6), (3000, 10 ** 12)):
+        v = np.sort(rng.integers(0, top + 1, n))
+        e = elias_fano.EliasFano(np.frombuffer(elias_fano.encode(v), np.uint8))
+        assert (e.get(np.arange(n)) == v).all()
+    pairs = np.unique(rng.integers(0, 300, (4000, 2)), axis=0)
+    codes = rng.integers(1, 256, len(pairs))
+    trie, file = elias_fano.mapped(elias_fano.build(pairs[:, 0], pairs[:, 1], codes))
+    want = {tuple(p): c for p, c in zip(pairs.tolist(), codes)}
+    q = rng.integers(0, 320, (5000, 2))
+    assert trie.lookup(q[:, 0], q[:, 1]).tolist() == [want.get(tuple(x), 0) for x in q.tolist()]
+    file.close()
+
+
+def test_language_model_scores(spark, texts, odd, empty):
+    got = {r.doc_id: r for r in queries.model_scores(spark, SF).collect()}
+    words = {d: re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(language_model.LOWER)) + ["\n"] for d, t in texts.items()}
+    train = [d for d in words if zlib.crc32(str(d).encode()) % 5 != 1]
+    one, two = Counter(w for d in train for w in words[d]), Counter(p for d in train for p in zip(["\n", *words[d]], words[d]))
+    total, distinct = sum(one.values()), len(one)
+    uni = lambda w: (one[w] + 0.5) / (total + 0.5 * (distinct + 1))
+    for d, t in words.items():
+        r = got[d]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(one[w] > 0 for w in t), total)
+        assert abs(r.base_score - sum(log10(uni(w)) for w in t)) < 1e-6
+        s = sum(log10((two[v, w] + 4 * uni(w)) / (one[v] + 4)) for v, w in zip(["\n", *t], t))
+        assert abs(r.score - s) <= 0.03 * len(t)
+    assert language_model.score(odd, F.lit(True), chunk_tokens=500, shard_words=100).count() == len(ODD)
+    assert language_model.score(empty, F.lit(True)).count() == 0
+
+
+def test_quality_orders_grades(spark, odd, empty):
+    rows = [(i, ("good fine words here " if i % 3 == 2 else "plain dull words here " if i % 3 == 1 else "bad vile words here ") * 3) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = quality.train(docs, spark.createDataFrame([(i, i % 3) for i in range(240)], "doc_id long, grade int"), 3)
+    assert (np.diff(quality.thresholds(model[2])) > 0).all()
+    got = {r.doc_id: r for r in quality.grade(docs, model, 3).collect()}
+    assert all(got[i].selected == (i % 3 == 2) and round(got[i].expected_grade) == i % 3 for i in range(240, 300))
+    assert quality.grade(odd, model, 3).count() == len(ODD) and quality.grade(empty, model, 3).count() == 0
+    assert quality.train(docs, spark.createDataFrame([(1, None)], "doc_id long, grade int"), 3) is None
+    assert quality.grade(odd, None, 3).filter("not selected").isEmpty()
+
+
+def test_license_rules_and_suppression(spark, odd, empty):
+    rows = [(1, "cc by nc CC-BY-NC 4.0"), (2, None), (3, ""), (4, "Under the MIT License under the mit license!"),
+            (5, "GNU General Public License, version 3 or later"), (6, "Licensed under the Apache License, Version 2.0.")]
+    got = {r.doc_id: r for r in licenses.detect(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[1].n_base, got[1].first_word, got[1].last_word, got[1].labels) == (2, 0, 3, "cc-by-nc")
+    assert (got[4].n_base, got[4].first_word, got[4].last_word, got[4].labels) == (2, 0, 4, "mit")
+    assert (got[5].n_base, got[5].labels) == (0, "gpl-3") and got[6].labels == "apache-2" and got[6].n_suppressed > 0
+    assert got[2].n_words == got[3].n_words == 0 and got[2].first_word is None
+    assert len(licenses.rules()) > 200
+    assert licenses.detect(odd).count() == len(ODD) and licenses.detect(empty).count() == 0
+
+
+def test_preferences(spark):
+    turns = [(0, 0, "user", "hi"), (0, 1, "assistant", "a"), (1, 0, "user", "hi"), (1, 1, "assistant", "b"), (1, 1, "assistant", "b"),
+             (2, 0, "user", None), (3, 0, "user", ""), (4, 0, None, "alone"), (None, 0, "user", "x")]
+    t = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("n", F.lit(1))
+    got = {r.pair_id: r for r in preference.format_pairs(t, preference.neighbours(t)).collect()}
+    assert set(got) == {0, 1}
+    assert (got[0].prompt, got[0].chosen, got[0].rejected, got[0].usable) == ("<|user|>\nhi\n", "<|assistant|>\na\n", "<|assistant|>\nb\n", True)
+    assert [(m.start, m.end) for m in got[0].chosen_mask] == [(14, 16)] and not got[1].usable and got[1].n_shared == 1
+    assert preference.format_pairs(t.limit(0), preference.neighbours(t.limit(0))).count() == 0
+
+
+def test_secrets(spark, odd, empty):
+    rows = [(i, f'the token = "{i:08x}{"deadbeef1234cafe0a9b"}" of', f"src{i % 3}") for i in range(40)] + [(100 + i, f"call +1 (722) 555-{8000 + i} or 48009673579{i:05d}", None) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = secrets.scan(docs).collect()
+    assert {r.doc_id for r in got if r.secret} == set(range(40)) and {r.doc_id for r in got if not r.secret} == set(range(100, 140))
+    assert secrets.scan(odd).count() > 0 and secrets.scan(empty).count() == 0
+
+
+def test_pipeline_stages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    names, before = docs.columns, {r.doc_id for r in docs.collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF).cache()
+        assert docs.columns == names, name
+        after = [r.doc_id for r in docs.collect()]
+        assert len(after) == len(set(after)) and set(after) <= before
+        if name == "near_dedup":
+            kept = brute_classes({d: texts[d] for d in before})
+            assert set(after) == {c for c in kept.values()}
+        before = set(after)
+    packed = corpus_pipeline.run(spark, SF)
+    assert {r.doc_id for r in packed.collect()} == before
