@@ -71,7 +71,7 @@ def _counts(buckets: int):
                 total[lang] = total.get(lang, 0) + np.bincount(bucket[on], count[on], buckets)
         for lang, c in total.items():
             at = np.flatnonzero(c)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at), pa.array(c[at].astype(np.int64))],
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(c[at].astype(np.int64))],
                                              names=["lang", "bucket", "n"])
     return run
 
