@@ -23,7 +23,7 @@ MINOR = 0.02
 LETTER = regex.compile(r"\p{L}")
 NOT_LETTERS = regex.compile(r"[^\p{L}]+")
 UNKNOWN = "und"
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 
 
 def trigrams(texts: pa.Array, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -25,6 +25,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 6
 # Buckets up to this size are compared in full; larger ones by rounds of pivots, many more each round.
 SMALL, PIVOTS = 8, 2
+# Bytes of text that a task works on at a time.
+BLOCK = 3 << 20
 
 GOLD, STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
@@ -85,7 +87,7 @@ def signatures(doc: np.ndarray, sh: np.ndarray, count: np.ndarray, n_docs: int,
 
 def _sketch(bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in blocks(batches):
+        for t in blocks(batches, BLOCK):
             words, ends = word_hashes(column(t, "text"))
             sh, ends = shingles(words, ends, SHINGLE)
             doc, s, c = weigh(sh, ends)
@@ -128,7 +130,7 @@ def overlap(texts: pa.Array, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for t in blocks(batches):
+    for t in blocks(batches, BLOCK):
         enc = pa.concat_arrays([column(t, "text_a").cast(pa.large_string()), column(t, "text_b").cast(pa.large_string())]).dictionary_encode()
         at = enc.indices.to_numpy(zero_copy_only=False)
         j = overlap(enc.dictionary, at[:t.num_rows], at[t.num_rows:])
@@ -138,7 +140,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per block: every distinct shingle with the number of documents that hold it (2 stands for more), one of them and
     its count there."""
-    for t in blocks(batches):
+    for t in blocks(batches, BLOCK):
         sh, ends = shingles(*word_hashes(column(t, "text")), SHINGLE)
         doc, s, c = weigh(sh, ends)
         order = np.argsort(s, kind="stable")

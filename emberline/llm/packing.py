@@ -40,8 +40,8 @@ def tokenizer_path() -> str:
 
 # Plain words: Latin letters, perhaps with closing marks. The tokenizer lower-cases them and cuts them from the marks.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=-@{-~]*)")
-BLOCK = 12 << 20
-CACHE = 400_000
+BLOCK = 8 << 20
+CACHE = 150_000
 
 
 def byte_symbols() -> list[str]:
