@@ -1,6 +1,7 @@
 """Words of many texts at once: Arrow splits and numbers them, costly work is done once per distinct token."""
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Iterator
 from itertools import chain
@@ -20,6 +21,15 @@ def bounded_batches(spark: SparkSession, rows: int = 256) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def give_back() -> None:
+    """Return freed memory to the machine: Python workers live on and share an executor's memory with its heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        pass
+
+
 def blocks(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES) -> Iterator[pa.Table]:
     """Tables of about ``limit`` bytes; a task never holds more than one of them."""
     held, size = [], 0
@@ -30,8 +40,10 @@ def blocks(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES) -> Itera
         if size >= limit:
             yield pa.Table.from_batches(held).combine_chunks()
             held, size = [], 0
+            give_back()
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
+    give_back()
 
 
 def column(table: pa.Table, name: str) -> pa.Array:
