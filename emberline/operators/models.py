@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from emberline.config import Settings
 from emberline.operators import metrics
-from emberline.operators.split import first_rows, random_holdout, stratified_folds
+from emberline.operators.split import random_holdout, shuffle_key, stratified_folds
 from emberline.storage import materialize
 
 # Search ranges per model family (whole or real numbers, both ends included).
@@ -123,8 +123,8 @@ def out_of_fold(params: dict, train: DataFrame, settings: Settings) -> DataFrame
 
 
 def warm_up(params: dict, train: DataFrame, settings: Settings):
-    """Model fitted on the first rows only."""
-    few = first_rows(train.withColumn("_one", F.lit(0)), ["_one"], settings.warmup_rows).drop("_one")
+    """Model fitted on a seeded choice of the rows; synthetic ones (negative ids) come after all others."""
+    few = train.orderBy(F.col("row_id") < 0, shuffle_key(settings.seed, "row_id"), "row_id").limit(settings.warmup_rows)
     return estimator(params, True, settings.seed).fit(few)
 
 

@@ -10,10 +10,13 @@ from emberline.operators.scan import HOT_ROWS, row_rank
 
 OBS_SCHEMA = "dataset string, pixel_id long, lat double, lon double, ts timestamp, band string, value double"
 
+# Text columns hold JSON, whose quotes the exports double inside a quoted field.
+CSV = {"header": True, "quote": '"', "escape": '"'}
+
 
 def csv_header(spark: SparkSession, path: str) -> list[str]:
     """Column names from the first line; raises when the path does not exist."""
-    return spark.read.option("header", True).csv(path).columns
+    return spark.read.options(**CSV).csv(path).columns
 
 
 def with_found_types(df: DataFrame) -> DataFrame:
@@ -39,11 +42,12 @@ def load_samples(spark: SparkSession, path: str, settings: Settings = Settings()
                  schema: StructType | str | None = None) -> DataFrame:
     """Sample CSV with header; configured columns dropped, a ``row_id`` added when absent, NaN read as NULL.
 
-    With a ``schema`` the file is read once. Without, columns are typed by their values, so that dirty numbers such as
-    ``[0.5]`` stay text for the cleaning step. Added ids follow file order, with gaps between input splits.
+    Doubled quotes inside quoted fields are read as quotes. With a ``schema`` the file is read once, and files whose header
+    differs from it are refused. Without, columns are typed by their values, so that dirty numbers such as ``[0.5]`` stay text
+    for the cleaning step. Added ids follow file order, with gaps between input splits.
     """
     names = csv_header(spark, path)
-    reader = spark.read.option("header", True)
+    reader = spark.read.options(**CSV, enforceSchema=False)
     df = reader.schema(schema or ", ".join(f"`{n}` string" for n in names)).csv(path)
     df = drop_configured(df, settings)
     if schema is None:
@@ -67,7 +71,7 @@ def nan_to_null(df: DataFrame) -> DataFrame:
 def scan_observations(spark: SparkSession, path: str, dataset: str, bands: list[str], fmt: str = "parquet") -> DataFrame:
     """Observations of one collection and some bands; both choices are pushed to the scan."""
     reader = spark.read.schema(OBS_SCHEMA)
-    df = reader.option("header", True).csv(path) if fmt == "csv" else reader.parquet(path)
+    df = reader.options(**CSV).csv(path) if fmt == "csv" else reader.parquet(path)
     return df.filter((F.col("dataset") == dataset) & F.col("band").isin(*bands))
 
 
@@ -77,13 +81,13 @@ def write_observations(df: DataFrame, path: str, mode: str = "overwrite") -> Non
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).option("header", True).csv(path)
+    df.write.mode(mode).options(**CSV).csv(path)
 
 
 def write_yearly(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwrite") -> None:
     """One folder per year."""
     w = df.write.mode(mode).partitionBy("year")
-    w.option("header", True).csv(path) if fmt == "csv" else w.parquet(path)
+    w.options(**CSV).csv(path) if fmt == "csv" else w.parquet(path)
 
 
 def write_predictions(df: DataFrame, path: str, mode: str = "overwrite") -> None:
