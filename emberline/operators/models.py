@@ -8,7 +8,7 @@ from __future__ import annotations
 import random
 import time
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark import inheritable_thread_target
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from emberline.config import Settings
 from emberline.operators import metrics
-from emberline.operators.split import random_holdout, shuffle_key, stratified_folds
+from emberline.operators.split import class_sample, random_holdout, stratified_folds
 from emberline.storage import materialize
 
 # Search ranges per model family (whole or real numbers, both ends included).
@@ -106,14 +106,18 @@ def fold_scores(params: dict, train: DataFrame, folds: int, repeats: int, seed:
     return materialize(reduce(DataFrame.unionByName, out), "oof")
 
 
-def cross_validate(params: dict, train: DataFrame, settings: Settings) -> tuple[float | None, float | None]:
-    """Mean and population deviation of the fold scores; None when a fold cannot be fitted."""
+def reason(what: str, e: Exception) -> str:
+    return f"{what}: {type(e).__name__}: {str(e)[:200]}"
+
+
+def cross_validate(params: dict, train: DataFrame, settings: Settings) -> tuple[float | None, float | None, str | None]:
+    """Mean and population deviation of the fold scores; when a fold cannot be fitted, None twice and the reason."""
     try:
         s = fold_scores(params, train, settings.cv_folds, settings.cv_repeats, settings.seed)
         r = metrics.cv_summary(metrics.average_precision(s, ["repeat", "fold"]), [], "pr_auc").first()
-        return r["cv_mean"], r["cv_std"]
-    except Exception:
-        return None, None
+        return r["cv_mean"], r["cv_std"], None
+    except Exception as e:
+        return None, None, reason("cross-validation", e)
 
 
 def out_of_fold(params: dict, train: DataFrame, settings: Settings) -> DataFrame:
@@ -123,9 +127,8 @@ def out_of_fold(params: dict, train: DataFrame, settings: Settings) -> DataFrame
 
 
 def warm_up(params: dict, train: DataFrame, settings: Settings):
-    """Model fitted on a seeded choice of the rows; synthetic ones (negative ids) come after all others."""
-    few = train.orderBy(F.col("row_id") < 0, shuffle_key(settings.seed, "row_id"), "row_id").limit(settings.warmup_rows)
-    return estimator(params, True, settings.seed).fit(few)
+    """Model fitted on a bounded choice of the original rows, in their class shares."""
+    return estimator(params, True, settings.seed).fit(class_sample(train, "label", settings.warmup_rows, settings.seed))
 
 
 @dataclass
@@ -136,35 +139,35 @@ class Choice:
     cv_mean: float | None = None
     cv_std: float | None = None
     tuned: bool = False
+    # What was left out or failed on the way, for the registry.
+    notes: list[str] = field(default_factory=list)
 
 
 def select_classifier(train: DataFrame, valid: DataFrame, settings: Settings, candidates: dict | None = None,
                       search: bool = False, space: dict | None = None, clock=time.monotonic) -> Choice:
     """Best candidate by the selection score, replaced by the search result when that is better.
 
-    ``valid`` is a validation split of the training rows; the test rows play no part in the choice.
+    ``valid`` is a validation split of the training rows; the test rows play no part in the choice. A candidate that fails or
+    stays below the gate is left out; ``notes`` says why.
     """
-    spark, rows, fitted = train.sparkSession, [], {}
-    # With no more rows than the warm-up takes, the warm-up model is already the full one.
-    whole = train.limit(settings.warmup_rows + 1).count() <= settings.warmup_rows
+    spark, rows, fitted, notes = train.sparkSession, [], {}, []
     for i, (name, params) in enumerate((candidates or base_candidates(settings)).items()):
         try:
+            gate = precision_of(warm_up(params, train, settings), valid)
+            if gate < settings.warmup_gate:
+                notes.append(f"{name}: warm-up average precision {gate:.3f} below {settings.warmup_gate}")
+                continue
             t0 = clock()
-            model = warm_up(params, train, settings)
+            model = estimator(params, True, settings.seed).fit(train)
             seconds = clock() - t0
             full = precision_of(model, valid)
-            if full < settings.warmup_gate:
-                continue
-            if not whole:
-                t0 = clock()
-                model = estimator(params, True, settings.seed).fit(train)
-                seconds = clock() - t0
-                full = precision_of(model, valid)
-            mean, std = cross_validate(params, train, settings)
-            rows.append((i, name, full, mean, std, seconds))
-            fitted[name] = Choice(model, params, full, mean, std)
-        except Exception:
+        except Exception as e:
+            notes.append(reason(name, e))
             continue
+        mean, std, why = cross_validate(params, train, settings)
+        notes += [f"{name}: {why}"] if why else []
+        rows.append((i, name, full, mean, std, seconds))
+        fitted[name] = Choice(model, params, full, mean, std)
     if rows:
         table = spark.createDataFrame(
             rows, "ord int, candidate string, full_pr double, cv_mean double, cv_std double, full_seconds double")
@@ -174,14 +177,21 @@ def select_classifier(train: DataFrame, valid: DataFrame, settings: Settings, ca
         params = base_candidates(settings)["boosted"] | {"rate": 0.05}
         model = estimator(params, True, settings.seed).fit(train)
         best = Choice(model, params, precision_of(model, valid))
+        notes.append("fallback classifier")
     if search:
         found = search_classifier(train, valid, settings, space)
         if found is not None and found.pr_auc > best.pr_auc:
             found.cv_mean, found.cv_std = best.cv_mean, best.cv_std
             best = found
+    best.notes = notes
     return best
 
 
+def refit(params: dict, rows: DataFrame, settings: Settings):
+    """The chosen classifier on all training rows, the validation part included."""
+    return estimator(params, True, settings.seed).fit(rows)
+
+
 def _search(trial, better, settings: Settings) -> object | None:
     best, stale, patience = None, 0, max(5, settings.trials // 4)
     for i in range(settings.trials):
@@ -234,8 +244,11 @@ def search_regressor(fires: DataFrame, settings: Settings, space: dict | None =
 
 
 def select_regressor(fires: DataFrame, test_fires: DataFrame, settings: Settings, candidates: dict | None = None,
-                     search: bool = False, space: dict | None = None):
-    """``(model, params)`` of the chosen intensity model, or None when there are too few fires or nothing fits."""
+                     search: bool = False, space: dict | None = None, notes: list[str] | None = None):
+    """``(model, params)`` of the chosen intensity model, or None when there are too few fires or nothing fits.
+
+    Reasons of failed candidates are added to ``notes``.
+    """
     if (fires.limit(settings.min_fire_train).count() < settings.min_fire_train
             or test_fires.limit(settings.min_fire_test).count() < settings.min_fire_test):
         return None
@@ -249,7 +262,9 @@ def select_regressor(fires: DataFrame, test_fires: DataFrame, settings: Settings
             model = estimator(params, False, settings.seed).fit(fires)
             # The loss only ranks candidates; a single one needs none.
             loss = regression_loss(regression_scored(model, test_fires), False) if len(options) > 1 else 0.0
-        except Exception:
+        except Exception as e:
+            if notes is not None:
+                notes.append(reason("intensity", e))
             continue
         if best is None or loss < best[2]:
             best = (model, params, loss)

@@ -1,6 +1,8 @@
 """Hold-outs, folds and seeded samples; random order is a hash of ``row_id``, so reruns and retries agree."""
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from emberline.operators.joins import join_small
@@ -75,5 +77,19 @@ def seeded_sample(df: DataFrame, by: list[str], n: int, seed: int = 42, key: str
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
 
 
+def class_sample(df: DataFrame, label: str, n: int, seed: int = 42, key: str = "row_id") -> DataFrame:
+    """About ``n`` original rows in their class shares, by the seeded hash; at least one row of every class.
+
+    Rows with a negative id are synthetic: they neither count nor enter, unless a class has no other row.
+    """
+    original = F.col(key) >= 0
+    sizes = df.groupBy(label).agg(F.count(F.when(original, 1)).alias("n")).orderBy(label).collect()
+    total = max(1, sum(r["n"] for r in sizes))
+    # Every task keeps its first rows only; a plain window would sort a whole class in one task.
+    parts = [df.filter(F.col(label).eqNullSafe(F.lit(r[label]))).orderBy(~original, shuffle_key(seed, key), key)
+             .limit(max(1, min(r["n"], n * r["n"] // total))) for r in sizes]
+    return reduce(DataFrame.unionByName, parts, df.limit(0))
+
+
 def yearly_order(df: DataFrame, key: str = "row_id") -> DataFrame:
     return df.orderBy("year", key)

@@ -946,6 +946,16 @@ def seeded_sample(spark, sf):
     return split.seeded_sample(view(spark, sf, "samples").select("row_id", "ecozone"), ["ecozone"], 50)
 
 
+@query("warmup_rows", f"""select row_id, fire_detected from (select row_id, fire_detected, count(*) over (partition by fire_detected) as n,
+    count(*) over () as total, row_number() over (partition by fire_detected order by {HASH.format(seed=42)}, row_id) as rn from $samples)
+  where rn <= greatest(1, least(n, 500 * n // total))""")
+def warmup_rows(spark, sf):
+    """Original rows of both classes, although as many synthetic fires lie before them."""
+    s = view(spark, sf, "samples").select("row_id", "fire_detected")
+    made = s.select((-F.col("row_id") - 1).alias("row_id"), F.lit(1).cast(s.schema["fire_detected"].dataType).alias("fire_detected"))
+    return split.class_sample(s.unionByName(made), "fire_detected", 500)
+
+
 def _z(c: str) -> str:
     return f"""round((coalesce({c}, (select median({c}) from tr)) - (select avg(coalesce({c}, (select median({c}) from tr))) from tr))
       / (select stddev_pop(coalesce({c}, (select median({c}) from tr))) from tr), 5) as {c}"""

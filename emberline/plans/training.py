@@ -35,6 +35,19 @@ def featurise(rows: DataFrame, fitted: prep.Prep, target: str) -> DataFrame:
     return rows.select("row_id", "features", F.col(target).cast("double").alias("label"))
 
 
+def training_rows(rows: DataFrame, settings: Settings, balance: bool) -> tuple[DataFrame, str]:
+    """Written ``row_id, features, label`` rows to fit on, and the rebalancing method; one that loses a class is not used."""
+    method = "none"
+    if balance:
+        arrays = rows.select("row_id", vector_to_array("features").alias("features"), F.col("label").cast("int").alias("label"))
+        balanced, method = resample.rebalance(arrays, settings.seed)
+        if balanced.select("label").distinct().count() == 2:
+            rows = balanced.select("row_id", array_to_vector("features").alias("features"), F.col("label").cast("double").alias("label"))
+        else:
+            method = f"none ({method} left one class)"
+    return materialize(rows.select("row_id", "features", "label"), "fit"), method
+
+
 def train_zone(split: DataFrame, zone: int, fitted: prep.Prep, out: str, settings: Settings, candidates: dict | None = None,
                reg_candidates: dict | None = None, search: bool = False, spaces: tuple | None = None, balance: bool = True,
                oof: bool = True, attributions: bool = True) -> dict:
@@ -46,37 +59,33 @@ def train_zone(split: DataFrame, zone: int, fitted: prep.Prep, out: str, setting
     y = settings.target_class
     train_x, test_x = materialize(featurise(train, fitted, y), "train"), materialize(featurise(test, fitted, y), "test")
 
-    # Choice and search use a validation part of the training rows; the test rows are scored once, at the end.
+    # Choice and search use a validation part of the training rows; the chosen model is then fitted on all of them, and the
+    # test rows are scored once, at the end.
     part = materialize(stratified_holdout(train_x, [], "label", settings.test_size, settings.seed + 1), "valid")
-    fit_rows, valid = part.filter("NOT is_test"), part.filter("is_test")
-    if balance:
-        arrays = fit_rows.select("row_id", vector_to_array("features").alias("features"), F.col("label").cast("int").alias("label"))
-        balanced, _ = resample.rebalance(arrays, settings.seed)
-        both = balanced.select("label").distinct().count() == 2
-        if both:
-            fit_rows = balanced.select("row_id", array_to_vector("features").alias("features"),
-                                       F.col("label").cast("double").alias("label"))
-    fit_rows = materialize(fit_rows.select("row_id", "features", "label"), "fit")
-    choice = models.select_classifier(fit_rows, valid, settings, candidates, search, spaces[0])
-    store.save_model(PipelineModel(fitted.stages() + [choice.model]), out, zone, "classifier")
-    scored = models.scored_by(choice.model, test_x).withColumn("ecozone", F.lit(zone))
+    fit_rows, _ = training_rows(part.filter("NOT is_test"), settings, balance)
+    choice = models.select_classifier(fit_rows, part.filter("is_test"), settings, candidates, search, spaces[0])
+    all_rows, method = training_rows(train_x, settings, balance)
+    classifier = models.refit(choice.params, all_rows, settings)
+    notes = [f"rebalancing: {method}"] * balance + choice.notes
+    store.save_model(PipelineModel(fitted.stages() + [classifier]), out, zone, "classifier")
+    scored = models.scored_by(classifier, test_x).withColumn("ecozone", F.lit(zone))
     scored.write.mode("overwrite").parquet(f"{out}/holdout/ecozone={zone}")
     if oof:
-        models.out_of_fold(choice.params, fit_rows, settings).write.mode("overwrite").parquet(f"{out}/oof/ecozone={zone}")
+        models.out_of_fold(choice.params, all_rows, settings).write.mode("overwrite").parquet(f"{out}/oof/ecozone={zone}")
 
     fires = featurise(train.filter(F.col(y) == 1).withColumn("_log", F.log1p(settings.target_reg)), fitted, "_log")
     test_fires = featurise(test.filter(F.col(y) == 1).withColumn("_log", F.log1p(settings.target_reg)), fitted, "_log")
     reg = models.select_regressor(materialize(fires, "fires"), materialize(test_fires, "tfires"), settings,
-                                  reg_candidates, search, spaces[1])
+                                  reg_candidates, search, spaces[1], notes)
     if reg:
         store.save_model(PipelineModel(fitted.stages() + [reg[0]]), out, zone, "regressor")
         models.regression_scored(reg[0], test_fires).withColumn("ecozone", F.lit(zone)).write.mode("overwrite").parquet(
             f"{out}/holdout_reg/ecozone={zone}")
-    explain_zone(choice.model, reg[0] if reg else None, test_x, fitted.names, zone, out, attributions)
+    explain_zone(classifier, reg[0] if reg else None, test_x, fitted.names, zone, out, attributions)
     text = lambda p: {k: str(v) for k, v in p.items()}
     return {"ecozone": zone, "cv_pr_auc_mean": choice.cv_mean, "cv_pr_auc_std": choice.cv_std, "has_clf": True,
             "has_reg": reg is not None, "clf_params": text(choice.params), "reg_params": text(reg[1]) if reg else None,
-            "best_model": reg[1]["family"] if reg else None}
+            "best_model": reg[1]["family"] if reg else None, "message": "; ".join(notes) or None}
 
 
 def explain_zone(classifier, regressor, test_x: DataFrame, names: list[str], zone: int, out: str, attributions: bool) -> None:
@@ -105,9 +114,9 @@ def registry_rows(spark, trained: list[dict], failed: list[tuple], screened: Dat
     zones = [t["ecozone"] for t in trained]
     base = spark.createDataFrame(
         [(t["ecozone"], t["has_clf"], t["has_reg"], t["cv_pr_auc_mean"], t["cv_pr_auc_std"], t["clf_params"],
-          t["reg_params"], t["best_model"]) for t in trained],
+          t["reg_params"], t["best_model"], t["message"]) for t in trained],
         "ecozone int, has_clf boolean, has_reg boolean, cv_pr_auc_mean double, cv_pr_auc_std double, "
-        "clf_params map<string,string>, reg_params map<string,string>, best_model string")
+        "clf_params map<string,string>, reg_params map<string,string>, best_model string, message string")
     if zones:
         clf = metrics.evaluate_classifier(
             _read_zones(spark, f"{out}/holdout", zones, "row_id long, y_prob double, y_true int"), ["ecozone"])

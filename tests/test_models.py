@@ -69,6 +69,26 @@ def test_oof_covers_every_row_once(table):
 def test_gate_and_fallback(table):
     choice = models.select_classifier(table, table, replace(FAST, warmup_gate=1.1))
     assert choice.params["rate"] == 0.05 and choice.cv_mean is None and choice.pr_auc > 0.5
+    assert "below 1.1" in choice.notes[0] and choice.notes[-1] == "fallback classifier"
+
+
+def test_default_candidate_passes_the_gate_on_rebalanced_rows(spark):
+    rows = spark.range(800).select(F.col("id").alias("row_id"), (F.col("id") % 10 == 0).cast("double").alias("label"))
+    x = F.array(F.col("label") + F.rand(1) * 0.5, F.rand(2))
+    rows = rows.withColumn("features", array_to_vector(x)).cache()
+    settings = replace(FAST, warmup_gate=0.3, warmup_rows=100)
+    fit, method = training.training_rows(rows, settings, True)
+    assert method == "SMOTEENN" and fit.filter("row_id < 0").count() > settings.warmup_rows
+    choice = models.select_classifier(fit, rows, settings)
+    assert choice.params == models.base_candidates(settings)["boosted"]
+    assert choice.cv_mean > 0.9 and choice.notes == []
+
+
+def test_reasons_are_kept(table):
+    broken = {"bad": {"family": "leafwise", "rounds": -1}}
+    choice = models.select_classifier(table, table, FAST, broken)
+    assert choice.notes[0].startswith("bad: ") and choice.notes[1] == "fallback classifier"
+    assert models.cross_validate(broken["bad"], table, FAST)[2].startswith("cross-validation: ")
 
 
 def test_search_stops_and_improves(table):
@@ -113,6 +133,7 @@ def test_training_writes_everything(spark, trained):
     good = [x for x in r.values() if x["status"] == "TRAINED"]
     assert all(x["pr_auc"] > 0.7 and x["has_reg"] and x["rmse_raw"] > 0 and 0 < x["thr"] < 1 for x in good)
     assert all(x["tn"] + x["fp"] + x["fn"] + x["tp"] == 60 for x in good)
+    assert all(x["message"].startswith("rebalancing: ") for x in good)
     safe = next(x for x in r.values() if x["status"] == "SAFE_ZONE")
     assert (safe["pr_auc"], safe["tn"], safe["thr"], safe["has_clf"]) == (1.0, 300, 0.5, False)
     summary = spark.read.option("header", True).csv(f"{out}/global/performance_summary")
@@ -148,13 +169,24 @@ def test_resume_and_retrain(spark, trained, samples):
     assert set(after) == set(before) and all(after[z] == before[z] for z in before if z != zone)
 
 
+def test_final_model_sees_all_training_rows(spark, samples, tmp_path, monkeypatch):
+    seen, fit = [], models.refit
+    monkeypatch.setattr(models, "refit", lambda params, rows, settings: seen.append(rows) or fit(params, rows, settings))
+    zoned = training.engineer_features(samples.filter("latitude < 12").withColumn("ecozone", F.lit(0)), FAST)
+    split, fitted = training.prepare_zones(zoned, FAST)
+    got = training.train_zone(split, 0, fitted[0], str(tmp_path / "o"), FAST, balance=False, attributions=False)
+    wanted = {r[0] for r in split.filter("NOT is_test").select("row_id").collect()}
+    assert {r[0] for r in seen[0].select("row_id").collect()} == wanted and got["message"] is None
+    assert {r[0] for r in spark.read.parquet(str(tmp_path / "o" / "oof")).select("row_id").collect()} == wanted
+
+
 def test_failing_zone_does_not_stop_others(spark, samples, tmp_path):
     zoned = samples.withColumn("ecozone", (F.col("row_id") % 3).cast("int")).withColumn(
         "fire_intensity", F.when(F.col("ecozone") == 1, None).otherwise(F.col("fire_intensity")).cast("double"))
     zoned = training.engineer_features(zoned.drop("NDVI").withColumn("NDVI", F.lit(1.0) * F.col("row_id")), FAST)
     got = training.train_zones(zoned, str(tmp_path / "o"), FAST, candidates={"x": {"family": "leafwise", "rounds": -1}},
                                balance=False, oof=False, attributions=False)
-    assert got.filter("status = 'TRAINED'").count() == 2
+    assert got.filter("status = 'TRAINED' AND message LIKE '%fallback classifier%'").count() == 2
 
 
 def test_missing_zone_lookup(spark):
