@@ -7,6 +7,7 @@ from emberline.functions.climate import relative_humidity, vapour_pressure_defic
 from emberline.functions.columns import calendar_fields, point_geojson
 from emberline.operators.composites import (between_dates, daily_composite, drop_incomplete, period_composite,
                                             points_in_regions, stack_bands)
+from emberline.operators.scan import row_rank
 
 
 def daily_samples(obs: DataFrame, static: DataFrame, region: DataFrame, start: str, end: str,
@@ -40,3 +41,9 @@ def period_samples(obs: DataFrame, pixels: DataFrame, region: DataFrame, start:
                             "date": F.lit(tag or f"{start[:4]}_{end[:4]}_aggregated")})
 
 
+
+
+def with_row_ids(samples: DataFrame) -> DataFrame:
+    """Add the ``row_id`` that training needs: 0, 1, 2, ... by pixel and, for daily rows, by year and day of year."""
+    keys = [F.col(c) for c in ("pixel_id", "year", "doy") if c in samples.columns]
+    return row_rank(samples, [], keys, "_n").withColumn("row_id", F.col("_n") - 1).drop("_n")

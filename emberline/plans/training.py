@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from emberline.config import Settings
 from emberline.operators import explain, metrics, models, prep, reports, resample, zoning
-from emberline.operators.clean import engineer_features
+from emberline.operators.clean import drop_configured, engineer_features
 from emberline.operators.split import stratified_holdout
 from emberline.sources import registry as store
 from emberline.sources.tables import load_samples, write_csv, write_zone_json
@@ -146,7 +146,7 @@ def train_zones(zoned: DataFrame, out: str, settings: Settings = Settings(), fre
                 zones: list[int] | None = None, **options) -> DataFrame:
     """Train every eligible zone (or the given ones) and commit the registry.
 
-    ``fresh`` starts over; otherwise zones that have an entry are left alone unless named in ``zones``.
+    ``fresh`` starts over and deletes the zone folders of the run before; otherwise zones that have an entry are left alone unless named in ``zones``.
     A zone whose training fails gets a FAILED entry and does not stop the others.
     """
     spark = zoned.sparkSession
@@ -158,6 +158,8 @@ def train_zones(zoned: DataFrame, out: str, settings: Settings = Settings(), fre
         screened = zoning.remaining_zones(screened, store.completed_zones(spark, out))
     todo = sorted(r["ecozone"] for r in screened.filter(F.col("status") == zoning.STATUS["train"]).collect())
     trained, failed = [], []
+    if fresh and zones is None:
+        store.clear_run(spark, out)
     if todo:
         split, fitted = prepare_zones(zoned.filter(F.col("ecozone").isin(*todo)), settings)
         jobs = [lambda z=z: train_zone(split, z, fitted[z], out, settings, **options) for z in todo]
@@ -182,7 +184,7 @@ def train_all(samples: DataFrame, out: str, settings: Settings = Settings(), fre
               **options) -> DataFrame:
     """Features, zones, router, models, registry and global tables from a sample table."""
     spark = samples.sparkSession
-    clean = materialize(engineer_features(samples, settings), "clean")
+    clean = materialize(engineer_features(drop_configured(samples, settings), settings), "clean")
     zoned = materialize(zoning.extract_zones(clean, settings, k), "zoned")
     table = train_zones(zoned, out, settings, fresh, **options)
     store.save_router(zoned, out)
@@ -193,7 +195,7 @@ def train_all(samples: DataFrame, out: str, settings: Settings = Settings(), fre
 def train_one(samples: DataFrame, zone: int, out: str, settings: Settings = Settings(), k: int | None = None,
               **options) -> DataFrame:
     """Retrain a single zone and replace its registry entry."""
-    clean = materialize(engineer_features(samples, settings), "clean")
+    clean = materialize(engineer_features(drop_configured(samples, settings), settings), "clean")
     zoned = materialize(zoning.extract_zones(clean, settings, k), "zoned")
     return train_zones(zoned, out, settings, fresh=False, zones=[zone], **options)
 

@@ -28,6 +28,18 @@ def save_registry(entries: DataFrame, out: str, fresh: bool = False) -> None:
     w.option("partitionOverwriteMode", "static" if fresh else "dynamic").parquet(f"{out}/registry")
 
 
+# Folders that a training run writes per zone, besides the registry.
+RUN_FOLDERS = ("models", "holdout", "holdout_reg", "oof", "importance", "drivers", "narrative", "risk", "zone_status")
+
+
+def clear_run(spark: SparkSession, out: str) -> None:
+    """Delete the zone folders of an earlier run below ``out``: its zone numbers mean nothing to the next one."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for name in RUN_FOLDERS:
+        path = jvm.org.apache.hadoop.fs.Path(f"{out}/{name}")
+        path.getFileSystem(conf).delete(path, True)
+
+
 def load_registry(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.schema(REGISTRY_SCHEMA).parquet(f"{out}/registry")
 

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from emberline.config import Settings
 from emberline.operators import models
-from emberline.sources import tables
+from emberline.plans import catalogue, dataset, training
+from emberline.sources import registry, tables
 
 LINES = ['id,geometry_json,latitude,longitude,note', '1,"{""type"":""Point"",""coordinates"":[77.1,20.5]}",20.5,77.1,"a ""b"", c"',
          '2,"{""type"":""Point"",""coordinates"":[78.1,21.5]}",21.5,78.1,plain']
@@ -37,3 +38,23 @@ def test_warm_up_sees_original_rows_of_both_classes(spark, monkeypatch):
     models.warm_up({}, table, replace(Settings(), warmup_rows=200))
     assert len(seen["rows"]) == 200 and all(r.row_id >= 0 for r in seen["rows"])
     assert sum(r.label for r in seen["rows"]) == 50
+
+
+def test_fresh_run_leaves_no_old_zone(spark, tmp_path):
+    for name in (*registry.RUN_FOLDERS, "global"):
+        (tmp_path / name / "ecozone=7").mkdir(parents=True)
+        (tmp_path / name / "ecozone=7" / "part").write_text("x")
+    registry.clear_run(spark, str(tmp_path))
+    registry.clear_run(spark, str(tmp_path))
+    assert [p.name for p in tmp_path.iterdir()] == ["global"]
+
+
+def test_period_samples_go_into_training(spark, tmp_path):
+    sf = "/root/testdata/sf0.01"
+    views = [catalogue.view(spark, sf, v) for v in ("obs", "static", "rings")]
+    rows = dataset.with_row_ids(dataset.period_samples(*views, catalogue.START, catalogue.END))
+    ids = [r[0] for r in rows.orderBy("pixel_id").select("row_id").collect()]
+    assert ids == list(range(len(ids))) and ids
+    settings = replace(Settings(), eps_km=3000.0, min_samples=1, min_macro_rows=1, min_cluster_rows=1, min_zone_rows=1)
+    got = training.train_all(rows, str(tmp_path / "run"), settings, k=2, balance=False, oof=False, attributions=False)
+    assert got.count() >= 1 and got.filter("status = 'FAILED'").count() == 0
