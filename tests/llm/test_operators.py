@@ -234,6 +234,40 @@ def test_license_rules_and_suppression(spark, odd, empty):
     assert licenses.detect(odd).count() == len(ODD) and licenses.detect(empty).count() == 0
 
 
+def test_licenses_by_id_acronym_and_body(spark):
+    terms = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    two = "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    neither = "3. Neither the name of X nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+    end = 'THIS SOFTWARE IS PROVIDED BY X "AS IS"'
+    ads = "3. All advertising materials mentioning features or use of this software must display the following acknowledgement: "
+    grant = "Permission is hereby granted, free of charge, to any person "
+    notice = "under the terms of the GNU {} Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+    use = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+    ids = {"MIT": "mit", "Apache-2.0": "apache-2", "GPL-2.0-only": "gpl-2", "GPL-3.0-or-later": "gpl-3", "LGPL-2.1-only": "lgpl-2", "LGPL-3.0+": "lgpl-3",
+           "AGPL-3.0-only": "agpl-3", "GFDL-1.3-or-later": "gfdl-1", "MPL-1.1": "mpl-1", "MPL-2.0": "mpl-2", "BSD-2-Clause": "bsd-2", "BSD-3-Clause": "bsd-3",
+           "BSD-4-Clause": "bsd-4", "ISC": "isc", "EPL-1.0": "epl-1", "EPL-2.0": "epl-2", "CDDL-1.0": "cddl-1", "Artistic-2.0": "artistic-2", "BSL-1.0": "bsl-1",
+           "EUPL-1.2": "eupl-1", "Zlib": "zlib", "Unlicense": "unlicense", "WTFPL": "wtfpl", "OFL-1.1": "ofl-1", "PSF-2.0": "psf-2", "PostgreSQL": "postgresql",
+           "MS-PL": "ms-pl", "CC0-1.0": "cc0", "CC-BY-4.0": "cc-by", "CC-BY-SA-4.0": "cc-by-sa", "0BSD": "0bsd"}
+    cases = [("SPDX-License-Identifier: " + k, v) for k, v in ids.items()] + [
+        ("GPL-3.0", "gpl-3"), ("GPLv2", "gpl-2"), ("GNU GPL v3", "gpl-3"), ("the GPL", "gpl"), ("LGPLv2.1+", "lgpl-2"), ("AGPLv3", "agpl-3"), ("MPL 2.0", "mpl-2"),
+        ("MPL v2", "mpl-2"), ("EPL-2.0", "epl-2"), ("the EPL final", ""), ("BSD-3-Clause License", "bsd-3"), ("3-clause BSD license", "bsd-3"), ("BSD license", "bsd"),
+        ("GNU General Public License v3", "gpl-3"), ("Apache License v2", "apache-2"), ("Apache-2.0", "apache-2"), ("ASL 2.0", "apache-2"), ("License: MIT", "mit"),
+        ("SPDX-License-Identifier: Apache-2.0 OR MIT", "apache-2,mit"), ("Creative Commons Attribution-ShareAlike 4.0 International", "cc-by-sa"),
+        ("https://creativecommons.org/licenses/by-nd/4.0/", "cc-by-nd"), ("SIL Open Font License 1.1", "ofl-1"),
+        (grant + 'obtaining a copy of this software and associated documentation files (the "Software"), to deal', "mit"),
+        (grant + "or organization obtaining a copy of the software and accompanying documentation", "bsl-1"),
+        (use + ", provided that the above copyright notice and", "isc"), (use + ". THE SOFTWARE", "0bsd"), (terms, "bsd"), (terms + two + end, "bsd-2"),
+        (terms + two + neither + end, "bsd-3"), (terms + two + ads, "bsd-4"), (notice.format("General", 2), "gpl-2"), (notice.format("General", 3), "gpl-3"),
+        (notice.format("Lesser General", 2.1), "lgpl-2"), (notice.format("Affero General", 3), "agpl-3"),
+        ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mpl-2"),
+        ("made available under the terms of the Eclipse Public License v1.0", "epl-1"),
+        ("The origin of this software must not be misrepresented;", "zlib"), ("This is free and unencumbered software released into the public domain.", "unlicense"),
+        ("mit dem general font epl 3 gute bsd", "")]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {cases[r.doc_id]: r.labels for r in licenses.detect(docs).collect()}
+    assert {k[0]: v for k, v in got.items() if v != k[1]} == {}
+
+
 def test_preferences(spark):
     turns = [(0, 0, "user", "hi"), (0, 1, "assistant", "a"), (1, 0, "user", "hi"), (1, 1, "assistant", "b"), (1, 1, "assistant", "b"),
              (2, 0, "user", None), (3, 0, "user", ""), (4, 0, None, "alone"), (None, 0, "user", "x")]
