@@ -28,7 +28,7 @@ SIZE = 2048
 ROUNDS = 300
 # Steepness of the weights, and configurations taken per pricing.
 ETA, COLUMNS = 6.0, 32
-# Shares of the fractional solution that rounding tries; the plan with the fewest sequences is taken.
+# Shares of the fractional solution that rounding tries, with full configurations only and with all; the plan with the fewest sequences is taken.
 SHARES = (1.0, 0.6)
 
 
@@ -151,16 +151,17 @@ def solve(hist: dict[int, int], size: int = SIZE, rounds: int = ROUNDS) -> list[
     over = np.maximum(covered / np.maximum(demand, 1e-9), 1.0)
     scaled = [(conf, Counter(conf), x / max(over[k] for k in set(conf))) for conf, x in fractional.items()]
     scaled.sort(key=lambda e: (-e[2], e[0]))
-    plans = (_rounded(demand.copy(), scaled, share, size) for share in SHARES)
+    plans = (_rounded(demand.copy(), scaled, share, size, slack) for share in SHARES for slack in (False, True))
     return sorted(min(plans, key=lambda used: sum(used.values())).items(), key=lambda e: e[0], reverse=True)
 
 
-def _rounded(left: np.ndarray, scaled: list[tuple[tuple[int, ...], Counter, float]], share: float, size: int) -> Counter:
-    """A share of the fractional solution rounded down, the rest of the histogram by best fit."""
+def _rounded(left: np.ndarray, scaled: list[tuple[tuple[int, ...], Counter, float]], share: float, size: int, slack: bool) -> Counter:
+    """A share of the fractional solution rounded down, the rest of the histogram by best fit. Without ``slack`` only
+    configurations that fill a sequence are taken."""
     used: Counter = Counter()
     for conf, count, x in scaled:
         m = int(min(x * share, *[left[k] // n for k, n in count.items()]))
-        if m > 0 and sum(conf) == size:
+        if m > 0 and (slack or sum(conf) == size):
             used[conf] += m
             for k, n in count.items():
                 left[k] -= n * m

@@ -153,6 +153,16 @@ def test_packing_round_trip(spark, texts, odd, empty):
     assert len({(r.doc_id, r.piece, r.sequence_id, r.offset) for r in packing.pack(odd).collect()}) >= len(ODD) and packing.pack(empty).count() == 0
 
 
+def test_packing_with_slack_only():
+    plan = packing.solve({1000: 1200, 520: 1200, 510: 1200})
+    used = Counter()
+    for conf, n in plan:
+        assert sum(conf) <= 2048
+        used.update({k: m * n for k, m in Counter(conf).items()})
+    # No sequence holds more than weight 1 if 1000 weighs a half and the others a quarter: 1200 is the optimum.
+    assert used == {1000: 1200, 520: 1200, 510: 1200} and 1200 <= sum(n for _, n in plan) <= 1206
+
+
 def test_word_ids_equal_the_tokenizer():
     ids = packing.word_ids(packing.tokenizer_path())
     for w in ["Σίσυφος", "ÀÉ,", "naïve..", "it's", "don't,", "<|endoftext|>", "a<|endoftext|>b", "İI", "ªº", "áb", "x\xa0y", "ß", "½", "token!!", "|a|"]:
