@@ -5,7 +5,12 @@ either is its completion. The mask of a completion lists the character ranges th
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from emberline.storage import materialize
+
+# Conversations that exchange replies with each other.
+GROUP = 1000
 
 
 def conversations(turns: DataFrame) -> DataFrame:
@@ -58,6 +63,11 @@ def format_pairs(turns: DataFrame, pairs: DataFrame) -> DataFrame:
     both = (pairs.select("pair_id", "chosen_id", "rejected_id")
             .join(convs.select(F.col("conv_id").alias("chosen_id"), F.col("turns").alias("a")), "chosen_id")
             .join(convs.select(F.col("conv_id").alias("rejected_id"), F.col("turns").alias("b")), "rejected_id"))
+    return _formatted(both)
+
+
+def _formatted(both: DataFrame) -> DataFrame:
+    """The columns of ``format_pairs`` from the turns ``a`` of the chosen and ``b`` of the rejected conversation."""
     same = F.zip_with("a", "b", lambda x, y: x.eqNullSafe(y))
     both = both.withColumn("split", F.array_position(same, F.lit(False)).cast("int"))
     both = both.withColumn("n", F.when(F.col("split") > 0, F.col("split") - 1).otherwise(F.size(same)))
@@ -70,5 +80,34 @@ def format_pairs(turns: DataFrame, pairs: DataFrame) -> DataFrame:
         _mask(F.col("r")).alias("rejected_mask"), (answers("c") & answers("r")).alias("usable"))
 
 
+def replaced_replies(turns: DataFrame, group: int = GROUP) -> DataFrame:
+    """One row per conversation with an assistant's turn, in the columns of ``format_pairs``: chosen is the conversation, rejected
+    the same turns with one of the assistant's, picked by hash, replaced by the reply of conversation rejected_id.
+
+    Each conversation lends the reply that is replaced in it. Conversations meet in groups of about ``group`` by the hash of
+    their ids; a reply is replaced by the next other text of the group in the order of hashes, or, if the group has none, by
+    one of the table. If all replies of the table are equal, rejected is chosen, with a null rejected_id, and not usable.
+    """
+    answers = F.filter(F.sequence(F.lit(1), F.size("turns")), lambda i: F.element_at("turns", i)["role"] == "assistant")
+    convs = conversations(turns).withColumn("answers", F.when(F.size("turns") > 0, answers)).filter("size(answers) > 0")
+    convs = convs.withColumn("at", F.element_at("answers", (F.pmod(F.xxhash64("conv_id", F.lit("depth")), F.size("answers")) + 1).cast("int")))
+    convs = materialize(convs.select(F.col("conv_id").cast("long").alias("conv_id"), "turns", "at", F.element_at("turns", F.col("at"))["text"].alias("reply")), "convs")
+    groups = max(1, convs.count() // group)
+    convs = convs.withColumns({"g": F.pmod(F.xxhash64("conv_id"), F.lit(groups)), "h": F.sha2(F.col("reply").cast("binary"), 256)})
+    lent = convs.groupBy("g", "h").agg(F.min(F.struct("conv_id", "reply")).alias("own"))
+    ring = Window.partitionBy("g").orderBy("h")
+    # The last text of a group is followed by its first, which is its own if it is the only one.
+    whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    lent = lent.select("g", "h", F.when(F.count(F.lit(1)).over(whole) > 1, F.coalesce(F.lead("own").over(ring), F.first("own").over(whole))).alias("other"))
+    # Two different texts of the table are enough to have another one for any reply.
+    spare = F.lit(None).cast("struct<conv_id:bigint,reply:string>")
+    for r in convs.groupBy("h").agg(F.min(F.struct("conv_id", "reply")).alias("own")).orderBy("h").limit(2).collect():
+        spare = F.when(F.col("h") != r["h"], F.struct(F.lit(r["own"]["conv_id"]).cast("long").alias("conv_id"), F.lit(r["own"]["reply"]).alias("reply"))).otherwise(spare)
+    both = convs.join(lent, ["g", "h"]).withColumn("other", F.coalesce("other", spare))
+    swap = F.transform("turns", lambda t, i: F.when(i + 1 == F.col("at"), F.struct(t["role"].alias("role"), F.coalesce(F.col("other.reply"), t["text"]).alias("text"))).otherwise(t))
+    return _formatted(both.select(F.col("conv_id").alias("pair_id"), F.col("conv_id").alias("chosen_id"), F.col("other.conv_id").alias("rejected_id"),
+                                  F.col("turns").alias("a"), swap.alias("b")))
+
+
 def mask_text(mask: Column) -> Column:
     return F.array_join(F.transform(mask, lambda m: F.concat_ws("-", m["start"].cast("string"), m["end"].cast("string"))), ",")

@@ -55,7 +55,14 @@ def near(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
-    out = preference.format_pairs(turns, preference.neighbours(turns))
+    return _masks(preference.format_pairs(turns, preference.neighbours(turns)))
+
+
+def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _masks(preference.replaced_replies(table(spark, sf_dir, "conversations")))
+
+
+def _masks(out: DataFrame) -> DataFrame:
     return out.withColumns({c: preference.mask_text(F.col(c)) for c in ("chosen_mask", "rejected_mask")})
 
 
@@ -73,6 +80,7 @@ QUERIES = {
     "op7_language_mixture": languages,
     "op8_bagminhash": near,
     "op9_preference_pairs": preferences,
+    "op9_replaced_replies": replies,
     "op10_secret_forest": secret_scan,
 }
 

@@ -289,6 +289,23 @@ def test_preferences(spark):
     assert preference.format_pairs(t.limit(0), preference.neighbours(t.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("group", [1000, 1])
+def test_replaced_replies(spark, group):
+    turns = [(c, i, "assistant" if i % 2 else "user", f"{'hello' if i < 2 else c} {i}") for c in range(0, 80, 2) for i in range(2 + c % 7)]
+    turns += [(1001, 0, "user", "alone"), (None, 0, "assistant", "x"), (1003, 0, "assistant", None)]
+    t = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("n", F.lit(1))
+    rows = preference.replaced_replies(t, group).collect()
+    assert sorted(r.pair_id for r in rows) == [*range(0, 80, 2), 1003]
+    whole = {r.conv_id: r.text for r in preference.conversations(t).select("conv_id", preference._render(F.col("turns")).alias("text")).collect()}
+    for r in rows:
+        assert r.usable and r.chosen != r.rejected and r.prompt + r.chosen == whole[r.pair_id] and r.rejected_id != r.pair_id
+        assert r.n_shared % 2 == 1 or r.pair_id == 1003
+    assert len({r.n_shared for r in rows}) > 2 and any(r.prompt for r in rows)
+    assert preference.replaced_replies(t.limit(0), group).count() == 0
+    same = preference.replaced_replies(spark.createDataFrame([(1, 1, "assistant", "a"), (2, 1, "assistant", "a")], "conv_id long, turn long, role string, text string")).collect()
+    assert len(same) == 2 and not any(r.usable for r in same)
+
+
 def test_secrets(spark, odd, empty):
     rows = [(i, f'the token = "{i:08x}{"deadbeef1234cafe0a9b"}" of', f"src{i % 3}") for i in range(40)] + [(100 + i, f"call +1 (722) 555-{8000 + i} or 48009673579{i:05d}", None) for i in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
