@@ -1,4 +1,4 @@
-"""Elias-Fano sequences and a two-level n-gram trie of them, read from a memory-mapped file."""
+"""Elias-Fano sequences and a three-level n-gram trie of them, read from a memory-mapped file."""
 from __future__ import annotations
 
 import tempfile
@@ -89,11 +89,10 @@ class Trie:
         self.contexts, self.pointers, self.level = (EliasFano(data[cuts[k]:cuts[k + 1]]) for k in range(3))
         self.codes = data[cuts[3]:]
 
-    def lookup(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """The code of every pair, 0 where it is not in the trie."""
-        out = np.zeros(len(v), np.uint8)
+    def find(self, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The place of every pair in the level, its rank among its context's successors, and whether it is there."""
         if not self.contexts.n or not len(v):
-            return out
+            return np.zeros(len(v), np.int64), np.zeros(len(v), np.int64), np.zeros(len(v), bool)
         ctx, back = np.unique(v, return_inverse=True)
         at, known = self.contexts.successor(ctx, np.zeros(len(ctx), np.int64), np.full(len(ctx), self.contexts.n))
         at = np.minimum(at, self.contexts.n - 1)
@@ -101,13 +100,54 @@ class Trie:
         base = np.where(begin > 0, self.level.get(np.maximum(begin - 1, 0)) + 1, 0)
         end = np.where(known, end, begin)
         place, found = self.level.successor(base[back] + w, begin[back], end[back])
+        return place, place - begin[back], found
+
+    def lookup(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """The code of every pair, 0 where it is not in the trie."""
+        out = np.zeros(len(v), np.uint8)
+        place, _, found = self.find(v, w)
         out[found] = self.codes[place[found]]
         return out
 
 
-def mapped(data: bytes) -> tuple[Trie, object]:
-    """The trie over an unnamed temporary file that is mapped, not read; closing the returned file frees it."""
+def build_third(place: np.ndarray, rank: np.ndarray, codes: np.ndarray, backoffs: np.ndarray) -> bytes:
+    """The level below the pairs, from its sorted, distinct entries: the place of the pair that is the context, the rank of the
+    last word among the successors of the shorter context, the code. ``backoffs`` has a code for every pair of the level above.
+
+    Pointers run from the pairs; ranks are stored as the successors are in ``build``.
+    """
+    start = np.flatnonzero(np.append(True, place[1:] != place[:-1])) if len(place) else np.zeros(0, np.int64)
+    last = rank[np.append(start[1:], len(rank)) - 1] if len(place) else rank
+    base = np.concatenate([[0], np.cumsum(last + 1)[:-1]]) if len(place) else np.zeros(0, np.int64)
+    level = rank + np.repeat(base, np.diff(np.append(start, len(place))))
+    pointers = np.concatenate([[0], np.cumsum(np.bincount(place, minlength=len(backoffs)))])
+    parts = [p + bytes(-len(p) % 8) for p in (encode(pointers), encode(level))]
+    sizes = np.array([*[len(p) for p in parts], len(codes)], "<i8").tobytes()
+    return sizes + b"".join(parts) + codes.astype(np.uint8).tobytes() + backoffs.astype(np.uint8).tobytes()
+
+
+class Third:
+    def __init__(self, data: np.ndarray):
+        sizes = data[:24].view("<i8")
+        cuts = 24 + np.concatenate([[0], np.cumsum(sizes)])
+        self.pointers, self.level = (EliasFano(data[cuts[k]:cuts[k + 1]]) for k in range(2))
+        self.codes, self.backoffs = data[cuts[2]:cuts[3]], data[cuts[3]:]
+
+    def lookup(self, place: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        """The code of the entry of that rank below the pair at that place, 0 where there is none."""
+        out = np.zeros(len(place), np.uint8)
+        if not self.level.n or not len(place):
+            return out
+        begin, end = self.pointers.get(place), self.pointers.get(place + 1)
+        base = np.where(begin > 0, self.level.get(np.maximum(begin - 1, 0)) + 1, 0)
+        at, found = self.level.successor(base + rank, begin, end)
+        out[found] = self.codes[at[found]]
+        return out
+
+
+def mapped(data: bytes, kind=Trie) -> tuple:
+    """The trie, or its third level, over an unnamed temporary file that is mapped, not read; closing the returned file frees it."""
     f = tempfile.TemporaryFile()
     f.write(data)
     f.flush()
-    return Trie(np.memmap(f, np.uint8, "r")), f
+    return kind(np.memmap(f, np.uint8, "r")), f

@@ -1,4 +1,4 @@
-"""A bigram language model in sharded Elias-Fano tries, trained and queried by the same shuffles.
+"""A trigram language model in sharded Elias-Fano tries, trained and queried by the same shuffles.
 
 Texts are cut into chunks with a vocabulary of their own. A chunk asks word shards for the ids and training counts of its
 distinct words, then pair shards for the probabilities of its distinct pairs of neighbouring words; with the question it
@@ -6,6 +6,10 @@ tells how often it saw each pair in training texts. A pair shard adds these coun
 probabilities, builds its trie, and answers from it. So counting and scoring send each distinct word and pair of a chunk
 once, whatever the corpus size, and no task holds more than a shard or a chunk. Successors of very frequent words are
 spread over all shards.
+
+A pair shard also tells a pair's rank among its context's successors. A third round asks the shards of the first two words of
+each trigram: the last word goes by its rank after the middle word, and the shard hangs the trigrams below its pairs. It
+answers with the trigram's code, or none, and with the backoff weight of the two words, so unseen trigrams fall back to the pair.
 """
 from __future__ import annotations
 
@@ -19,14 +23,14 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from emberline.llm.elias_fano import build, mapped
+from emberline.llm.elias_fano import Third, build, build_third, mapped
 from emberline.llm.words import blocks, bounded_batches, column, mix, tokens
 from emberline.storage import materialize
 
 CHUNK_BYTES = 12 << 20
 # Words and tokens per shard; contexts with more training tokens than HOT are spread over all shards.
 SHARD_WORDS, SHARD_TOKENS, HOT = 400_000, 2_000_000, 100_000
-# Weight of the unigram distribution in a bigram's, in tokens; range of the 8-bit codes in powers of ten.
+# Weight of the unigram distribution in a bigram's and of the bigram's in a trigram's, in tokens; range of the 8-bit codes in powers of ten.
 PRIOR, RANGE = 4.0, 12.0
 END = "\n"  # no word can be this
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -134,22 +138,65 @@ class Chunk:
         """
         v, w = self.ids[self.v], self.ids[self.w]
         spread = np.where(self.counts[self.v] > HOT, w, 0).astype(np.uint64)
-        shard = (mix(v.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + spread) % np.uint64(shards)).astype(np.int64)
+        self.shard = shard = (mix(v.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + spread) % np.uint64(shards)).astype(np.int64)
         ask = np.flatnonzero((v > 0) & (w > 0))
         ask = ask[np.lexsort((w[ask], v[ask], shard[ask]))]
         parts = np.split(ask, np.flatnonzero(np.diff(shard[ask])) + 1) if len(ask) else []
         return {int(shard[part[0]]): part for part in parts}
 
 
+    def answered(self, shards: int, answers: pd.DataFrame) -> None:
+        """Take the pair shards' answers: codes, and ranks that tell the successors of a context apart in all shards."""
+        self.code, self.rank = np.zeros(len(self.v), np.uint8), np.zeros(len(self.v), np.int64)
+        asks = self.asks(shards)
+        for shard, codes, ranks in zip(answers["n_words"], answers["ids"], answers["counts"]):  # the shard's number is there
+            part = asks[int(shard)]
+            self.code[part] = expand(codes, np.uint8)
+            self.rank[part[self.code[part] > 0]] = expand(ranks, "<i4")
+        hot = self.counts[self.v] > HOT
+        self.rank[hot] = self.rank[hot] * shards + self.shard[hot]
+
+    def trigrams(self) -> tuple[np.ndarray, np.ndarray]:
+        """Number the chunk's distinct trigrams of two known pairs; their contexts and last pairs, as places of pairs.
+
+        ``at`` are the tokens whose two words before are a known pair, ``context`` that pair, ``triple`` the trigram's number
+        or -1 where the last pair is unknown, in which case the trigram is.
+        """
+        first = np.zeros(len(self.pair), bool)
+        first[self.ends[:-1]] = True
+        at = np.flatnonzero(~first)
+        self.at = at[self.code[self.pair[at - 1]] > 0]
+        self.context = self.pair[self.at - 1]
+        known = self.code[self.pair[self.at]] > 0
+        n = max(len(self.v), 1)
+        key, number = np.unique(self.context[known].astype(np.int64) * n + self.pair[self.at][known], return_inverse=True)
+        self.triple = np.full(len(self.at), -1, np.int64)
+        self.triple[known] = number
+        return key // n, key % n
+
+    def asks_third(self, ctx: np.ndarray, last: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Per shard the contexts (places of pairs), how many trigrams each has, and the trigrams, sorted by context and rank."""
+        contexts = np.unique(self.context)
+        contexts = contexts[np.lexsort((self.ids[self.w[contexts]], self.ids[self.v[contexts]], self.shard[contexts]))]
+        order = np.zeros(len(self.v), np.int64)
+        order[contexts] = np.arange(len(contexts))
+        triples = np.lexsort((self.rank[last], order[ctx]))
+        size = np.bincount(order[ctx], minlength=len(contexts)) if len(contexts) else np.zeros(0, np.int64)
+        cuts = np.flatnonzero(np.diff(self.shard[contexts])) + 1
+        ends = np.concatenate([[0], np.cumsum(size)])
+        edges = [0, *cuts.tolist(), len(contexts)] if len(contexts) else []
+        return {int(self.shard[contexts[a]]): (contexts[a:b], size[a:b], triples[ends[a]:ends[b]]) for a, b in zip(edges, edges[1:])}
+
+
 def _split(frame: pd.DataFrame):
-    """The chunk's own row, the answers of the word shards, the answers of the pair shards, from rows of kind 0, 1, 2."""
+    """The chunk's own row, the answers of the word shards, of the pair shards and of the third round, from rows of kind 0 to 3."""
     kinds = frame["kind"].to_numpy()
-    return next(frame[kinds == 0].itertuples()), frame[kinds == 1], frame[kinds == 2]
+    return next(frame[kinds == 0].itertuples()), frame[kinds == 1], frame[kinds == 2], frame[kinds == 3]
 
 
 def _ask_pairs(shards: int, distinct: int, total: int):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        row, words, _ = _split(frame)
+        row, words, _, _ = _split(frame)
         c = Chunk(row, words, distinct, total)
         seen = np.bincount(c.pair[np.repeat(c.train, np.diff(c.ends))], minlength=len(c.v))
         v, w = c.ids[c.v], c.ids[c.w]
@@ -187,37 +234,105 @@ def _answer_pairs(frame: pd.DataFrame) -> pd.DataFrame:
     p = (seen[on] + PRIOR * 10.0 ** log10_of(uni[on])) / (total[on] + PRIOR)
     data = build(v[on], w[on], quantise(np.minimum(p, 1.0)))
     trie, file = mapped(data)
-    out = [(r.chunk, r.shard, squeeze(trie.lookup(a, b))) for r, a, b in zip(frame.itertuples(), vs, ws)]
+    out = []
+    for r, a, b in zip(frame.itertuples(), vs, ws):
+        place, rank, found = trie.find(a, b)
+        codes = np.zeros(len(a), np.uint8)
+        codes[found] = trie.codes[place[found]]
+        out.append((r.chunk, r.shard, squeeze(codes), squeeze(rank[found].astype("<i4"))))
     del trie
     file.close()
-    out.append((None, int(frame["shard"].iloc[0]), data))
-    return pd.DataFrame(out, columns=["chunk", "shard", "codes"])
+    out.append((None, int(frame["shard"].iloc[0]), data, None))
+    return pd.DataFrame(out, columns=["chunk", "shard", "codes", "ranks"])
+
+
+def _ask_triples(shards: int, distinct: int, total: int):
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        row, words, pairs, _ = _split(frame)
+        c = Chunk(row, words, distinct, total)
+        c.answered(shards, pairs)
+        ctx, last = c.trigrams()
+        train = np.repeat(c.train, np.diff(c.ends))[c.at]
+        seen = np.bincount(c.triple[train & (c.triple >= 0)], minlength=len(ctx))
+        out = []
+        for shard, (contexts, size, part) in c.asks_third(ctx, last).items():
+            rank = c.rank[last[part]]
+            out.append((row.chunk, shard, squeeze(c.ids[c.v[contexts]].astype("<i8")), squeeze(c.ids[c.w[contexts]].astype("<i8")), squeeze(size.astype("<i4")),
+                        squeeze(rank.astype("<i4" if rank.max(initial=0) < 2 ** 31 else "<i8")), squeeze(seen[part].astype("<i4")), squeeze(c.code[last[part]]), None))
+        return pd.DataFrame(out, columns=["chunk", "shard", "v", "w", "size_", "rank", "seen", "pair", "trie"])
+    return run
+
+
+def _answer_triples(frame: pd.DataFrame) -> pd.DataFrame:
+    """Hang the shard's trigrams below its pairs and answer from there; the last row is the level."""
+    own, asks = frame[frame["chunk"].isna()], frame[frame["chunk"].notna()]
+    columns = ["chunk", "shard", "codes", "backoffs"]
+    if not len(asks):
+        return pd.DataFrame([], columns=columns)
+    pairs, file = mapped(own["trie"].iloc[0])
+    n = pairs.level.n
+    contexts, places, ranks, seen, uni = [], [], [], [], []
+    for r in asks.itertuples():
+        size, raw = expand(r.size_, "<i4"), zstandard.decompress(r.rank)
+        contexts.append(pairs.find(expand(r.v, "<i8"), expand(r.w, "<i8"))[0])
+        places.append(np.repeat(contexts[-1], size))
+        ranks.append(np.frombuffer(raw, "<i4" if len(raw) == 4 * size.sum() else "<i8").astype(np.int64))
+        seen.append(expand(r.seen, "<i4"))
+        uni.append(expand(r.pair, np.uint8))
+    del pairs
+    file.close()
+    place, rank, count, pair = np.concatenate(places), np.concatenate(ranks), np.concatenate(seen).astype(np.int64), np.concatenate(uni)
+    total = np.bincount(place, count, n)
+    order = np.lexsort((rank, place))
+    place, rank, count, pair = place[order], rank[order], count[order], pair[order]
+    if len(place):
+        first = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (rank[1:] != rank[:-1])))
+        count = np.add.reduceat(count, first)
+        place, rank, pair = place[first], rank[first], pair[first]
+    on = count > 0
+    p = (count[on] + PRIOR * 10.0 ** log10_of(pair[on])) / (total[place[on]] + PRIOR)
+    data = build_third(place[on], rank[on], quantise(np.minimum(p, 1.0)), quantise(PRIOR / (total + PRIOR)))
+    third, file = mapped(data, Third)
+    out = [(r.chunk, r.shard, squeeze(third.lookup(a, b)), squeeze(third.backoffs[c])) for r, a, b, c in zip(asks.itertuples(), places, ranks, contexts)]
+    del third
+    file.close()
+    out.append((None, int(frame["shard"].iloc[0]), data, None))
+    return pd.DataFrame(out, columns=columns)
 
 
 def _score(shards: int, distinct: int, total: int):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        row, words, pairs = _split(frame)
+        row, words, pairs, triples = _split(frame)
         c = Chunk(row, words, distinct, total)
         uni = np.log10(c.unigram)
-        code = np.zeros(len(c.v), np.uint8)
-        asks = c.asks(shards)
-        for shard, got in zip(pairs["n_words"], pairs["ids"]):  # the rows of pair shards have their number there
-            code[asks[int(shard)]] = expand(got, np.uint8)
+        c.answered(shards, pairs)
+        code = c.code
         context = c.counts[c.v]
         logp = np.where(code > 0, log10_of(code), np.log10(PRIOR / (context + PRIOR)) + uni[c.w])
+        third, last = c.trigrams()
+        asks, codes, backoffs = c.asks_third(third, last), np.zeros(len(third), np.uint8), np.zeros(len(c.v), np.uint8)
+        for shard, got, weights in zip(triples["n_words"], triples["ids"], triples["counts"]):
+            contexts, _, part = asks[int(shard)]
+            codes[part], backoffs[contexts] = expand(got, np.uint8), expand(weights, np.uint8)
+        best = logp[c.pair]
+        found = np.append(codes, np.uint8(0))[c.triple]  # the last one is for -1
+        best[c.at] = np.where(found > 0, log10_of(found), best[c.at] + log10_of(backoffs[c.context]))
         sums = lambda x: np.add.reduceat(x, c.ends[:-1]) if len(c.ends) > 1 else x[:0]
         return pd.DataFrame({"row": c.rows, "n_tokens": np.diff(c.ends), "n_known": sums((c.counts > 0)[c.now].astype(np.int64)),
-                             "train_tokens": np.full(len(c.rows), total), "base_score": sums(uni[c.now]), "score": sums(logp[c.pair])})
+                             "train_tokens": np.full(len(c.rows), total), "base_score": sums(uni[c.now]), "score": sums(logp[c.pair]),
+                             "trigram_score": sums(best)})
     return run
 
 
 def score(docs: DataFrame, train: Column, chunk_tokens: int = SHARD_TOKENS, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """One row per input row: doc_id, n_tokens, n_known, train_tokens, base_score, score; base ten logarithms.
+    """One row per input row: doc_id, n_tokens, n_known, train_tokens, base_score, score, trigram_score; base ten logarithms.
 
     The model is learnt from the rows where ``train`` holds (a null condition counts as false). Tokens are words between
     ASCII white space, lower-cased in A-Z, and one end; null texts are the end alone. base_score adds the smoothed unigram
     logarithms. score is the bigram model's: pairs of the training texts have the quantised probability of their trie, other
-    pairs the context's share of the unigram probability. Repeated and null ids are scored row by row. Nothing to learn from
+    pairs the context's share of the unigram probability. trigram_score is the trigram model's, interpolated with the bigrams:
+    unseen trigrams have the backoff weight of their first two words times the bigram probability, and unseen pairs of words
+    give no context. A text's first word has only the end before it. Repeated and null ids are scored row by row. Nothing to learn from
     leaves every token unknown; an empty table gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
@@ -241,10 +356,18 @@ def score(docs: DataFrame, train: Column, chunk_tokens: int = SHARD_TOKENS, shar
     pairs = one.unionByName(two).groupBy("chunk").applyInPandas(
         _ask_pairs(pair_shards, distinct, total),
         "chunk string, shard int, ctx binary, size binary, ctx_count binary, w binary, seen binary, unigram binary").withColumnRenamed("size", "size_")
-    model = materialize(pairs.groupBy("shard").applyInPandas(_answer_pairs, "chunk string, shard int, codes binary"), "tries")
+    model = materialize(pairs.groupBy("shard").applyInPandas(_answer_pairs, "chunk string, shard int, codes binary, ranks binary"), "tries")
     three = model.filter("chunk is not null").select(
         "chunk", F.lit(2).alias("kind"), F.col("shard").cast("long").alias("n_words"), F.lit(0).cast("long").alias("end_code"),
-        *[c.alias(n) for n, c in gone.items()], F.lit(None).cast("binary").alias("place"), F.col("codes").alias("ids"), F.lit(None).cast("binary").alias("counts"))
-    scored = one.unionByName(two).unionByName(three).groupBy("chunk").applyInPandas(
-        _score(pair_shards, distinct, total), "row long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    return scored.select(F.when(F.col("row") != -(2 ** 63), F.col("row")).alias("doc_id"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+        *[c.alias(n) for n, c in gone.items()], F.lit(None).cast("binary").alias("place"), F.col("codes").alias("ids"), F.col("ranks").alias("counts"))
+    fields = {"v": "binary", "w": "binary", "size_": "binary", "rank": "binary", "seen": "binary", "pair": "binary"}
+    triples = one.unionByName(two).unionByName(three).groupBy("chunk").applyInPandas(
+        _ask_triples(pair_shards, distinct, total), "chunk string, shard int, " + ", ".join(f"{n} {k}" for n, k in fields.items()) + ", trie binary")
+    tries = model.filter("chunk is null").select("chunk", "shard", *[F.lit(None).cast(k).alias(n) for n, k in fields.items()], F.col("codes").alias("trie"))
+    level = materialize(triples.unionByName(tries).groupBy("shard").applyInPandas(_answer_triples, "chunk string, shard int, codes binary, backoffs binary"), "third")
+    four = level.filter("chunk is not null").select(
+        "chunk", F.lit(3).alias("kind"), F.col("shard").cast("long").alias("n_words"), F.lit(0).cast("long").alias("end_code"),
+        *[c.alias(n) for n, c in gone.items()], F.lit(None).cast("binary").alias("place"), F.col("codes").alias("ids"), F.col("backoffs").alias("counts"))
+    scored = one.unionByName(two).unionByName(three).unionByName(four).groupBy("chunk").applyInPandas(
+        _score(pair_shards, distinct, total), "row long, n_tokens long, n_known long, train_tokens long, base_score double, score double, trigram_score double")
+    return scored.select(F.when(F.col("row") != -(2 ** 63), F.col("row")).alias("doc_id"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "trigram_score")

@@ -220,6 +220,37 @@ def test_language_model_scores(spark, texts, odd, empty):
     assert language_model.score(empty, F.lit(True)).count() == 0
 
 
+def test_third_level():
+    rng = np.random.default_rng(2)
+    entries = np.unique(rng.integers(0, 200, (3000, 2)), axis=0)
+    entries = entries[entries[:, 0] % 7 > 0]
+    codes, backoffs = rng.integers(1, 256, len(entries)), rng.integers(1, 256, 220)
+    third, file = elias_fano.mapped(elias_fano.build_third(entries[:, 0], entries[:, 1], codes, backoffs), elias_fano.Third)
+    want = {tuple(p): c for p, c in zip(entries.tolist(), codes)}
+    q = rng.integers(0, 220, (5000, 2))
+    assert third.lookup(q[:, 0], q[:, 1]).tolist() == [want.get(tuple(x), 0) for x in q.tolist()] and (third.backoffs == backoffs).all()
+    file.close()
+
+
+@pytest.mark.parametrize("limits", [{}, {"chunk_tokens": 5000, "shard_words": 500}])
+def test_trigram_scores(spark, texts, limits):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = {r.doc_id: r for r in language_model.score(docs, queries.fold(5) != 1, **limits).collect()}
+    words = {d: re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(language_model.LOWER)) + ["\n"] for d, t in texts.items()}
+    train = [words[d] for d in words if zlib.crc32(str(d).encode()) % 5 != 1]
+    one, two = Counter(w for t in train for w in t), Counter(p for t in train for p in zip(["\n", *t], t))
+    three = Counter(p for t in train for p in zip(["\n", *t], t, t[1:]))
+    total, distinct = sum(one.values()), len(one)
+    uni = lambda w: (one[w] + 0.5) / (total + 0.5 * (distinct + 1))
+    pair = lambda v, w: (two[v, w] + 4 * uni(w)) / (one[v] + 4)
+    far = 0
+    for d, t in words.items():
+        own = log10(pair("\n", t[0])) + sum(log10((three[p] + 4 * pair(*p[1:])) / (two[p[:2]] + 4)) for p in zip(["\n", *t], t, t[1:]))
+        assert abs(got[d].trigram_score - own) <= 0.06 * len(t)
+        far += abs(got[d].score - own) > 0.06 * len(t)
+    assert far > len(words) / 2
+
+
 def test_quality_orders_grades(spark, odd, empty):
     rows = [(i, ("good fine words here " if i % 3 == 2 else "plain dull words here " if i % 3 == 1 else "bad vile words here ") * 3) for i in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
