@@ -162,10 +162,11 @@ def _shared(opened: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY, small: int = SMALL, pivots: int = PIVOTS) -> DataFrame:
-    """One row per input row: doc_id, class_id (smallest doc_id of its class), class_size (documents), n_links, kept.
+    """One row per input row: doc_id, class_id (smallest doc_id of its class), class_size (documents), n_verified, kept.
 
     Classes are the connected groups of documents whose multisets of five-word shingles (lower-cased runs of letters and
-    digits) overlap by ``similarity`` or more. n_links counts the verified links of the document's distinct content.
+    digits) overlap by ``similarity`` or more. n_verified counts the links of the document's distinct content that had to
+    be verified; pairs that other links already connect are not, so it can be below the number of similar contents.
     Null, empty and wordless texts belong to no group; texts of one to four words have one shingle. Rows that repeat a
     doc_id are one document. Rows with a null doc_id form no group: their class_id is null and they are kept.
     An empty table gives an empty result; further columns are not read.
@@ -243,23 +244,23 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, small: int = SMALL,
     edges = links.unionByName(tied)
     ends = edges.select(F.col("a").alias("v")).unionByName(edges.select(F.col("b").alias("v"))).distinct()
     comp = connected_components(ends, edges.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_verified"))
     by_node = (home.groupBy("node").agg(F.countDistinct("doc_id").alias("m"), F.min("doc_id").alias("low"))
                .join(comp.withColumnRenamed("v", "node"), "node", "left").join(degree, "node", "left")
-               .select("node", "m", "low", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
+               .select("node", "m", "low", F.coalesce("root", "node").alias("root"), F.coalesce("n_verified", F.lit(0)).cast("long").alias("n_verified")))
     by_node = materialize(by_node, "nodes")
     by_root = by_node.groupBy("root").agg(F.sum("m").alias("class_size"), F.min("low").alias("class_id"))
-    by_node = materialize(by_node.join(by_root, "root").select("node", "class_id", "class_size", "n_links"), "classed")
+    by_node = materialize(by_node.join(by_root, "root").select("node", "class_id", "class_size", "n_verified"), "classed")
     # A node may hold a third of all rows: rows reach it through (node, salt), a few rows per node.
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-home.count() // 100_000)))).alias("salt")
     home = home.withColumn("salt", salt)
     spot = home.select("node", "salt").distinct().join(by_node, "node")
     one = home.join(spot, ["node", "salt"]).groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.max("class_size").alias("class_size"),
-                                                          F.max("n_links").alias("n_links"), F.sum("copies").alias("copies"))
+                                                          F.max("n_verified").alias("n_verified"), F.sum("copies").alias("copies"))
     out = one.select(F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"), "*").select(
-        "doc_id", "class_id", "class_size", "n_links", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+        "doc_id", "class_id", "class_size", "n_verified", (F.col("doc_id") == F.col("class_id")).alias("kept"))
     lone = sketch.filter("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(1).cast("long").alias("class_size"),
-                                                  F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept"))
+                                                  F.lit(0).cast("long").alias("n_verified"), F.lit(True).alias("kept"))
     return out.unionByName(lone)
 
 

@@ -99,6 +99,10 @@ def test_near_copies_of_awkward_rows(odd, empty):
     assert sorted(str(r.doc_id) for r in near_dedup.deduplicate(odd).collect()) == sorted(map(str, [1, 3, 4, 5, 5, None, 7, 8, 9]))
 
 
+def test_links_are_named_as_what_they_count(odd):
+    assert near_dedup.classes(odd).columns == ["doc_id", "class_id", "class_size", "n_verified", "kept"]
+
+
 def test_signatures_estimate_weighted_overlap():
     rng = np.random.default_rng(3)
     a, b = rng.integers(0, 9, 200), rng.integers(0, 9, 200)
