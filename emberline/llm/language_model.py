@@ -68,12 +68,12 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [pa.array([f"{task}-{k}"]), pa.array([len(full)]), pa.array([len(number)]), pa.array([end]),
              pa.array([squeeze(column(t, "row").to_numpy(zero_copy_only=False).astype("<i8"))], pa.binary()), pa.array([squeeze(train)], pa.binary()),
              pa.array([squeeze(ends.astype("<i4"))], pa.binary()), pa.array([squeeze(full.astype("<i4"))], pa.binary()),
-             pa.array([zstandard.compress("\0".join(number).encode(), 1)], pa.binary()), pa.array([squeeze(count.astype("<i4"))], pa.binary())],
+             pa.array([zstandard.compress(" ".join(number).encode(), 1)], pa.binary()), pa.array([squeeze(count.astype("<i4"))], pa.binary())],
             names=["chunk", "n_tokens", "n_words", "end_code", "rows", "train", "ends", "codes", "words", "counts"])
 
 
 def _vocabulary(row) -> list[str]:
-    return zstandard.decompress(row.words).decode().split("\0")
+    return zstandard.decompress(row.words).decode().split(" ")
 
 
 def _ask_words(shards: int):
@@ -84,7 +84,7 @@ def _ask_words(shards: int):
                 shard = np.fromiter((xxhash.xxh32_intdigest(w) % shards for w in words), np.int64, len(words))
                 order = np.argsort(shard, kind="stable")
                 cuts = np.flatnonzero(np.diff(shard[order])) + 1
-                yield pd.DataFrame([(row.chunk, int(shard[part[0]]), squeeze(part.astype("<i4")), zstandard.compress("\0".join(words[part]).encode(), 1),
+                yield pd.DataFrame([(row.chunk, int(shard[part[0]]), squeeze(part.astype("<i4")), zstandard.compress(" ".join(words[part]).encode(), 1),
                                      squeeze(counts[part])) for part in np.split(order, cuts)], columns=["chunk", "shard", "place", "words", "counts"])
     return run
 
@@ -92,7 +92,7 @@ def _ask_words(shards: int):
 def _answer_words(shards: int):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         shard = int(frame["shard"].iloc[0])
-        lists = [zstandard.decompress(b).decode().split("\0") for b in frame["words"]]
+        lists = [zstandard.decompress(b).decode().split(" ") for b in frame["words"]]
         counts = np.concatenate([expand(b, "<i4") for b in frame["counts"]]).astype(np.int64)
         number, words = pd.factorize(np.array([w for part in lists for w in part], object))
         total = np.bincount(number, counts, len(words)).astype(np.int64)

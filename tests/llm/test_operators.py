@@ -224,6 +224,11 @@ def test_language_model_scores(spark, texts, odd, empty):
     assert language_model.score(empty, F.lit(True)).count() == 0
 
 
+def test_words_with_a_null_character(spark):
+    docs = spark.createDataFrame([(1, "a\0b c a\0b"), (2, "c a\0b")], "doc_id long, text string")
+    assert {r.doc_id: (r.n_tokens, r.n_known) for r in language_model.score(docs, F.lit(True)).collect()} == {1: (4, 4), 2: (3, 3)}
+
+
 def test_third_level():
     rng = np.random.default_rng(2)
     entries = np.unique(rng.integers(0, 200, (3000, 2)), axis=0)
