@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from emberline.llm import decontaminate, exact_dedup, language, language_model, licenses, near_dedup, packing, preference, quality, secrets
+from emberline.llm import decontaminate, exact_dedup, language, language_model, lexical, licenses, near_dedup, packing, preference, quality, secrets, spotsigs, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,18 @@ def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"), learn_from=fold(5) != 1)
 
 
+def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def spots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.edited_pairs(table(spark, sf_dir, "documents"))
+
+
+def whitened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_greedy_string_tiling": decontaminated,
     "op2_elias_fano_bigrams": model_scores,
@@ -82,6 +94,9 @@ QUERIES = {
     "op9_preference_pairs": preferences,
     "op9_replaced_replies": replies,
     "op10_secret_forest": secret_scan,
+    "op11_presence_masks": ranked,
+    "op12_spot_signatures": spots,
+    "op13_feast_whitening": whitened,
 }
 
 SQL = {
@@ -111,4 +126,19 @@ SQL = {
                coalesce(x.body, '') AS chosen, coalesce(y.body, '') AS rejected, coalesce(x.mask, '') AS chosen_mask,
                coalesce(y.mask, '') AS rejected_mask, coalesce(x.mask, '') <> '' AND coalesce(y.mask, '') <> '' AS usable
         FROM n LEFT JOIN c x ON x.p = n.p AND x.side = 0 LEFT JOIN c y ON y.p = n.p AND y.side <> 0""",
+    "op11_presence_masks": """
+        WITH d AS (SELECT doc_id, text, row_number() OVER () AS r FROM documents),
+        i AS (SELECT item_id, text, row_number() OVER () AS i FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+        dt AS (SELECT r, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM d),
+        it AS (SELECT DISTINCT i, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                                     '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM i),
+        p AS (SELECT r, doc_id, t, count(*) AS tf FROM dt GROUP BY r, doc_id, t),
+        l AS (SELECT r, CAST(sum(tf) AS BIGINT) AS n FROM p GROUP BY r),
+        c AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS len FROM l),
+        w AS (SELECT t, CAST(floor(1000 * ln((2 * max(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM p, c GROUP BY t),
+        s AS (SELECT i, item_id, doc_id, p.r, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * docs) // len))))) AS BIGINT) AS score
+              FROM it JOIN p USING (t) JOIN w USING (t) JOIN l ON l.r = p.r, c GROUP BY i, item_id, doc_id, p.r),
+        o AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS place FROM s WHERE score > 0)
+        SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score FROM o WHERE place <= 50""",
 }
