@@ -4,10 +4,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window, functions as F
 
+from emberline.operators.trees import read_trees
+
 
 def importance_table(spark, importances: list[float], names: list[str]) -> DataFrame:
     """``(feature, importance)``; surplus names are cut, missing ones are called ``f_i``."""
@@ -28,91 +30,42 @@ def leaf_paths(model) -> tuple[list, float]:
     """Every leaf as ``(value, [(feature, low, high, cover share)])`` and the expected output.
 
     Steps on the same feature are merged to one interval (low, high]; the cover share of a feature is the product of
-    the training shares that follow the path at its splits. The size depends on the model, not on the data.
-    """
-    paths, base = [], 0.0
-    weights = list(model.treeWeights)
-    forest = "RandomForest" in type(model).__name__
-    scale = 1.0 / len(weights) if forest else 1.0
-    for tree, weight in zip(model.trees, weights):
-        factor = scale if forest else weight
-        java = tree._java_obj if hasattr(tree, "_java_obj") else tree._to_java()
-
-        def walk(node, box: dict, cover: dict):
-            nonlocal base
-            if node.subtreeDepth() == 0:
-                if "Classification" in type(tree).__name__:
-                    stats = list(node.impurityStats().stats())
-                    value = stats[1] / sum(stats)
-                else:
-                    value = node.prediction()
-                value *= factor
-                share = math.prod(cover.values())
-                base += value * share
-                paths.append((value, [(f, *box[f], cover[f]) for f in sorted(box)]))
-                return
-            split = node.split()
-            f, t = split.featureIndex(), split.threshold()
-            total = node.impurityStats().count()
-            for child, left in ((node.leftChild(), True), (node.rightChild(), False)):
-                lo, hi = box.get(f, (-math.inf, math.inf))
-                inside = (lo, min(hi, t)) if left else (max(lo, t), hi)
-                part = child.impurityStats().count() / total
-                walk(child, box | {f: inside}, cover | {f: cover.get(f, 1.0) * part})
-        walk(java.rootNode(), {}, {})
-    return paths, base
-
-
-def _shapley(paths: list, width: int):
-    """Batch function: attributions of the leaves, added up per feature.
-
-    Only features inside a leaf's interval set matter: with m features on the path, feature j adds
-    value * sum over subset sizes of the subset weight times the elementary product of the other features.
+    the training shares that follow the path at its splits.
     """
-    weights = {m: [math.factorial(s) * math.factorial(m - s - 1) / math.factorial(m) for s in range(m)]
-               for m in range(1, 64)}
-
-    def phi(x: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(x), width))
-        for value, steps in paths:
-            m = len(steps)
-            if not m:
-                continue
-            on = np.stack([((x[:, f] > lo) & (x[:, f] <= hi)) for f, lo, hi, _ in steps]).astype(float)
-            share = [s[3] for s in steps]
-            for j in range(m):
-                poly = np.zeros((m, len(x)))
-                poly[0] = 1.0
-                for i, size in enumerate(i for i in range(m) if i != j):
-                    grown = poly * share[size]
-                    grown[1:] += poly[:-1] * on[size]
-                    poly = grown
-                subset = np.tensordot(np.array(weights[m]), poly, 1)
-                out[:, steps[j][0]] += value * (on[j] - share[j]) * subset
-        return out
-    return phi
+    t, paths = read_trees(model), []
+    stack = [(int(r), {}) for r in t.roots]
+    while stack:
+        n, steps = stack.pop()
+        if t.left[n] < 0:
+            paths.append((t.value[n], [(f, *steps[f]) for f in sorted(steps)]))
+            continue
+        f, cut = int(t.feature[n]), t.threshold[n]
+        low, high, share = steps.get(f, (-math.inf, math.inf, 1.0))
+        for child, inside in ((t.left[n], (low, min(high, cut))), (t.right[n], (max(low, cut), high))):
+            stack.append((int(child), steps | {f: (*inside, share * t.cover[child] / t.cover[n])}))
+    return paths, t.base
 
 
 def tree_attributions(model, df: DataFrame, keep: list[str] | None = None) -> tuple[DataFrame, float]:
     """Path-dependent Shapley values of all rows: ``(row_id, keep..., phi array)`` and the expected output.
 
     The attributions of a row plus the expected output equal the model output (margin of boosted models before the
-    logistic step, probability of forests).
+    logistic step, probability of forests). The model's node arrays are broadcast once.
     """
-    paths, base = leaf_paths(model)
-    phi, width = _shapley(paths, model.numFeatures), model.numFeatures
+    trees = read_trees(model)
+    shared = df.sparkSession.sparkContext.broadcast(trees)
     keep = ["row_id", *(keep or [])]
     rows = df.select(*keep, vector_to_array("features").alias("_x"))
 
     def run(batches):
-        for pdf in batches:
-            x = np.stack(pdf["_x"].to_numpy()) if len(pdf) else np.zeros((0, width))
-            out = pdf[keep].copy()
-            out["phi"] = pd.Series(list(phi(x)), index=out.index, dtype=object)
-            yield out
+        for b in batches:
+            x = b.column("_x").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, shared.value.width)
+            phi = shared.value.shapley(x)
+            ends = pa.array(np.arange(b.num_rows + 1) * shared.value.width, pa.int32())
+            yield pa.record_batch([*[b.column(c) for c in keep], pa.ListArray.from_arrays(ends, pa.array(phi.reshape(-1)))], [*keep, "phi"])
     kinds = dict(rows.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", phi array<double>"
-    return rows.mapInPandas(run, schema), base
+    return rows.mapInArrow(run, schema), trees.base
 
 
 def long_attributions(wide: DataFrame, names: list[str], keep: list[str] | None = None) -> DataFrame:
