@@ -15,13 +15,16 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from emberline.functions.columns import great_circle_km, shrink_longitude
 from emberline.operators.components import connected_components
-from emberline.operators.joins import HOT_ROWS, join_lookup, join_small
+from emberline.operators.joins import BROADCAST_ROWS, HOT_ROWS, join_lookup
 from emberline.storage import materialize
 
 EARTH_KM = 6371.0
 LEAF_POINTS = 64
 VOTE_LEAF_POINTS = 24
 MAX_DEPTH = 28
+# Levels whose cells are counted in one pass, and the level that votes start from: at most 4**3 cells a side.
+COUNTED_LEVELS = 4
+FIRST_LEVEL = 3
 SLACK = 1e-9
 
 
@@ -56,38 +59,50 @@ def place_points(points: DataFrame, grid: Grid, leaf_points: int = LEAF_POINTS,
                  start: int = 0) -> tuple[DataFrame, list[int]]:
     """Add ``leaf`` (cell id) to distinct points; returns the table and the levels that cells are opened at.
 
-    Only the points of too full cells go on to a deeper level; how deep follows from how full those cells are.
+    A leaf is the largest cell, from level ``start`` on, with at most ``leaf_points`` points. A few levels are counted in one
+    pass, combined before the shuffle; only the points of cells that are too full on all of them go on to deeper ones.
     """
-    left, placed, level, levels = points, [], start, [0, *range(start % 2 or 2, start, 2)]
+    left, placed, first, used = points, [], start, {0}
     while True:
-        levels.append(level)
-        keyed = left.withColumn("leaf", grid.cell(level))
-        full = None
-        if level < MAX_DEPTH:
-            full = keyed.groupBy("part", "leaf").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > leaf_points)
-            full = materialize(full, "full")
-        fill = full.agg(F.avg("_n")).first()[0] if full is not None else None
-        if fill is None:
-            placed.append(keyed)
+        last = min(MAX_DEPTH, first + COUNTED_LEVELS - 1)
+        spread = left.withColumn("leaf", F.explode(F.array(*[grid.cell(l) for l in range(first, last + 1)])))
+        counts = materialize(spread.groupBy("part", "leaf").agg(F.count(F.lit(1)).alias("_n")), "counts")
+        few = (F.col("_n") <= leaf_points) | (F.col("leaf.lvl") == MAX_DEPTH)
+        full = counts.filter(~few).select("part", "leaf")
+        deepest = F.col("leaf.lvl") == last
+        levels, cells, go_on = counts.agg(F.collect_set(F.when(few, F.col("leaf.lvl"))), F.count_if(few), F.count_if(~few & deepest)).first()
+        above = counts.filter(few & (F.col("leaf.lvl") > first)).select("part", "leaf", grid.ancestor("leaf", F.col("leaf.lvl") - 1).alias("_up"))
+        leaves = counts.filter(few & (F.col("leaf.lvl") == first)).select("part", "leaf").unionByName(
+            above.join(full.withColumnRenamed("leaf", "_up"), ["part", "_up"], "left_semi").select("part", "leaf"))
+        leaves = F.broadcast(leaves) if cells <= BROADCAST_ROWS else leaves
+        placed.append(spread.join(leaves, ["part", "leaf"], "left_semi"))
+        used |= set(levels) if levels or go_on else {first}
+        if not go_on:
             break
-        full = full.drop("_n")
-        placed.append(join_small(keyed, full, ["part", "leaf"], "left_anti"))
-        left = join_small(keyed, full, ["part", "leaf"], "left_semi").drop("leaf")
-        level = min(MAX_DEPTH, level + max(1, int(math.log(fill / leaf_points, 4))))
-    return materialize(reduce(DataFrame.unionByName, placed), "placed"), sorted(set(levels))
-
-
-def node_table(placed: DataFrame, grid: Grid, levels: list[int]) -> DataFrame:
-    """Every cell on the way from level 0 to the leaves: weight, box of its points, parent."""
+        rest = full.filter(deepest)
+        left = left.withColumn("leaf", grid.cell(last)).join(F.broadcast(rest) if go_on <= BROADCAST_ROWS else rest, ["part", "leaf"], "left_semi").drop("leaf")
+        first = last + 1
+    # Cells are opened by at most two levels at once.
+    levels = sorted(used)
+    levels += [l for low, high in zip(levels, levels[1:]) for l in range(low + 2, high, 2)]
+    placed = reduce(DataFrame.unionByName, placed).select(*points.columns, "leaf")
+    return materialize(placed, "placed"), sorted(levels)
+
+
+def node_table(placed: DataFrame, grid: Grid, levels: list[int], labelled: bool = False) -> DataFrame:
+    """Every cell on the way from level 0 to the leaves: weight, box of its points, parent, and the smallest and largest
+    label of its points if they have one."""
     box = [f(f"c{i}").alias(f"{n}{i}") for i in grid.axes for n, f in (("lo", F.min), ("hi", F.max))]
+    box += [F.min("label").alias("label0"), F.max("label").alias("label1")] if labelled else []
     leaves = placed.groupBy("part", "leaf").agg(F.sum("w").alias("w"), *box)
     used = F.array(*[F.lit(l) for l in levels])
     spread = leaves.withColumn("_l", F.explode(F.filter(used, lambda l: l <= F.col("leaf.lvl"))))
     spread = spread.withColumn("id", grid.ancestor("leaf", F.col("_l")))
     up = [f(f"{n}{i}").alias(f"{n}{i}") for i in grid.axes for n, f in (("lo", F.min), ("hi", F.max))]
+    up += [F.min("label0").alias("label0"), F.max("label1").alias("label1")] if labelled else []
     nodes = spread.groupBy("part", "id").agg(
         F.sum("w").alias("w"), F.bool_or(F.col("_l") == F.col("leaf.lvl")).alias("is_leaf"), *up)
-    fields = ["id", "w", "is_leaf"] + [f"{n}{i}" for i in grid.axes for n in ("lo", "hi")]
+    fields = ["id", "w", "is_leaf"] + [f"{n}{i}" for i in grid.axes for n in ("lo", "hi")] + ["label0", "label1"] * labelled
     above = F.coalesce(F.array_max(F.filter(used, lambda l: l < F.col("id.lvl"))), F.lit(-1))
     nodes = nodes.withColumn("parent", F.when(above >= 0, grid.ancestor("id", F.greatest(above, F.lit(0)))))
     return materialize(nodes.select("part", "id", "parent", F.struct(*fields).alias("node")), "nodes")
@@ -285,6 +300,43 @@ def _start_level(n: int, leaf_points: int) -> int:
     return max(0, math.ceil(math.log(max(n / leaf_points, 1), 4)))
 
 
+def vote_cells(qn: DataFrame, rn: DataFrame, levels_q: list[int], levels_r: list[int], grid: Grid, k: int) -> tuple[DataFrame, DataFrame]:
+    """Query cells whose ``k`` nearest reference rows all have one label, ``(id, label)``, and the leaf pairs of the others.
+
+    Only cells near a border between labels are opened down to their points.
+    """
+    # The few cells of a high level on each side; cells are opened level by level and far ones dropped.
+    def top(nodes: DataFrame, levels: list[int], side: str) -> tuple[DataFrame, int]:
+        at = max(l for l in levels if l <= FIRST_LEVEL)
+        cells = nodes.filter((F.col("id.lvl") == at) | (F.col("node.is_leaf") & (F.col("id.lvl") < at)))
+        return cells.select("part", F.col("node").alias(side)), sum(l > at for l in levels)
+
+    (tops_q, left_q), (tops_r, left_r) = top(qn, levels_q, "a"), top(rn, levels_r, "b")
+    pairs = tops_q.join(tops_r, "part")
+    by_cell = Window.partitionBy("part", "a.id")
+    near_first = by_cell.orderBy("far2", "b.id").rowsBetween(Window.unboundedPreceding, 0)
+
+    def near_enough(pairs: DataFrame) -> DataFrame:
+        """Drop reference cells that lie beyond the farthest place the k-th neighbour can be."""
+        judged = pairs.withColumns(_bounds(grid)).withColumn("_cum", F.sum("b.w").over(near_first))
+        judged = judged.withColumn("reach2", F.min(F.when(F.col("_cum") >= k, F.col("far2"))).over(by_cell))
+        kept = judged.filter(F.col("reach2").isNull() | (F.col("near2") <= F.col("reach2") * (1 + SLACK)))
+        return kept.select("part", "a", "b", "reach2")
+
+    # A query cell whose kept reference cells hold one label has its votes: every neighbour of its points is in them.
+    settled, rounds = [], max(left_q, left_r) + 1
+    for i in range(rounds):
+        # One side at a time, so that the children of both are never listed together before the far ones are gone.
+        kept = near_enough(pairs) if i == rounds - 1 else near_enough(_open(near_enough(pairs).drop("reach2"), qn, "a"))
+        kept = materialize(kept.withColumns({"_l0": F.min("b.label0").over(by_cell), "_l1": F.max("b.label1").over(by_cell)}), "kept")
+        settled.append(kept.filter("_l0 = _l1").select(F.col("a.id").alias("id"), F.col("_l0").alias("label")).distinct())
+        kept = kept.filter("_l0 <> _l1").drop("_l0", "_l1")
+        if i == rounds - 1 or kept.isEmpty():
+            break
+        pairs = _open(kept.drop("reach2"), rn, "b")
+    return reduce(DataFrame.unionByName, settled), kept
+
+
 def nearest_vote(queries: DataFrame, refs: DataFrame, k: int, label: str, shrink: bool = False,
                  leaf_points: int = VOTE_LEAF_POINTS, weight: str | None = None) -> DataFrame:
     """Distance-weighted vote of the ``k`` nearest reference rows for every distinct query coordinate.
@@ -299,32 +351,20 @@ def nearest_vote(queries: DataFrame, refs: DataFrame, k: int, label: str, shrink
     r = _plane(refs.groupBy("latitude", "longitude", F.col(label).alias("label"))
                .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("w")).withColumn("part", F.lit(0).cast("long")), shrink)
     q, r = materialize(q, "queries"), materialize(r, "refs")
-    span = (q.select("c0", "c1").unionByName(r.select("c0", "c1"))
-            .agg(F.min("c0"), F.max("c0"), F.min("c1"), F.max("c1")).first())
-    size = max(span[1] - span[0], span[3] - span[2], 1e-9) * (1 + 1e-6)
-    grid = Grid((span[0], span[2]), size)
-    q, levels_q = place_points(q, grid, leaf_points, _start_level(q.count(), leaf_points))
-    r, levels_r = place_points(r, grid, leaf_points, _start_level(r.count(), leaf_points))
-    qn, rn = node_table(q, grid, levels_q), node_table(r, grid, levels_r)
-
-    # Level 0 is one cell on each side; cells are opened level by level and far ones dropped.
-    pairs = qn.filter("id.lvl = 0").select("part", F.col("node").alias("a")).join(
-        rn.filter("id.lvl = 0").select("part", F.col("node").alias("b")), "part")
-    by_cell = Window.partitionBy("part", "a.id")
-    near_first = by_cell.orderBy("far2", "b.id").rowsBetween(Window.unboundedPreceding, 0)
-
-    def near_enough(pairs: DataFrame) -> DataFrame:
-        """Drop reference cells that lie beyond the farthest place the k-th neighbour can be."""
-        judged = pairs.withColumns(_bounds(grid)).withColumn("_cum", F.sum("b.w").over(near_first))
-        judged = judged.withColumn("reach2", F.min(F.when(F.col("_cum") >= k, F.col("far2"))).over(by_cell))
-        kept = judged.filter(F.col("reach2").isNull() | (F.col("near2") <= F.col("reach2") * (1 + SLACK)))
-        return kept.select("part", "a", "b", "reach2")
-
-    for _ in range(max(len(levels_q), len(levels_r)) - 1):
-        # One side at a time, so that the children of both are never listed together before the far ones are gone.
-        pairs = near_enough(_open(near_enough(pairs).drop("reach2"), qn, "a")).drop("reach2")
-        pairs = materialize(_open(pairs, rn, "b"), "pairs")
-    kept = near_enough(pairs)
+    ends = [F.min("c0"), F.max("c0"), F.min("c1"), F.max("c1"), F.count(F.lit(1))]
+    (*qs, n_q), (*rs, n_r) = q.agg(*ends).first(), r.agg(*ends).first()
+    # An empty side has no ends.
+    low, high = [[f([s[i] for s in (qs, rs) if s[i] is not None], default=0.0) for i in at] for f, at in ((min, (0, 2)), (max, (1, 3)))]
+    size = max(high[0] - low[0], high[1] - low[1], 1e-9) * (1 + 1e-6)
+    grid = Grid(tuple(low), size)
+    q, levels_q = place_points(q, grid, leaf_points, _start_level(n_q, leaf_points))
+    r, levels_r = place_points(r, grid, leaf_points, _start_level(n_r, leaf_points))
+    qn, rn = node_table(q, grid, levels_q), node_table(r, grid, levels_r, labelled=True)
+
+    settled, kept = vote_cells(qn, rn, levels_q, levels_r, grid, k)
+    above = F.array(*[F.lit(l) for l in levels_q])
+    cells = q.withColumn("id", F.explode(F.transform(F.filter(above, lambda l: l <= F.col("leaf.lvl")), lambda l: grid.ancestor("leaf", l))))
+    clear = cells.join(settled, "id").select("latitude", "longitude", "w", F.col("label").alias(label))
     leafs = kept.select(F.col("a.id").alias("_q"), F.col("b.id").alias("_r"), "reach2")
     qs = q.select(F.col("leaf").alias("_q"), "latitude", "longitude", F.col("c0").alias("q0"), F.col("c1").alias("q1"))
     rs = r.select(F.col("leaf").alias("_r"), F.col("c0").alias("r0"), F.col("c1").alias("r1"), "label", "w")
@@ -342,7 +382,7 @@ def nearest_vote(queries: DataFrame, refs: DataFrame, k: int, label: str, shrink
         F.sum(F.when(F.col("d") > 0, take / F.col("d")).otherwise(0.0)).alias("vote"))
     rank = F.struct((-F.col("same")).alias("s"), F.when(F.col("same") > 0, 0.0).otherwise(-F.col("vote")).alias("v"), "label")
     best = votes.groupBy("latitude", "longitude").agg(F.min(rank)["label"].alias(label))
-    return best.join(q.select("latitude", "longitude", "w"), ["latitude", "longitude"])
+    return clear.unionByName(best.join(q.select("latitude", "longitude", "w"), ["latitude", "longitude"]).select("latitude", "longitude", "w", label))
 
 
 def route(rows: DataFrame, refs: DataFrame, k: int, label: str = "ecozone", shrink: bool = False,

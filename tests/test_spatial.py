@@ -124,3 +124,31 @@ def test_no_clusters_falls_back_to_macro_zones(spark, points):
 def test_k_rules():
     assert zoning.macro_k(100) == 9 and zoning.macro_k(40000 * 144) == 12 and zoning.macro_k(10 ** 9) == 15
     assert zoning.router_k(100) == 20 and zoning.router_k(807_897) == 299
+
+
+def test_only_cells_at_a_border_are_opened(spark):
+    """Two zones that meet in a line: the cells left for points grow with the line, not with the area."""
+    import random
+    rnd, left = random.Random(4), {}
+    for n in (1500, 6000):
+        pts = spark.createDataFrame([(rnd.random(), rnd.random()) for _ in range(n)], "c0 double, c1 double").selectExpr(
+            "c0", "c1", "0L as part", "1L as w", "int(c1 > 0.5) as label")
+        grid = spatial.Grid((0.0, 0.0), 1.0)
+        placed, levels = spatial.place_points(pts, grid, 16, spatial._start_level(n, 16))
+        qn, rn = spatial.node_table(placed, grid, levels), spatial.node_table(placed, grid, levels, labelled=True)
+        settled, kept = spatial.vote_cells(qn, rn, levels, levels, grid, 12)
+        clear = {r.id for r in settled.collect()}
+        still = {r.id for r in kept.select("a.id").distinct().collect()}
+        leaves = {r.leaf for r in placed.select("leaf").distinct().collect()}
+        assert still <= leaves and clear and all(0.25 < (i.i1 + 0.5) / 2 ** i.lvl < 0.75 for i in still)
+        left[n] = len(still) / len(leaves)
+    assert left[6000] < 0.75 * left[1500]
+
+
+def test_leaves_hold_few_points_at_any_depth(spark):
+    pts = spark.createDataFrame([(0.3 + 1e-7 * i, 0.3, 0, 1) for i in range(200)] + [(i / 50, 0.9, 0, 1) for i in range(50)], "c0 double, c1 double, part long, w long")
+    placed, levels = spatial.place_points(pts, spatial.Grid((0.0, 0.0), 1.0), 5)
+    assert placed.count() == 250 and placed.select("c0", "c1").distinct().count() == 250
+    sizes = placed.groupBy("leaf").count().collect()
+    assert all(r["count"] <= 5 for r in sizes) and max(r.leaf.lvl for r in sizes) > 8
+    assert {r.leaf.lvl for r in sizes} <= set(levels) and all(b - a <= 2 for a, b in zip(levels, levels[1:]))
