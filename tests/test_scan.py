@@ -86,3 +86,29 @@ def test_components(spark, hot):
     got = dict(map(tuple, components.connected_components(
         v, spark.createDataFrame(edges, "src long, dst long"), hot_rows=hot).collect()))
     assert got == {i: 0 if i <= 29 else 40 if 40 <= i < 55 else i for i in range(n)}
+
+
+@pytest.mark.parametrize("accuracy", [20, 100, 10_000, None])
+def test_quantiles_rank_only_what_the_brackets_hold(spark, accuracy):
+    import numpy as np
+    n, probs = 6000, [0.0, 0.1, 0.101, 0.5, 0.9, 1.0]
+    rng = np.random.default_rng(3)
+    data = {"flat": rng.random(n), "heavy": np.exp(rng.normal(0, 40, n)), "same": np.full(n, 7.5), "few": rng.integers(0, 3, n) * 1.0,
+            "hot": np.where(rng.random(n) < 0.4, 0.25, rng.random(n)), "gone": np.full(n, np.nan)}
+    rows = [(i % 2, *[None if np.isnan(v[i]) else float(v[i]) for v in data.values()]) for i in range(n)] + [(5, 1.0, None, 2.0, 3.0, 4.0, None)]
+    df = spark.createDataFrame(rows, "g int, " + ", ".join(f"{c} double" for c in data)).repartition(5)
+    for by, groups in ((["g"], [0, 1]), ([], [None])):
+        got = {((r.g if by else None), r.column): r for r in quantiles.exact_quantiles(df, list(data), probs, by, accuracy=accuracy).collect()}
+        for g in groups:
+            for c, v in data.items():
+                own = [r[1 + list(data).index(c)] for r in rows if (g is None or r[0] == g) and r[1 + list(data).index(c)] is not None]
+                if not own:
+                    assert (g, c) not in got
+                    continue
+                want = np.quantile(own, probs)
+                assert np.allclose([got[g, c][f"q{i}"] for i in range(len(probs))], want, rtol=1e-12), (g, c)
+    if accuracy != 100:
+        return
+    wide = df.agg(*[x for i, c in enumerate(data) for x in (F.count(c).alias(f"_{i}"), F.percentile_approx(c, [0.5 - 2 / accuracy, 0.5 + 2 / accuracy], accuracy).alias(f"_b{i}"))])
+    counts = quantiles._bucket_counts(df, list(data), [F.col(c) for c in data], wide, [], 1)
+    assert counts.filter("column = 'flat'").count() < n * 8 / accuracy
