@@ -7,20 +7,16 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from emberline.operators.clean import numeric_columns
 from emberline.operators.joins import join_lookup
+from emberline.operators.neighbours import nearest_rows
 from emberline.operators.quantiles import exact_quantiles, medians
 from emberline.operators.scan import HOT_ROWS, row_rank, running_totals
 from emberline.operators.split import shuffle_key
 from emberline.storage import materialize
 
-BLOCK_ROWS = 2048
-MAX_PIVOTS = 512
-
 
 def uniform(*parts: Column, seed: int) -> Column:
     """Repeatable draw in [0, 1)."""
@@ -32,103 +28,6 @@ def normal(*parts: Column, seed: int) -> Column:
     return F.sqrt(-2 * F.ln(u)) * F.cos(2 * math.pi * uniform(*parts, seed=seed + 1))
 
 
-def _to_pivot(pivots: np.ndarray):
-    def run(batches):
-        for pdf in batches:
-            if len(pdf):
-                x = np.stack(pdf["features"].to_numpy())
-                d = np.sqrt(np.maximum((x * x).sum(1)[:, None] - 2 * x @ pivots.T + (pivots * pivots).sum(1)[None], 0))
-                pdf["pivot"], pdf["d"] = d.argmin(1).astype("int32"), d.min(1)
-            else:
-                pdf["pivot"], pdf["d"] = pd.Series(dtype="int32"), pd.Series(dtype="float64")
-            yield pdf
-    return run
-
-
-def _block_nearest(k: int):
-    def run(queries: pd.DataFrame, refs: pd.DataFrame) -> pd.DataFrame:
-        cols = ["vid", "d", "row_id", "label"]
-        if not len(queries) or not len(refs):
-            return pd.DataFrame({c: [] for c in cols}).astype({"vid": "int64", "d": "float64", "row_id": "int64", "label": "int32"})
-        refs = refs.sort_values("row_id")
-        r, ids = np.stack(refs["features"].to_numpy()), refs["row_id"].to_numpy()
-        take = min(k, len(refs))
-        best, dist = [], []
-        for v in queries["features"]:
-            diff = r - v
-            d = np.sqrt((diff * diff).sum(1))
-            order = np.argsort(d, kind="stable")[:take]
-            best.append(order)
-            dist.append(d[order])
-        best = np.concatenate(best)
-        return pd.DataFrame({"vid": np.repeat(queries["vid"].to_numpy(), take), "d": np.concatenate(dist),
-                             "row_id": ids[best], "label": refs["label"].to_numpy()[best]})
-    return run
-
-
-def nearest_rows(queries: DataFrame, refs: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """The ``k`` nearest reference rows of every query row (itself excluded), by (distance, row_id).
-
-    Exact: rows are assigned to sampled pivots, pivot pairs that cannot hold a neighbour are ruled out by the
-    triangle inequality, and the rest is compared block by block, each block pair keeping only its best k.
-    Returns ``(row_id, place, neighbour, d, neighbour_label)``.
-    """
-    spark = queries.sparkSession
-    # Of rows with equal features only the first k + 1 can be among the k nearest of any row.
-    same = Window.partitionBy("features").orderBy("row_id")
-    refs = refs.select("row_id", "features", F.col("label").cast("int").alias("label"))
-    refs = materialize(refs.withColumn("_rn", F.row_number().over(same)).filter(F.col("_rn") <= k + 1).drop("_rn"), "refs")
-    q = materialize(queries.groupBy("features").agg(F.min("row_id").alias("vid"), F.count(F.lit(1)).alias("n")), "queries")
-    n_refs, n_q = refs.count(), q.count()
-    wanted = min(MAX_PIVOTS, max(1, int(math.sqrt(n_refs) / 2)))
-    sample = refs.orderBy(F.xxhash64("row_id"), "row_id").limit(wanted).select("features").collect()
-    if not sample:
-        return spark.createDataFrame([], "row_id long, place int, neighbour long, d double, neighbour_label int")
-    pivots = np.unique(np.array([r[0] for r in sample], dtype="float64"), axis=0)
-    place = _to_pivot(pivots)
-    q = materialize(q.mapInPandas(place, "features array<double>, vid long, n long, pivot int, d double"), "q")
-    refs = materialize(refs.mapInPandas(
-        place, "row_id long, features array<double>, label int, pivot int, d double"), "r")
-
-    # At most MAX_PIVOTS rows each: radii and sizes of the pivot cells.
-    qs = q.groupBy("pivot").agg(F.max("d").alias("radius"), F.count(F.lit(1)).alias("n")).collect()
-    rs = refs.groupBy("pivot").agg(F.max("d").alias("radius"), F.count(F.lit(1)).alias("n")).collect()
-    gap = np.sqrt(((pivots[:, None] - pivots[None]) ** 2).sum(-1))
-    plan = []
-    for a in qs:
-        spans = sorted((gap[a.pivot, b.pivot] + a.radius + b.radius, b.n) for b in rs)
-        total, limit = 0, math.inf
-        for far, n in spans:
-            total += n
-            if total >= k + 1:
-                limit = far
-                break
-        for b in rs:
-            if gap[a.pivot, b.pivot] - a.radius - b.radius <= limit * (1 + 1e-9) + 1e-9:
-                plan.append((a.pivot, -(-a.n // block_rows), b.pivot, -(-b.n // block_rows)))
-    schema = "qp int, qn long, rp int, rn long"
-    # Each row draws its block inside the pivot cell; a large cell has many blocks.
-    qb = q.join(F.broadcast(spark.createDataFrame(plan, schema)), F.col("pivot") == F.col("qp")).select(
-        "vid", "features", "qp", F.pmod(F.xxhash64("vid"), F.col("qn")).alias("qb"), "rp",
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("rn") - 1)).alias("rb"))
-    rb = refs.join(F.broadcast(spark.createDataFrame(plan, schema)), F.col("pivot") == F.col("rp")).select(
-        "row_id", "features", "label", "rp", F.pmod(F.xxhash64("row_id"), F.col("rn")).alias("rb"), "qp",
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("qn") - 1)).alias("qb"))
-    keys = ["qp", "qb", "rp", "rb"]
-    cand = (qb.groupBy(*keys).cogroup(rb.groupBy(*keys))
-            .applyInPandas(_block_nearest(k + 1), "vid long, d double, row_id long, label int"))
-    w = Window.partitionBy("vid").orderBy("d", "row_id")
-    best = materialize(cand.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k + 1), "best")
-    lists = best.groupBy("vid").agg(F.sort_array(F.collect_list(
-        F.struct("d", F.col("row_id").alias("neighbour"), F.col("label").alias("neighbour_label")))).alias("near"))
-    # Rows with equal features share one list; each leaves itself out.
-    by_features = q.select("vid", "features", "n").join(lists, "vid").select("features", "near", "n")
-    mine = F.slice(F.filter("near", lambda x: x["neighbour"] != F.col("row_id")), 1, k)
-    rows = join_lookup(queries.select("row_id", "features"), by_features, ["features"], sizes=q, weight="n")
-    rows = rows.select("row_id", F.posexplode(mine).alias("place", "_x"))
-    return rows.select("row_id", "place", "_x.neighbour", "_x.d", "_x.neighbour_label")
-
-
 def class_sizes(df: DataFrame) -> dict[int, int]:
     return {int(r["label"]): r["n"] for r in df.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
 

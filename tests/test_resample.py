@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from emberline.operators import resample
+from emberline.operators import neighbours, resample
 
 
 @pytest.fixture(scope="module")
@@ -37,6 +37,42 @@ def test_nearest_rows(df, rows, block):
     assert {r: [rows[j][0] for j in js] for r, js in brute(rows, 3).items()} == near.to_dict()
 
 
+def cloud(seed, n, width):
+    """Dense and thin places, a line, and rows of equal distance from their middle."""
+    rng = np.random.default_rng(seed)
+    ring = rng.normal(0, 1, (n // 5, width))
+    parts = [rng.normal(0, 0.01, (n // 5, width)) + 3, rng.normal(0, 5, (n // 5, width)), ring / np.linalg.norm(ring, axis=1)[:, None] - 7,
+             np.linspace(0, 1, n // 5)[:, None] * np.ones(width), np.round(rng.normal(0, 1, (n - 4 * (n // 5), width)))]
+    return np.concatenate(parts)
+
+
+@pytest.mark.parametrize("n,width,block", [(2500, 2, 40), (1500, 6, 25), (400, 3, 2048), (1, 2, 5), (3, 2, 5)])
+def test_nearest_rows_of_uneven_places(spark, n, width, block):
+    x = cloud(n, n, width)
+    refs = spark.createDataFrame([(i, [float(v) for v in r], i % 3) for i, r in enumerate(x)], "row_id long, features array<double>, label int")
+    y = np.concatenate([x[::7], cloud(n + 1, 60, width), np.full((1, width), 1e6)])
+    asked = [(-1 - i, [float(v) for v in r]) for i, r in enumerate(y)]
+    queries = spark.createDataFrame(asked, "row_id long, features array<double>")
+    got = {}
+    for r in neighbours.nearest_rows(queries, refs, 4, block_rows=block).collect():
+        got.setdefault(r.row_id, {})[r.place] = (r.neighbour, r.neighbour_label)
+    for i, f in asked:
+        d = np.sqrt(((x - np.array(f)) ** 2).sum(1))
+        want = np.lexsort((np.arange(n), d))[:4]
+        assert [got[i][p] for p in range(len(want))] == [(j, j % 3) for j in want]
+
+
+def test_compared_pairs_grow_less_than_squared(spark):
+    pairs = {}
+    for n in (2000, 20_000):
+        x = np.random.default_rng(1).normal(0, 1, (n, 2))
+        df = spark.createDataFrame([(i, [float(v) for v in r], 0) for i, r in enumerate(x)], "row_id long, features array<double>, label int")
+        stats = {}
+        assert neighbours.nearest_rows(df, df, 3, block_rows=64, stats=stats).count() == 3 * n
+        pairs[n] = stats["pairs"] / n
+    assert pairs[2000] < 500 and pairs[20_000] < 2 * pairs[2000]
+
+
 def test_edited(df, rows):
     want = {r[0] for r in rows if all(rows[j][2] == r[2] for j in brute(rows, 3)[r[0]])}
     assert {r["row_id"] for r in resample.edited_neighbours(df).collect()} == want
