@@ -2,54 +2,70 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import cached_property
 
-from pyspark.ml.feature import SQLTransformer, VectorAssembler
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexerModel, VectorAssembler
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from emberline.operators.clean import split_columns
 from emberline.operators.joins import join_small
-from emberline.operators.quantiles import exact_quantiles, modes
+from emberline.operators.quantiles import exact_quantiles, most_frequent, value_counts
 from emberline.storage import materialize
 
-# Distinct values of one categorical column that may become indicator columns.
-MAX_CATEGORIES = 10_000
-
 
 @dataclass(frozen=True)
 class Prep:
-    """Fitted numbers of one zone; sizes depend on columns and categories, not on rows."""
+    """Fitted numbers of one group. Its categories stay in ``index``, a table ``(column, value)`` of all groups that is only
+    read, for this group, when its indicator columns are built."""
     numeric: dict[str, tuple[float, float, float]] = field(default_factory=dict)
-    categorical: dict[str, tuple[str, list[str]]] = field(default_factory=dict)
+    modes: dict[str, str] = field(default_factory=dict)
+    index: DataFrame | None = None
+
+    @cached_property
+    def categories(self) -> dict[str, list[str]]:
+        """Sorted values of each categorical column; a value's place is its indicator's place."""
+        out: dict[str, list] = {c: [] for c in self.modes}
+        if self.modes:
+            for r in self.index.filter(F.col("column").isin(*self.modes)).select("column", "value").collect():
+                out[r["column"]].append(r["value"])
+        return {c: sorted(v) for c, v in out.items()}
 
     @property
     def names(self) -> list[str]:
-        return list(self.numeric) + [f"{c}={v}" for c, (_, vals) in self.categorical.items() for v in vals]
+        return list(self.numeric) + [f"{c}={v}" for c, vals in self.categories.items() for v in vals]
 
     def columns(self) -> list[Column]:
         out = []
         for c, (mid, mean, std) in self.numeric.items():
             out.append(((F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(mid)) - mean) / std).alias(c))
-        for c, (mode, vals) in self.categorical.items():
-            filled = F.coalesce(F.col(f"`{c}`"), F.lit(mode))
+        for c, vals in self.categories.items():
+            filled = F.coalesce(F.col(f"`{c}`"), F.lit(self.modes[c]))
             out += [(filled == v).cast("double").alias(f"{c}={v}") for v in vals]
         return out
 
     def apply(self, df: DataFrame, keep: list[str]) -> DataFrame:
-        """Wide prepared columns next to ``keep``."""
+        """Wide prepared columns next to ``keep``, one expression per category: for a few categories."""
         return df.select(*keep, *self.columns())
 
     def stages(self, out: str = "features") -> list:
-        """The same as persistable ML stages, so the saved model takes raw rows."""
-        items = []
-        for i, (c, (mid, mean, std)) in enumerate(self.numeric.items()):
-            items.append(f"(coalesce(cast(`{c}` as double), {mid!r}D) - {mean!r}D) / {std!r}D AS __x{i}")
-        n = len(self.numeric)
-        for c, (mode, vals) in self.categorical.items():
-            for v in vals:
-                items.append(f"cast(coalesce(`{c}`, {_text(mode)}) = {_text(v)} as double) AS __x{n}")
-                n += 1
-        return [SQLTransformer(statement=f"SELECT *, {', '.join(items)} FROM __THIS__"),
-                VectorAssembler(inputCols=[f"__x{i}" for i in range(n)], outputCol=out)]
+        """The same as persistable ML stages, so the saved model takes raw rows.
+
+        Categories are looked up in their index and become sparse vectors, however many they are; unknown ones are all zero.
+        """
+        items = [f"(coalesce(cast(`{c}` as double), {mid!r}D) - {mean!r}D) / {std!r}D AS __x{i}" for i, (c, (mid, mean, std)) in enumerate(self.numeric.items())]
+        items += [f"coalesce(cast(`{c}` as string), {_text(mode)}) AS __c{i}" for i, (c, mode) in enumerate(self.modes.items())]
+        fill = SQLTransformer(statement=f"SELECT *, {', '.join(items)} FROM __THIS__")
+        numbers, texts = [f"__x{i}" for i in range(len(self.numeric))], range(len(self.modes))
+        if not self.modes:
+            return [fill, VectorAssembler(inputCols=numbers, outputCol=out)]
+        place, vector = [f"__i{i}" for i in texts], [f"__v{i}" for i in texts]
+        index = [StringIndexerModel.from_labels(self.categories[c], f"__c{i}", place[i], "keep") for i, c in enumerate(self.modes)]
+        # The encoder reads the numbers of categories from the index; the last one, for unknown values, has no column.
+        known = SparkSession.active().createDataFrame([], ", ".join(f"__c{i} string" for i in texts))
+        for stage in index:
+            known = stage.transform(known)
+        encode = OneHotEncoder(inputCols=place, outputCols=vector, dropLast=True).fit(known)
+        return [fill, *index, encode, VectorAssembler(inputCols=numbers + vector, outputCol=out)]
 
 
 def _text(v: str) -> str:
@@ -96,21 +112,18 @@ def fit_prep(train: DataFrame, by: list[str], numeric: list[str], categorical: l
     if numeric:
         for r in scale_stats(train, by, numeric).collect():
             stats.setdefault(tuple(r[b] for b in by), {})[r["column"]] = (r["median"], r["mean"], r["std"] or 1.0)
-    cats: dict[tuple, dict] = {}
+    modes: dict[tuple, dict] = {}
+    index = None
     if categorical:
-        top = {(tuple(r[b] for b in by), r["column"]): r["value"] for r in modes(train, categorical, by).collect()}
-        for c in categorical:
-            rows = train.select(*by, c).dropna(subset=[c]).distinct().limit(MAX_CATEGORIES * 64 + 1).collect()
-            per: dict[tuple, list] = {}
-            for r in rows:
-                per.setdefault(tuple(r[b] for b in by), []).append(r[c])
-            if len(rows) > MAX_CATEGORIES * 64 or any(len(v) > MAX_CATEGORIES for v in per.values()):
-                raise ValueError(f"column {c} has too many distinct values for indicator columns")
-            for z, vals in per.items():
-                cats.setdefault(z, {})[c] = (top[z, c], sorted(vals))
+        index = materialize(value_counts(train, categorical, by, "string"), "categories")
+        for r in most_frequent(index, by).collect():
+            modes.setdefault(tuple(r[b] for b in by), {})[r["column"]] = r["value"]
     out = {}
     for z, (nums, kinds) in usable.items():
-        out[z] = Prep({c: stats[z][c] for c in nums}, {c: cats[z][c] for c in kinds if c in cats.get(z, {})})
+        own = index
+        for b, v in zip(by, z):
+            own = own.filter(F.col(b).eqNullSafe(F.lit(v))) if own is not None else None
+        out[z] = Prep({c: stats[z][c] for c in nums}, {c: modes[z][c] for c in kinds if c in modes.get(z, {})}, own)
     return out
 
 

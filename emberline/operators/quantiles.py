@@ -92,9 +92,12 @@ def medians(df: DataFrame, cols: list[str]) -> dict[str, float | None]:
     return {c: found.get(c) for c in cols}
 
 
-def modes(df: DataFrame, cols: list[str], by: list[str] | None = None) -> DataFrame:
-    """``(by, column, value, n)`` of the most frequent value; ties take the smallest value."""
-    by = by or []
-    best = value_counts(df, cols, by, "string").groupBy(*by, "column").agg(
-        F.min(F.struct((-F.col("n")).alias("neg"), F.col("value"))).alias("_b"))
+def most_frequent(counts: DataFrame, by: list[str]) -> DataFrame:
+    """``(by, column, value, n)`` of the most frequent value of counted values; ties take the smallest value."""
+    best = counts.groupBy(*by, "column").agg(F.min(F.struct((-F.col("n")).alias("neg"), F.col("value"))).alias("_b"))
     return best.select(*by, "column", F.col("_b.value").alias("value"), (-F.col("_b.neg")).alias("n"))
+
+
+def modes(df: DataFrame, cols: list[str], by: list[str] | None = None) -> DataFrame:
+    """The most frequent value of each column."""
+    return most_frequent(value_counts(df, cols, by or [], "string"), by or [])

@@ -9,6 +9,9 @@ from emberline.operators.joins import join_small
 from emberline.operators.scan import HOT_ROWS, row_rank
 from emberline.storage import materialize
 
+# Shares that a group is cut in when its first rows are sought.
+SALTS = 256
+
 
 def shuffle_key(seed: int, key: str = "row_id") -> Column:
     """Multiplicative hash of the row id in 64-bit arithmetic."""
@@ -65,16 +68,22 @@ def stratified_folds(df: DataFrame, by: list[str], label: str, folds: int = 5, r
     return ranked.withColumn("fold", ((F.col("_rn") - 1) % folds).cast("int")).drop("_rn", "_h")
 
 
-def first_rows(df: DataFrame, by: list[str], n: int, key: str = "row_id") -> DataFrame:
-    """The first ``n`` rows per group; each task keeps at most ``n`` rows before the shuffle."""
-    w = Window.partitionBy(*by).orderBy(key)
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+def _smallest(df: DataFrame, by: list[str], n: int, order: list[Column], key: str, salts: int) -> DataFrame:
+    """The first ``n`` rows per group in ``order``, in two steps: those of every salted share of a group, then of the shares' first
+    rows. No task sorts a whole group, whatever ``n`` is."""
+    share = df.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts)))
+    part = share.withColumn("_rn", F.row_number().over(Window.partitionBy(*by, "_salt").orderBy(*order))).filter(F.col("_rn") <= n)
+    return part.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("_rn") <= n).drop("_rn", "_salt")
+
+
+def first_rows(df: DataFrame, by: list[str], n: int, key: str = "row_id", salts: int = SALTS) -> DataFrame:
+    """The first ``n`` rows per group; at most ``n`` rows of each share of a group meet."""
+    return _smallest(df, by, n, [F.col(key)], key, salts)
 
 
-def seeded_sample(df: DataFrame, by: list[str], n: int, seed: int = 42, key: str = "row_id") -> DataFrame:
+def seeded_sample(df: DataFrame, by: list[str], n: int, seed: int = 42, key: str = "row_id", salts: int = SALTS) -> DataFrame:
     """``n`` rows per group without replacement."""
-    w = Window.partitionBy(*by).orderBy(shuffle_key(seed, key), key)
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+    return _smallest(df, by, n, [shuffle_key(seed, key), F.col(key)], key, salts)
 
 
 def class_sample(df: DataFrame, label: str, n: int, seed: int = 42, key: str = "row_id") -> DataFrame:

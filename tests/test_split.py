@@ -79,3 +79,36 @@ def test_prep_per_zone(spark):
         staged = s.transform(staged)
     assert [list(r["features"]) for r in staged.orderBy("row_id").collect()] == [
         [out[i][n] for n in fitted[(0,)].names] for i in (1, 2)]
+
+
+def test_first_rows_sort_no_whole_group(spark):
+    df = spark.range(20_000).select(((F.col("id") * 7919) % 20_000).alias("row_id"), F.when(F.col("id") % 3 > 0, 0).otherwise(F.col("id") % 50).alias("g")).repartition(7)
+    rows = [(r.g, r.row_id) for r in df.collect()]
+    want = sorted(x for g in {g for g, _ in rows} for x in sorted(r for r in rows if r[0] == g)[:4000])
+    got = split.first_rows(df, ["g"], 4000)
+    assert sorted((r.g, r.row_id) for r in got.collect()) == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    # The window of whole groups stands above one of salted shares and its filter.
+    whole = plan.index("Window [row_number()")
+    second = plan.index("Window [row_number()", whole + 1)
+    assert "_salt" in plan[second:plan.index("\n", second)] and "Filter (_rn" in plan[whole:second]
+    few = split.seeded_sample(df, ["g"], 5, seed=3, salts=4)
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, split.seeded_sample(df, ["g"], 5, seed=3, salts=64).collect()))
+    assert {r["count"] for r in few.groupBy("g").count().collect()} == {5}
+
+
+def test_a_column_of_very_many_values_trains(spark):
+    n = 50_000
+    df = spark.range(n + 2000).select(F.col("id").alias("row_id"), F.lit(0).alias("ecozone"), (F.col("id") % 97).cast("double").alias("x"),
+                                      F.concat(F.lit("it's \\ "), (F.col("id") % n).cast("string")).alias("c"),
+                                      F.when(F.col("id") % 5 > 0, F.lit("a")).alias("d"), (F.col("id") % 97 > 60).cast("double").alias("label"))
+    fitted = prep.fit_prep(df, ["ecozone"], ["x"], ["c", "d"])[(0,)]
+    assert len(fitted.names) == n + 2 and fitted.names[:1] == ["x"] and fitted.names[-1] == "d=a"
+    from pyspark.ml import Pipeline
+    from emberline.operators import models
+    rows = df.limit(4000)
+    model = Pipeline(stages=[*fitted.stages(), models.estimator({"family": "leafwise", "rounds": 1, "depth": 2}, True, 1)]).fit(rows)
+    new = spark.createDataFrame([(1, 0, 80.0, "unknown", None, 1.0), (2, 0, 3.0, "it's \\ 7", "b", 0.0)], df.schema)
+    got = {r.row_id: r for r in model.transform(new).collect()}
+    assert [got[i].prediction for i in (1, 2)] == [1.0, 0.0] and got[1].features.size == n + 2
+    assert list(got[1].features.indices) == [0, n + 1] and fitted.names[got[2].features.indices[1]] == "c=it's \\ 7"
