@@ -79,15 +79,26 @@ def precision_of(model, df: DataFrame) -> float:
     return metrics.average_precision(scored_by(model, df), []).first()["pr_auc"]
 
 
-def run_parallel(jobs: list, workers: int) -> list:
-    """Run thunks from a bounded pool; a failure is returned in place of its result."""
-    def guarded(job):
+def run_parallel(jobs: list, workers: int, pools: list[str] | None = None) -> list:
+    """Run thunks from a bounded pool of threads; a failure is returned in place of its result.
+
+    With ``pools`` every job gets its own scheduler pool: where the session schedules fairly (``spark.scheduler.mode`` FAIR) tasks
+    of all running jobs take turns, so a long job does not hold back short ones. Jobs started inside inherit the pool.
+    """
+    spark = SparkSession.active()
+
+    def guarded(job, pool):
+        if pool:
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", pool)
         try:
             return job()
         except Exception as e:  # one failing job must not stop the others
             return e
-    with ThreadPoolExecutor(max(1, workers)) as pool:
-        return list(pool.map(inheritable_thread_target(SparkSession.active())(guarded), jobs))
+        finally:
+            if pool:
+                spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
+    with ThreadPoolExecutor(max(1, workers)) as threads:
+        return list(threads.map(inheritable_thread_target(spark)(guarded), jobs, pools or [None] * len(jobs)))
 
 
 def fold_scores(params: dict, train: DataFrame, folds: int, repeats: int, seed: int, workers: int = 4) -> DataFrame:

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from emberline.storage import new_path
@@ -108,9 +109,10 @@ class Trees:
 
 
 def node_table(spark: SparkSession, path: str) -> DataFrame:
-    """Nodes of the tree model saved at ``path``: tree, node, feature, threshold, left, right, cover, value.
+    """Nodes of the tree model saved at ``path``: tree, node, feature, threshold, categories, left, right, cover, value, logistic.
 
     ``value`` holds what a leaf adds to the output: its weighted prediction, or a forest's share of class 1 over its trees.
+    ``logistic`` says that the output is half the log odds of class 1.
     """
     kind = json.loads(spark.read.text(f"{path}/metadata").first()[0])["class"].rsplit(".", 1)[1]
     nodes = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*")
@@ -119,18 +121,23 @@ def node_table(spark: SparkSession, path: str) -> DataFrame:
     cover = F.aggregate("impurityStats", F.lit(0.0), lambda a, b: a + b) if shares else F.col("impurityStats")[0]
     value = F.col("impurityStats")[1] / cover if shares else F.col("prediction")
     scale = F.lit(1.0 / weights.count()) if kind.startswith("RandomForest") else F.col("weight")
+    # An indicator splits by its two values: below and above a half, with the sides swapped where 1 goes left.
+    pair, first = F.col("split.numCategories") == 2, F.get("split.leftCategoriesOrThreshold", F.lit(0))
+    swap = pair & (first == 1.0)
     # One row per tree: the weights are shorter than the nodes of the model itself.
     return nodes.join(F.broadcast(weights), "treeID").select(
         F.col("treeID").alias("tree"), F.col("id").alias("node"), F.col("split.featureIndex").alias("feature"),
-        F.get("split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"), F.col("split.numCategories").alias("categories"),
-        F.col("leftChild").alias("left"), F.col("rightChild").alias("right"), cover.alias("cover"), (value * scale).alias("value"))
+        F.when(pair, 0.5).otherwise(first).alias("threshold"), F.when(pair, -1).otherwise(F.col("split.numCategories")).alias("categories"),
+        F.when(swap, F.col("rightChild")).otherwise(F.col("leftChild")).alias("left"),
+        F.when(swap, F.col("leftChild")).otherwise(F.col("rightChild")).alias("right"), cover.alias("cover"), (value * scale).alias("value"),
+        F.lit(kind.startswith("GBTClass")).alias("logistic"))
 
 
-def flat_trees(nodes: DataFrame, width: int) -> Trees:
-    """Arrays of a node table, in the driver: their size is the model's, not the data's."""
-    t = nodes.toPandas().sort_values(["tree", "node"], ignore_index=True)
+def flat_trees(t: pd.DataFrame, width: int) -> Trees:
+    """Arrays of a node table; their size is the model's, not the data's."""
+    t = t.sort_values(["tree", "node"], ignore_index=True)
     if (t.categories >= 0).any():
-        raise ValueError("splits on categories are not supported")
+        raise ValueError("splits on more than two categories are not supported")
     size = t.groupby("tree").size()
     first = (size.cumsum() - size).to_numpy()
     start = np.repeat(first, size)
@@ -144,4 +151,4 @@ def read_trees(model) -> Trees:
     spark = SparkSession.active()
     path = new_path(spark, "model")
     model.write().save(path)
-    return flat_trees(node_table(spark, path), model.numFeatures)
+    return flat_trees(node_table(spark, path).toPandas(), model.numFeatures)

@@ -5,7 +5,7 @@ from functools import reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from emberline.config import Settings
 from emberline.operators import explain, metrics, models, prep, reports, resample, zoning
@@ -13,7 +13,7 @@ from emberline.operators.clean import drop_configured, engineer_features
 from emberline.operators.split import stratified_holdout
 from emberline.sources import registry as store
 from emberline.sources.tables import load_samples, write_csv, write_zone_json
-from emberline.storage import materialize, new_path
+from emberline.storage import by_partition, materialize, new_path
 
 
 def prepare_zones(zoned: DataFrame, settings: Settings) -> tuple[DataFrame, dict]:
@@ -23,7 +23,7 @@ def prepare_zones(zoned: DataFrame, settings: Settings) -> tuple[DataFrame, dict
     split = stratified_holdout(zoned, ["ecozone"], settings.target_class, settings.test_size, settings.seed)
     path = new_path(spark, "split")
     # A folder per zone: training a zone reads that zone only.
-    split.write.partitionBy("ecozone").parquet(path)
+    by_partition(split, "ecozone").write.partitionBy("ecozone").parquet(path)
     split = spark.read.schema(split.schema).parquet(path)
     fitted = prep.fit_prep(split.filter("NOT is_test"), ["ecozone"], numeric, texts, settings.max_null_share)
     return split, {z[0]: p for z, p in fitted.items()}
@@ -67,7 +67,9 @@ def train_zone(split: DataFrame, zone: int, fitted: prep.Prep, out: str, setting
     all_rows, method = training_rows(train_x, settings, balance)
     classifier = models.refit(choice.params, all_rows, settings)
     notes = [f"rebalancing: {method}"] * balance + choice.notes
-    store.save_model(PipelineModel(fitted.stages() + [classifier]), out, zone, "classifier")
+    stages = fitted.stages()
+    store.save_prep(spark, fitted, out, zone)
+    save_pipeline(PipelineModel(stages + [classifier]), out, zone, "classifier")
     scored = models.scored_by(classifier, test_x).withColumn("ecozone", F.lit(zone))
     scored.write.mode("overwrite").parquet(f"{out}/holdout/ecozone={zone}")
     if oof:
@@ -78,7 +80,7 @@ def train_zone(split: DataFrame, zone: int, fitted: prep.Prep, out: str, setting
     reg = models.select_regressor(materialize(fires, "fires"), materialize(test_fires, "tfires"), settings,
                                   reg_candidates, search, spaces[1], notes)
     if reg:
-        store.save_model(PipelineModel(fitted.stages() + [reg[0]]), out, zone, "regressor")
+        save_pipeline(PipelineModel(stages + [reg[0]]), out, zone, "regressor")
         models.regression_scored(reg[0], test_fires).withColumn("ecozone", F.lit(zone)).write.mode("overwrite").parquet(
             f"{out}/holdout_reg/ecozone={zone}")
     explain_zone(classifier, reg[0] if reg else None, test_x, fitted.names, zone, out, attributions)
@@ -88,6 +90,12 @@ def train_zone(split: DataFrame, zone: int, fitted: prep.Prep, out: str, setting
             "best_model": reg[1]["family"] if reg else None, "message": "; ".join(notes) or None}
 
 
+def save_pipeline(model: PipelineModel, out: str, zone: int, kind: str) -> None:
+    """The pipeline by itself, and its nodes in the table that all zones are scored by."""
+    store.save_model(model, out, zone, kind)
+    store.save_nodes(SparkSession.active(), model, out, zone, kind)
+
+
 def explain_zone(classifier, regressor, test_x: DataFrame, names: list[str], zone: int, out: str, attributions: bool) -> None:
     """Importance tables, and attributions, drivers, narrative and risk of the test rows."""
     spark = test_x.sparkSession
@@ -163,7 +171,7 @@ def train_zones(zoned: DataFrame, out: str, settings: Settings = Settings(), fre
     if todo:
         split, fitted = prepare_zones(zoned.filter(F.col("ecozone").isin(*todo)), settings)
         jobs = [lambda z=z: train_zone(split, z, fitted[z], out, settings, **options) for z in todo]
-        for z, got in zip(todo, models.run_parallel(jobs, settings.zone_workers)):
+        for z, got in zip(todo, models.run_parallel(jobs, settings.zone_workers, [f"zone-{z}" for z in todo])):
             failed.append((z, str(got)[:500])) if isinstance(got, Exception) else trained.append(got)
     entries = materialize(registry_rows(spark, trained, failed, screened, out), "entries")
     store.save_registry(entries, out, fresh=fresh and zones is None)

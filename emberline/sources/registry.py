@@ -2,6 +2,8 @@
 
 ``<out>/registry``  one row per zone, partitioned by zone, so that one zone can be replaced on its own
 ``<out>/models``    fitted pipelines per zone
+``<out>/nodes``     the tree nodes of all models, by zone and kind
+``<out>/prep``      the preparation of all models: one row per feature, by zone
 ``<out>/router``    labelled points for routing new rows
 """
 from __future__ import annotations
@@ -10,6 +12,10 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.utils import AnalysisException
 
+from emberline.operators.joins import is_small
+from emberline.operators.prep import Prep
+from emberline.operators.trees import node_table
+
 METRIC_FIELDS = ("pr_auc", "auc", "f2", "f1", "accuracy", "precision", "recall")
 COUNT_FIELDS = ("tn", "fp", "fn", "tp")
 REG_FIELDS = ("r2_log_space", "mse_raw", "rmse_raw", "mae_raw", "asymmetric_underestimation_cost", "catastrophic_rate")
@@ -29,7 +35,7 @@ def save_registry(entries: DataFrame, out: str, fresh: bool = False) -> None:
 
 
 # Folders that a training run writes per zone, besides the registry.
-RUN_FOLDERS = ("models", "holdout", "holdout_reg", "oof", "importance", "drivers", "narrative", "risk", "zone_status")
+RUN_FOLDERS = ("models", "nodes", "prep", "holdout", "holdout_reg", "oof", "importance", "drivers", "narrative", "risk", "zone_status")
 
 
 def clear_run(spark: SparkSession, out: str) -> None:
@@ -73,6 +79,33 @@ def save_model(model: PipelineModel, out: str, zone: int, kind: str) -> None:
     model.write().overwrite().save(model_path(out, zone, kind))
 
 
+NODE_SCHEMA = ("tree int, node int, feature int, threshold double, categories int, left int, right int, cover double, value double, logistic boolean, "
+               "kind string, ecozone int")
+PREP_SCHEMA = "place long, column string, median double, mean double, std double, mode string, category string, ecozone int"
+
+
+def save_nodes(spark: SparkSession, model: PipelineModel, out: str, zone: int, kind: str) -> None:
+    """The tree nodes of a saved pipeline's last stage, next to those of the other zones."""
+    last = len(model.stages) - 1
+    stage = f"{model_path(out, zone, kind)}/stages/{last:0{len(str(len(model.stages)))}d}_{model.stages[last].uid}"
+    node_table(spark, stage).coalesce(1).write.mode("overwrite").parquet(f"{out}/nodes/kind={kind}/ecozone={zone}")
+
+
+def save_prep(spark: SparkSession, fitted: Prep, out: str, zone: int) -> None:
+    rows = [(c, *v, None, None) for c, v in fitted.numeric.items()]
+    rows += [(c, None, None, None, fitted.modes[c], v) for c, vals in fitted.categories.items() for v in vals]
+    table = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], PREP_SCHEMA.rsplit(",", 1)[0])
+    table.write.mode("overwrite").parquet(f"{out}/prep/ecozone={zone}")
+
+
+def load_nodes(spark: SparkSession, out: str) -> DataFrame:
+    return spark.read.schema(NODE_SCHEMA).parquet(f"{out}/nodes")
+
+
+def load_prep(spark: SparkSession, out: str) -> DataFrame:
+    return spark.read.schema(PREP_SCHEMA).parquet(f"{out}/prep")
+
+
 def load_model(out: str, zone: int, kind: str) -> PipelineModel:
     return PipelineModel.load(model_path(out, zone, kind))
 
@@ -80,7 +113,7 @@ def load_model(out: str, zone: int, kind: str) -> PipelineModel:
 def model_lookup(rows: DataFrame, registry: DataFrame) -> DataFrame:
     """Threshold and model flags next to each row; a zone without entry gets 0.5 and no models."""
     small = registry.select("ecozone", "thr", "has_clf", "has_reg")
-    # One row per zone: the table is as long as the list of zones.
-    return rows.join(F.broadcast(small), "ecozone", "left").withColumns({
+    small = F.broadcast(small) if is_small(small) else small
+    return rows.join(small, "ecozone", "left").withColumns({
         "thr": F.coalesce("thr", F.lit(0.5)), "has_clf": F.coalesce("has_clf", F.lit(False)),
         "has_reg": F.coalesce("has_reg", F.lit(False))})

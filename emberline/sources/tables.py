@@ -7,6 +7,7 @@ from pyspark.sql.types import StructType
 from emberline.config import Settings
 from emberline.operators.clean import drop_configured
 from emberline.operators.scan import HOT_ROWS, row_rank
+from emberline.storage import by_partition
 
 OBS_SCHEMA = "dataset string, pixel_id long, lat double, lon double, ts timestamp, band string, value double"
 
@@ -77,7 +78,7 @@ def scan_observations(spark: SparkSession, path: str, dataset: str, bands: list[
 
 def write_observations(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Observation store partitioned by dataset and day, so collection and date choices prune folders."""
-    df.withColumn("obs_date", F.to_date("ts")).write.mode(mode).partitionBy("dataset", "obs_date").parquet(path)
+    by_partition(df.withColumn("obs_date", F.to_date("ts")), "dataset", "obs_date").write.mode(mode).partitionBy("dataset", "obs_date").parquet(path)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -86,7 +87,7 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 def write_yearly(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwrite") -> None:
     """One folder per year."""
-    w = df.write.mode(mode).partitionBy("year")
+    w = by_partition(df, "year").write.mode(mode).partitionBy("year")
     w.options(**CSV).csv(path) if fmt == "csv" else w.parquet(path)
 
 
@@ -96,9 +97,9 @@ def write_predictions(df: DataFrame, path: str, mode: str = "overwrite") -> None
 
 def write_zone_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Zone metadata, one folder per zone; other zones of an existing table stay."""
-    df.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("ecozone").json(path)
+    by_partition(df, "ecozone").write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("ecozone").json(path)
 
 
 def write_text(df: DataFrame, path: str, column: str = "narrative", zone: str = "ecozone", mode: str = "overwrite") -> None:
-    df.select(F.col(column).alias("value"), zone).write.mode(mode).partitionBy(zone).text(path)
+    by_partition(df.select(F.col(column).alias("value"), zone), zone).write.mode(mode).partitionBy(zone).text(path)
 

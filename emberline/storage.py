@@ -8,7 +8,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _local_roots: dict[str, str] = {}
 
@@ -40,3 +40,9 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def by_partition(df: DataFrame, *cols: str) -> DataFrame:
+    """Rows gathered by the columns a table is about to be partitioned by: its files follow the size of the data, not the number
+    of tasks times partitions. Large partitions stay split over tasks, as the hint leaves their size to the adaptive planner."""
+    return df.hint("rebalance", *[F.col(c) for c in cols])

@@ -157,6 +157,40 @@ def test_prediction(spark, trained, samples, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "out")).count() == 900
 
 
+def test_keyed_scoring_equals_the_saved_pipelines(spark, trained, samples):
+    out, registry = trained
+    zones = spark.read.parquet(f"{out}/router").select("row_id", "ecozone")
+    rows = training.engineer_features(zones.join(samples, "row_id"), FAST).withColumn("day", F.to_date(F.lit("2020-01-02"))).withColumn("count", F.lit(None).cast("int"))
+    rows = rows.unionByName(rows.limit(5).withColumns({"ecozone": F.lit(None).cast("int"), "row_id": F.col("row_id") + 10_000})).cache()
+    plans = {}
+    for chunk in (40, 50_000):
+        scored = scoring.score_zones(rows, out, FAST, chunk)
+        plans[chunk] = scored._jdf.queryExecution().optimizedPlan().toString().count("FlatMapCoGroups")
+        assert scored.columns == [*rows.columns, "fire_prob", "pred_intensity", "soft_severity", "fire_label"] and dict(scored.dtypes)["count"] == "int"
+        got = {r["row_id"]: r for r in scored.collect()}
+        assert len(got) == 905 and all(got[i]["fire_prob"] == 0 for i in got if i >= 10_000)
+        for entry in registry.collect():
+            for want in scoring.predict_zone(rows.filter(F.col("ecozone") == entry["ecozone"]), out, entry["ecozone"], entry).collect():
+                r = got[want["row_id"]]
+                assert abs(r["fire_prob"] - want["fire_prob"]) < 1e-12 and abs(r["pred_intensity"] - want["pred_intensity"]) < 1e-6 * (1 + want["pred_intensity"])
+                assert r["fire_label"] == want["fire_label"] and r["day"] == want["day"]
+    assert set(plans.values()) == {1}
+
+
+def test_jobs_of_a_pool_run_under_its_name(spark):
+    names = lambda: spark.sparkContext.getLocalProperty("spark.scheduler.pool")
+    assert models.run_parallel([names, lambda: 1 / 0, names], 2, ["a", "b", "c"])[::2] == ["a", "c"]
+    assert models.run_parallel([names], 1) == [None]
+
+
+def test_partitioned_writes_make_few_files(spark, tmp_path):
+    from emberline.sources.tables import write_yearly
+    df = spark.range(4000).select(F.col("id").alias("row_id"), (F.col("id") % 5 + 2018).cast("int").alias("year")).repartition(40)
+    write_yearly(df, str(tmp_path / "y"), "parquet")
+    files = list((tmp_path / "y").rglob("part-*.parquet"))
+    assert len(files) <= 10 and spark.read.parquet(str(tmp_path / "y")).count() == 4000
+
+
 def test_resume_and_retrain(spark, trained, samples):
     out, registry = trained
     zone = next(r["ecozone"] for r in registry.filter("has_clf").collect())

@@ -82,3 +82,21 @@ def test_arrays_give_the_models_outputs(spark, params, classifier):
     rows = out.select("x", want.alias("want")).collect()
     assert np.allclose(t.outputs(np.array([r.x for r in rows])), [r.want for r in rows], atol=1e-9)
     assert t.base == pytest.approx(np.mean([r.want for r in rows]), abs=0.05)
+
+
+def test_splits_on_indicators(spark):
+    from pyspark.ml import Pipeline
+    from emberline.operators import prep
+    df = spark.range(600).select(F.col("id").alias("row_id"), F.element_at(F.array(*[F.lit(c) for c in "abc"]), (F.col("id") % 3 + 1).cast("int")).alias("c"),
+                                 (F.rand(3) * 5).alias("x"))
+    df = df.withColumn("label", ((F.col("c") == "b") | (F.col("x") > 4)).cast("double")).cache()
+    fitted = prep.fit_prep(df, [], ["x"], ["c"])[()]
+    model = Pipeline(stages=fitted.stages()).fit(df).transform(df)
+    for params in ({"family": "leafwise", "rounds": 3, "depth": 3}, {"family": "forest", "rounds": 6, "depth": 4}):
+        fit = models.estimator(params, True, 5).fit(model)
+        t = trees.read_trees(fit)
+        p = vector_to_array("probability")[1]
+        rows = fit.transform(model).select(vector_to_array("features").alias("f"), (p if params["family"] == "forest" else 0.5 * F.log(p / (1 - p))).alias("want")).collect()
+        x = np.array([r.f for r in rows])
+        assert np.allclose(t.outputs(x), [r.want for r in rows], atol=1e-9) and {1, 2, 3} & set(t.feature.tolist())
+        assert np.allclose(t.shapley(x).sum(axis=1) + t.base, t.outputs(x), atol=1e-9)
