@@ -314,23 +314,24 @@ def _score(shards: int, distinct: int, total: int):
         for shard, got, weights in zip(triples["n_words"], triples["ids"], triples["counts"]):
             contexts, _, part = asks[int(shard)]
             codes[part], backoffs[contexts] = expand(got, np.uint8), expand(weights, np.uint8)
+        sums = lambda x: np.add.reduceat(x, c.ends[:-1]) if len(c.ends) > 1 else x[:0]
         best = logp[c.pair]
+        bigram = sums(best)
         found = np.append(codes, np.uint8(0))[c.triple]  # the last one is for -1
         best[c.at] = np.where(found > 0, log10_of(found), best[c.at] + log10_of(backoffs[c.context]))
-        sums = lambda x: np.add.reduceat(x, c.ends[:-1]) if len(c.ends) > 1 else x[:0]
         return pd.DataFrame({"row": c.rows, "n_tokens": np.diff(c.ends), "n_known": sums((c.counts > 0)[c.now].astype(np.int64)),
-                             "train_tokens": np.full(len(c.rows), total), "base_score": sums(uni[c.now]), "score": sums(logp[c.pair]),
-                             "trigram_score": sums(best)})
+                             "train_tokens": np.full(len(c.rows), total), "base_score": sums(uni[c.now]), "score": sums(best),
+                             "bigram_score": bigram})
     return run
 
 
 def score(docs: DataFrame, train: Column, chunk_tokens: int = SHARD_TOKENS, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """One row per input row: doc_id, n_tokens, n_known, train_tokens, base_score, score, trigram_score; base ten logarithms.
+    """One row per input row: doc_id, n_tokens, n_known, train_tokens, base_score, score, bigram_score; base ten logarithms.
 
     The model is learnt from the rows where ``train`` holds (a null condition counts as false). Tokens are words between
     ASCII white space, lower-cased in A-Z, and one end; null texts are the end alone. base_score adds the smoothed unigram
-    logarithms. score is the bigram model's: pairs of the training texts have the quantised probability of their trie, other
-    pairs the context's share of the unigram probability. trigram_score is the trigram model's, interpolated with the bigrams:
+    logarithms. bigram_score is that of the first two levels: pairs of the training texts have the quantised probability of their trie, other
+    pairs the context's share of the unigram probability. score is the whole model's: trigrams interpolated with the bigrams;
     unseen trigrams have the backoff weight of their first two words times the bigram probability, and unseen pairs of words
     give no context. A text's first word has only the end before it. Repeated and null ids are scored row by row. Nothing to learn from
     leaves every token unknown; an empty table gives an empty result; other columns are not read.
@@ -369,5 +370,5 @@ def score(docs: DataFrame, train: Column, chunk_tokens: int = SHARD_TOKENS, shar
         "chunk", F.lit(3).alias("kind"), F.col("shard").cast("long").alias("n_words"), F.lit(0).cast("long").alias("end_code"),
         *[c.alias(n) for n, c in gone.items()], F.lit(None).cast("binary").alias("place"), F.col("codes").alias("ids"), F.col("backoffs").alias("counts"))
     scored = one.unionByName(two).unionByName(three).unionByName(four).groupBy("chunk").applyInPandas(
-        _score(pair_shards, distinct, total), "row long, n_tokens long, n_known long, train_tokens long, base_score double, score double, trigram_score double")
-    return scored.select(F.when(F.col("row") != -(2 ** 63), F.col("row")).alias("doc_id"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "trigram_score")
+        _score(pair_shards, distinct, total), "row long, n_tokens long, n_known long, train_tokens long, base_score double, score double, bigram_score double")
+    return scored.select(F.when(F.col("row") != -(2 ** 63), F.col("row")).alias("doc_id"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bigram_score")

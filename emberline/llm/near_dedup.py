@@ -134,7 +134,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = pa.concat_arrays([column(t, "text_a").cast(pa.large_string()), column(t, "text_b").cast(pa.large_string())]).dictionary_encode()
         at = enc.indices.to_numpy(zero_copy_only=False)
         j = overlap(enc.dictionary, at[:t.num_rows], at[t.num_rows:])
-        yield pa.RecordBatch.from_arrays([column(t, "a"), column(t, "b"), pa.array(1.0 - j)], names=["a", "b", "d"])
+        yield pa.RecordBatch.from_arrays([column(t, "a"), column(t, "b"), column(t, "p"), pa.array(1.0 - j)], names=["a", "b", "p", "d"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,6 +161,15 @@ def _shared(opened: DataFrame, texts: DataFrame) -> DataFrame:
     return materialize(nodes.join(alone, "node", "left").select("node", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("c")), "shared")
 
 
+def _stars(links: DataFrame) -> DataFrame:
+    """``(src, dst)``: the same components by fewer links. Of a document's links to several pivots one stays, to the smallest;
+    the other pivots are tied to that one, once for all documents that share them."""
+    tied = links.withColumn("v", F.when(F.col("p") == F.col("a"), F.col("b")).otherwise(F.col("a")))
+    tied = tied.withColumn("m", F.min("p").over(Window.partitionBy("v")))
+    return tied.select(F.col("m").alias("src"), F.col("v").alias("dst")).unionByName(
+        tied.filter("p <> m").select(F.col("m").alias("src"), F.col("p").alias("dst"))).filter("src <> dst").distinct()
+
+
 def classes(docs: DataFrame, similarity: float = SIMILARITY, small: int = SMALL, pivots: int = PIVOTS) -> DataFrame:
     """One row per input row: doc_id, class_id (smallest doc_id of its class), class_size (documents), n_verified, kept.
 
@@ -192,7 +201,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, small: int = SMALL,
     rank = materialize(opened.groupBy("node").agg(F.sum("k").alias("rank")), "rank")
     opened = opened.join(rank, "node").withColumn("c", F.col("n"))
     need = (1 - far) / (2 - far)
-    done = spark.createDataFrame([], "a long, b long, d double")
+    done = spark.createDataFrame([], "a long, b long, p long, d double")
     comp = None
     while True:
         # Pairs inside one component can give nothing new, so the members outside the bucket's main component are the
@@ -218,10 +227,10 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, small: int = SMALL,
         pairs = p.join(w, (F.col("bucket") == F.col("_bucket")) & (F.col("pr") != F.col("vr"))
                        & (F.least("pc", "vc") >= need * (F.col("pn") + F.col("vn")))
                        & (F.array_min(F.array_intersect("pb", "vb")) == F.col("bucket")))
-        fresh = pairs.select(F.least("p", "v").alias("a"), F.greatest("p", "v").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
+        fresh = pairs.groupBy(F.least("p", "v").alias("a"), F.greatest("p", "v").alias("b")).agg(F.min("p").alias("p")).join(done, ["a", "b"], "left_anti")
         left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
         right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-        checked = materialize(fresh.join(right, "b").join(left, "a").mapInArrow(_verify, "a long, b long, d double"), "checked")
+        checked = materialize(fresh.join(right, "b").join(left, "a").mapInArrow(_verify, "a long, b long, p long, d double"), "checked")
         done = materialize(done.unionByName(checked), "done")
         rest = part.filter(F.col("k") > small).select("bucket", "node", "n", "c", "k", "rank").join(few.select("bucket", "node"), ["bucket", "node"], "left_anti")
         opened = materialize(rest, "buckets")
@@ -231,19 +240,19 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, small: int = SMALL,
             opened = materialize(opened.join(least, "bucket").filter(F.col("c") >= need * (F.col("n") + F.col("least"))).drop("least"), "buckets")
         if opened.isEmpty():
             break
-        links = done.filter(F.col("d") <= far)
-        nodes = links.select(F.col("a").alias("v")).unionByName(links.select(F.col("b").alias("v"))).distinct()
-        comp = connected_components(nodes, links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+        stars = materialize(_stars(done.filter(F.col("d") <= far)), "stars")
+        nodes = stars.select(F.col("src").alias("v")).unionByName(stars.select(F.col("dst").alias("v"))).distinct()
+        comp = connected_components(nodes, stars)
         pivots *= 32
-    links = done.filter(F.col("d") <= far).select("a", "b")
+    links = done.filter(F.col("d") <= far)
     # Rows that repeat a doc_id with different content tie their contents together.
     home = named.join(content.select("k1", "k2", "n", "node"), ["k1", "k2", "n"], "left").select("doc_id", F.coalesce("node", "doc_id").alias("node"))
     home = materialize(home.groupBy("doc_id", "node").agg(F.count(F.lit(1)).alias("copies")), "home")
     tied = home.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b")
-    tied = home.join(tied.select("doc_id", "a"), "doc_id").filter("node > a").select("a", F.col("node").alias("b"))
-    edges = links.unionByName(tied)
-    ends = edges.select(F.col("a").alias("v")).unionByName(edges.select(F.col("b").alias("v"))).distinct()
-    comp = connected_components(ends, edges.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    tied = home.join(tied.select("doc_id", "a"), "doc_id").filter("node > a").select(F.col("a").alias("src"), F.col("node").alias("dst"))
+    edges = materialize(_stars(links).unionByName(tied), "edges")
+    ends = edges.select(F.col("src").alias("v")).unionByName(edges.select(F.col("dst").alias("v"))).distinct()
+    comp = connected_components(ends, edges)
     degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_verified"))
     by_node = (home.groupBy("node").agg(F.countDistinct("doc_id").alias("m"), F.min("doc_id").alias("low"))
                .join(comp.withColumnRenamed("v", "node"), "node", "left").join(degree, "node", "left")

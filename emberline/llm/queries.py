@@ -84,7 +84,7 @@ def whitened(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_greedy_string_tiling": decontaminated,
-    "op2_elias_fano_bigrams": model_scores,
+    "op2_elias_fano_trie": model_scores,
     "op3_ordinal_quality": graded,
     "op4_configuration_packing": packed,
     "op5_exact_dedup": exact,

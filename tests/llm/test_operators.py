@@ -219,7 +219,7 @@ def test_language_model_scores(spark, texts, odd, empty):
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(one[w] > 0 for w in t), total)
         assert abs(r.base_score - sum(log10(uni(w)) for w in t)) < 1e-6
         s = sum(log10((two[v, w] + 4 * uni(w)) / (one[v] + 4)) for v, w in zip(["\n", *t], t))
-        assert abs(r.score - s) <= 0.03 * len(t)
+        assert abs(r.bigram_score - s) <= 0.03 * len(t)
     assert language_model.score(odd, F.lit(True), chunk_tokens=500, shard_words=100).count() == len(ODD)
     assert language_model.score(empty, F.lit(True)).count() == 0
 
@@ -255,8 +255,8 @@ def test_trigram_scores(spark, texts, limits):
     far = 0
     for d, t in words.items():
         own = log10(pair("\n", t[0])) + sum(log10((three[p] + 4 * pair(*p[1:])) / (two[p[:2]] + 4)) for p in zip(["\n", *t], t, t[1:]))
-        assert abs(got[d].trigram_score - own) <= 0.06 * len(t)
-        far += abs(got[d].score - own) > 0.06 * len(t)
+        assert abs(got[d].score - own) <= 0.06 * len(t)
+        far += abs(got[d].bigram_score - own) > 0.06 * len(t)
     assert far > len(words) / 2
 
 
