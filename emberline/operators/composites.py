@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from emberline.functions.climate import is_forest, relative_humidity, wind_speed
-from emberline.operators.joins import BROADCAST_ROWS, is_small, join_small
+from emberline.operators.joins import BROADCAST_ROWS, join_small
 from emberline.operators.scan import row_rank
 from emberline.storage import materialize
 
@@ -125,26 +125,61 @@ def polygon_edges(vertices: DataFrame) -> DataFrame:
     return here.join(there, [*ring, "_i"]).select("region", "x1", "y1", "x2", "y2")
 
 
+def cell_cover(vertices: DataFrame, size: float) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """Square cells of the regions: ``inside`` (whole cells), ``open`` cells with the parity of the edges that cross all of the cell's
+    latitudes further east, and the other ``edges`` that a point of an open cell has to be held against.
+
+    The last value bounds the rows of each table. A cell without edges is settled as a whole unless an edge that ends inside its band lies to the east. A cell is
+    ``(region, band, col)``; the number of edges of a cell does not depend on how many other cells the region has.
+    """
+    cell, slack = ["region", "band", "col"], 1e-6
+    e = polygon_edges(vertices).filter(F.col("y1") != F.col("y2"))
+    south, north = F.least("y1", "y2"), F.greatest("y1", "y2")
+    e = e.withColumn("band", F.explode(F.sequence(F.floor(south / size), F.floor(north / size))))
+    low, high = F.col("band") * size, (F.col("band") + 1) * size
+    at = lambda y: (F.col("x2") - F.col("x1")) * (y - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")
+    ends = at(F.greatest(south, low)), at(F.least(north, high))
+    # A little more than what the edge touches, so that rounding never settles a cell that a point may see otherwise.
+    e = e.withColumns({"spans": (south <= low - slack) & (north >= high + slack), "west": F.floor((F.least(*ends) - slack) / size),
+                       "east": F.floor((F.greatest(*ends) + slack) / size)})
+    e = materialize(e, "edges")
+    line = ["x1", "y1", "x2", "y2"]
+    own = e.select("region", "band", F.explode(F.sequence("west", "east")).alias("col"), *line)
+    touched = own.select(*cell).distinct()
+    starts = e.groupBy("region", "band", F.col("west").alias("col")).agg(F.count_if("spans").alias("_s"), F.count_if(~F.col("spans")).alias("_p"))
+    further = Window.partitionBy("region", "band").orderBy(F.desc("col"))
+    beyond = further.rowsBetween(Window.unboundedPreceding, -1)
+    # Every edge starts in a touched cell; sums over the cells east of each one.
+    cells = touched.join(starts, cell, "left").select(*cell, F.lead("col").over(Window.partitionBy("region", "band").orderBy("col")).alias("_next"),
+                                                      F.coalesce(F.sum("_s").over(beyond), F.lit(0)).alias("base"), F.coalesce(F.sum("_p").over(beyond), F.lit(0)).alias("_ending"))
+    cells = materialize(cells, "cells")
+    gaps = cells.filter(F.col("_next") > F.col("col") + 1).withColumn("col", F.explode(F.sequence(F.col("col") + 1, F.col("_next") - 1)))
+    inside = gaps.filter((F.col("_ending") == 0) & (F.col("base") % 2 == 1)).select(*cell)
+    open_ = cells.unionByName(gaps.filter(F.col("_ending") > 0)).select(*cell, "base", "_ending")
+    # Edges that end inside the band count or not by a point's latitude, for all open cells west of them.
+    ending = e.filter("NOT spans").select("region", "band", F.col("west").alias("_west"), *line)
+    more = open_.filter("_ending > 0").select(*cell).join(ending, ["region", "band"]).filter("_west > col").drop("_west")
+    columns = F.greatest(F.coalesce(F.col("_next"), F.col("col") + 1) - F.col("col"), F.lit(1))
+    rows = (e.agg(F.sum(F.col("east") - F.col("west") + 1)).first()[0] or 0) + (cells.agg(F.sum(columns * (1 + F.col("_ending")))).first()[0] or 0)
+    return inside, open_.drop("_ending"), own.unionByName(more.select(*own.columns)), rows
+
+
 def points_in_regions(points: DataFrame, vertices: DataFrame, band_degrees: float = 0.25,
                       key: str = "row_id") -> DataFrame:
     """``(row_id, region)`` pairs by ray-crossing parity.
 
-    Edges are listed under every latitude band they cross, so points meet only the edges of their band.
+    Points of a cell inside a region need no edge; those of an open cell meet the edges of their cell only.
     """
-    e = polygon_edges(vertices).filter(F.col("y1") != F.col("y2"))
-    lo, hi = F.least("y1", "y2"), F.greatest("y1", "y2")
-    e = materialize(e.withColumn(
-        "band", F.explode(F.sequence(F.floor(lo / band_degrees), F.floor(hi / band_degrees)))), "edges")
-    p = points.select(key, "latitude", "longitude", F.floor(F.col("latitude") / band_degrees).alias("band"))
-    small = is_small(e, BROADCAST_ROWS)
-    box = e.groupBy("band").agg(F.max(F.greatest("x1", "x2")).alias("_east"), F.min(F.least("x1", "x2")).alias("_west"))
-    p = p.join(F.broadcast(box) if small else box, "band").filter(
-        F.col("longitude").between(F.col("_west"), F.col("_east")))
+    inside, open_, edges, rows = cell_cover(vertices, band_degrees)
+    inside, open_, edges = (F.broadcast(t) if rows <= BROADCAST_ROWS else t for t in (inside, open_, edges))
+    p = points.select(key, "latitude", "longitude", F.floor(F.col("latitude") / band_degrees).alias("band"), F.floor(F.col("longitude") / band_degrees).alias("col"))
     straddles = (F.col("y1") > F.col("latitude")) != (F.col("y2") > F.col("latitude"))
     x_at = (F.col("x2") - F.col("x1")) * (F.col("latitude") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")
-    hits = p.join(F.broadcast(e) if small else e, "band").filter(straddles & (F.col("longitude") < x_at))
-    return (hits.groupBy(key, "region").agg(F.count(F.lit(1)).alias("_n"))
-            .filter(F.col("_n") % 2 == 1).drop("_n"))
+    asked = p.join(open_, ["band", "col"])
+    met = asked.join(edges.withColumnsRenamed({"region": "_r", "band": "_b", "col": "_c"}), (F.col("region") == F.col("_r")) & (F.col("band") == F.col("_b"))
+                     & (F.col("col") == F.col("_c")) & straddles & (F.col("longitude") < x_at), "left")
+    odd = met.groupBy(key, "region").agg(((F.max("base") + F.count("_r")) % 2 == 1).alias("_in")).filter("_in").select(key, "region")
+    return p.join(inside, ["band", "col"]).select(key, "region").unionByName(odd)
 
 
 def sample_region(pixels: DataFrame, vertices: DataFrame, key: str = "row_id") -> DataFrame:

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
@@ -59,3 +60,32 @@ def test_stack_loses_pixels_without_layer(spark):
 def test_first_image(spark):
     o = obs(spark, [(1, "2024-01-02T00:00:00", "p", 2.0), (1, "2024-01-01T00:00:00", "p", 7.0), (1, "2023-01-01T00:00:00", "p", 9.0)])
     assert composites.first_image(o, "2024-01-01", "2025-01-01").first()["value"] == 7.0
+
+
+def test_cells_give_the_parity_of_all_edges(spark):
+    """Ragged rings with holes, a ring smaller than a cell, points on and off the grid lines."""
+    import math
+    rnd = random.Random(6)
+
+    def ring(region, k, x, y, r, n, rough=0.3):
+        return [(region, k, i, x + r * (1 + rough * rnd.uniform(-1, 1)) * math.cos(2 * math.pi * i / n), y + r * (1 + rough * rnd.uniform(-1, 1)) * math.sin(2 * math.pi * i / n))
+                for i in range(n)]
+    rings = ring("a", 0, 0.0, 0.0, 3.0, 60) + ring("a", 1, 0.2, -0.3, 1.0, 12) + ring("b", 0, 2.0, 1.0, 1.5, 300, 0.05) + ring("c", 0, 0.11, 0.12, 0.05, 5)
+    rings += [("d", 0, i, x, y) for i, (x, y) in enumerate([(-4.0, -1.0), (4.0, -1.0), (4.0, 0.5), (-4.0, 0.5)])]
+    pts = [(i, rnd.uniform(-4, 4), rnd.uniform(-5, 5)) for i in range(3000)] + [(5000 + i, 0.25 * (i % 20) - 2.5, 0.25 * (i // 20) - 2.5) for i in range(400)]
+    edges = []
+    for name, k in {(r[0], r[1]) for r in rings}:
+        own = [(r[3], r[4]) for r in rings if (r[0], r[1]) == (name, k)]
+        edges += [(name, *a, *b) for a, b in zip(own, own[1:] + own[:1])]
+    want = set()
+    for i, lat, lon in pts:
+        for name in "abcd":
+            hits = sum(1 for r, x1, y1, x2, y2 in edges if r == name and (y1 > lat) != (y2 > lat) and lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1)
+            want |= {(i, name)} if hits % 2 else set()
+    vertices = spark.createDataFrame(rings, "region string, ring int, seq int, lon double, lat double")
+    points = spark.createDataFrame(pts, "row_id long, latitude double, longitude double")
+    for size in (0.25, 1.0):
+        assert {tuple(r) for r in composites.points_in_regions(points, vertices, size).collect()} == want
+    inside, open_, edges, rows = composites.cell_cover(vertices, 0.25)
+    assert max(t.count() for t in (inside, open_, edges)) <= rows
+    assert inside.count() > 100 and edges.groupBy("region", "band", "col").count().agg({"count": "max"}).first()[0] < 120
