@@ -1,13 +1,14 @@
 """Readers and writers of sample, observation, prediction and report tables."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from emberline.config import Settings
 from emberline.operators.clean import drop_configured
-from emberline.operators.scan import HOT_ROWS, row_rank
-from emberline.storage import by_partition
+from emberline.operators.joins import is_small
+from emberline.operators.scan import HOT_ROWS, row_rank, running_totals
+from emberline.storage import by_partition, materialize
 
 OBS_SCHEMA = "dataset string, pixel_id long, lat double, lon double, ts timestamp, band string, value double"
 
@@ -15,14 +16,19 @@ OBS_SCHEMA = "dataset string, pixel_id long, lat double, lon double, ts timestam
 CSV = {"header": True, "quote": '"', "escape": '"'}
 
 
+def origin() -> list[Column]:
+    """Where a row of a scan comes from: file, input split, and its place among the rows of its task."""
+    return [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__at")]
+
+
 def csv_header(spark: SparkSession, path: str) -> list[str]:
     """Column names from the first line; raises when the path does not exist."""
     return spark.read.options(**CSV).csv(path).columns
 
 
-def with_found_types(df: DataFrame) -> DataFrame:
+def with_found_types(df: DataFrame, skip: tuple[str, ...] = ()) -> DataFrame:
     """Text columns as integers or numbers where every value parses, in one pass; all others stay text."""
-    cols = [n for n, t in df.dtypes if t == "string"]
+    cols = [n for n, t in df.dtypes if t == "string" and n not in skip]
     if not cols:
         return df
 
@@ -45,17 +51,30 @@ def load_samples(spark: SparkSession, path: str, settings: Settings = Settings()
 
     Doubled quotes inside quoted fields are read as quotes. With a ``schema`` the file is read once, and files whose header
     differs from it are refused. Without, columns are typed by their values, so that dirty numbers such as ``[0.5]`` stay text
-    for the cleaning step. Added ids follow file order, with gaps between input splits.
+    for the cleaning step. Added ids number the rows 0, 1, 2, ... through the files in path order, however they are split.
     """
     names = csv_header(spark, path)
     reader = spark.read.options(**CSV, enforceSchema=False)
     df = reader.schema(schema or ", ".join(f"`{n}` string" for n in names)).csv(path)
-    df = drop_configured(df, settings)
+    if "row_id" in df.columns:
+        df = drop_configured(df, settings)
+        return nan_to_null(with_found_types(df) if schema is None else df)
+    df = drop_configured(df.select("*", *origin()), settings)
     if schema is None:
-        df = with_found_types(df)
-    if "row_id" not in df.columns:
-        df = df.select(F.monotonically_increasing_id().alias("row_id"), "*")
-    return nan_to_null(df)
+        df = with_found_types(df, skip=("__file",))
+    return nan_to_null(file_order_ids(df))
+
+
+def file_order_ids(df: DataFrame) -> DataFrame:
+    """``row_id`` by file and line, from the ``origin`` columns of a scan. A first pass counts the rows of every input split; a row's id
+    is the number of rows in the splits before its own plus its place there."""
+    splits = df.groupBy("__file", "__block").agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))
+    splits = materialize(splits, "splits")
+    before = running_totals(splits, [], [F.col("__file"), F.col("__block")], {"__upto": F.col("__n")}, bound=splits)
+    before = before.select("__file", "__block", (F.col("__upto") - F.col("__n") - F.col("__first")).alias("__shift"))
+    before = materialize(before, "shifts")
+    out = df.join(F.broadcast(before) if is_small(before) else before, ["__file", "__block"])
+    return out.select((F.col("__at") + F.col("__shift")).alias("row_id"), *[F.col(f"`{c}`") for c in df.columns if c not in ("__file", "__block", "__at")])
 
 
 def dense_row_ids(df: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:

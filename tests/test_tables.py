@@ -58,3 +58,22 @@ def test_period_samples_go_into_training(spark, tmp_path):
     settings = replace(Settings(), eps_km=3000.0, min_samples=1, min_macro_rows=1, min_cluster_rows=1, min_zone_rows=1)
     got = training.train_all(rows, str(tmp_path / "run"), settings, k=2, balance=False, oof=False, attributions=False)
     assert got.count() >= 1 and got.filter("status = 'FAILED'").count() == 0
+
+
+def test_row_ids_follow_file_order_at_any_split_size(spark, tmp_path):
+    want, n = [], 0
+    for name, rows in (("a.csv", 700), ("b.csv", 0), ("c.csv", 1), ("d.csv", 900)):
+        lines = [f"{name}-{i},{i}" for i in range(rows)]
+        (tmp_path / name).write_text("\n".join(["place,v", *lines]) + "\n")
+        want += [line.split(",")[0] for line in lines]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        for size, cost in (("1000", "10"), ("3777", "4000000"), ("128m", "4m")):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", cost)
+            df = tables.load_samples(spark, str(tmp_path))
+            assert df.columns[0] == "row_id" and [r.place for r in df.orderBy("row_id").collect()] == want
+            assert [r.row_id for r in df.orderBy("row_id").collect()] == list(range(len(want)))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", old[1])
