@@ -34,6 +34,29 @@ def _window_hashes(prefix: list[int], power: list[int], size: int, free: np.ndar
             yield i - size + 1, (prefix[i + 1] - prefix[i + 1 - size] * power[size]) % MOD
 
 
+def _free_runs(free: np.ndarray) -> list[int]:
+    """Free words from each place on."""
+    out, run = [0] * len(free), 0
+    for i in range(len(free) - 1, -1, -1):
+        run = run + 1 if free[i] else 0
+        out[i] = run
+    return out
+
+
+def _common(item: list[int], doc: list[int], a: int, b: int, most: int) -> int:
+    """Length of the common stretch from ``a`` and ``b`` on, by halving over whole slices."""
+    if item[a:a + most] == doc[b:b + most]:
+        return most
+    low = 0
+    while most - low > 1:
+        mid = (low + most) // 2
+        if item[a + low:a + mid] == doc[b + low:b + mid]:
+            low = mid
+        else:
+            most = mid
+    return low
+
+
 def tiles(item: list[int], doc: list[int], min_match: int) -> list[tuple[int, int, int]]:
     """Greedy tiling: (start in item, start in doc, length), non-overlapping on both sides, longest first."""
     if not item or not doc:
@@ -50,19 +73,20 @@ def tiles(item: list[int], doc: list[int], min_match: int) -> list[tuple[int, in
     free_i, free_d = np.ones(len(item), bool), np.ones(len(doc), bool)
     out, size = [], max(min_match, min(20, len(item)))
     while True:
-        table: dict[int, list[int]] = {}
+        # Starts by the hash of their window and the free word before: a start that continues the document's own word before is
+        # part of a match further left, so in repetitive texts whole groups are passed over at once.
+        table: dict[int, dict[int | None, list[int]]] = {}
         for a, h in _window_hashes(prefixes[0], power, size, free_i):
-            table.setdefault(h, []).append(a)
+            table.setdefault(h, {}).setdefault(item[a - 1] if a and free_i[a - 1] else None, []).append(a)
         found: dict[int, list[tuple[int, int]]] = {}
+        left_i, left_d = _free_runs(free_i), _free_runs(free_d)
         for b, h in _window_hashes(prefixes[1], power, size, free_d) if table else ():
-            for a in table.get(h, ()):
-                if a and b and free_i[a - 1] and free_d[b - 1] and item[a - 1] == doc[b - 1]:
-                    continue  # part of a match that starts further left
-                k = 0
-                while a + k < len(item) and b + k < len(doc) and item[a + k] == doc[b + k] and free_i[a + k] and free_d[b + k]:
-                    k += 1
-                if k >= size:
-                    found.setdefault(k, []).append((a, b))
+            before = doc[b - 1] if b and free_d[b - 1] else None
+            for last, starts in table.get(h, {}).items():
+                for a in starts if last is None or last != before else ():
+                    k = _common(item, doc, a, b, min(left_i[a], left_d[b]))
+                    if k >= size:
+                        found.setdefault(k, []).append((a, b))
         longest = max(found, default=0)
         if longest >= 2 * size:
             size = longest
@@ -102,7 +126,10 @@ class Items:
             h = np.concatenate([p[0] for p in parts])
             owner = np.concatenate([np.full(len(p[0]), p[1]) for p in parts])
             order = np.lexsort((owner, h))
-            self.index[k] = h[order], owner[order]
+            h, owner = h[order], owner[order]
+            # A seed that an item repeats points to the item once.
+            new = np.append(True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1]))
+            self.index[k] = h[new], owner[new]
 
 
 def seed_hits(words: np.ndarray, ends: np.ndarray, index: dict[int, tuple[np.ndarray, np.ndarray]]):
@@ -237,7 +264,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of all documents that are not contaminated, with all their columns."""
-    bad = materialize(matches(docs, benchmark, **options).select(F.col("doc_id").alias("_bad")).distinct(), "bad")
+    """The rows of all documents that are not contaminated, with all their columns.
+
+    Rows are decided by their text, so a contaminated row goes whatever its id is, null and repeated ones too, and no other row
+    goes for having its id. Null and empty texts stay; an empty table gives an empty result.
+    """
+    own = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    texts = docs.select(own.alias("doc_id"), "text")
+    bad = materialize(matches(texts, benchmark, **options).select(F.col("doc_id").alias("_bad")).distinct(), "bad")
     side = F.broadcast(bad) if is_small(bad) else bad
-    return docs.join(side, docs.doc_id.cast("long") == side._bad, "left_anti")
+    return docs.join(side, own == side._bad, "left_anti")

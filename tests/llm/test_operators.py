@@ -385,3 +385,27 @@ def test_pipeline_stages(spark):
         before = set(after)
     packed = corpus_pipeline.run(spark, SF)
     assert {r.doc_id for r in packed.collect()} == before
+
+
+def test_leaks_are_decided_by_text(spark):
+    leak = "one two three four five six seven eight nine ten eleven"
+    bench = spark.createDataFrame([(1, leak)], "item_id long, text string")
+    rows = [(None, f"x {leak} y"), (3, leak), (3, "a clean text with an id that a leaked one has"), (None, "clean too"), (5, None), (6, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_bad", F.lit("x"))
+    kept = decontaminate.clean(docs, bench)
+    assert kept.columns == docs.columns
+    assert sorted(str((r.doc_id, r.text)) for r in kept.collect()) == sorted(str(r) for r in rows if leak not in (r[1] or ""))
+    assert decontaminate.clean(docs.limit(0), bench).count() == 0 and decontaminate.clean(docs, bench.limit(0)).count() == len(rows)
+
+
+def test_very_repetitive_texts_are_tiled_in_seconds():
+    import time
+    import tracemalloc
+    items = decontaminate.Items([7, 8], ["same " * 400, "same same other words here and there"], 5)
+    words, ends = decontaminate.word_hashes(pa.array(["same " * 20_000, "same " * 6 + "other words here and there"]))
+    tracemalloc.start()
+    start = time.monotonic()
+    got = {(d, i): c for d, i, _, c, _, _ in decontaminate._tile_texts(items, [1, 2], words, ends)}
+    took, peak = time.monotonic() - start, tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got[1, 7] == 400 and got[2, 8] == 7 and took < 20 and peak < 300e6, (took, peak)
