@@ -63,10 +63,23 @@ def global_reports(registry: DataFrame, centroids: DataFrame, holdout: DataFrame
         "performance_summary": summary, "metric_ranges": metric_ranges(summary),
         "meta_correlation": meta_correlation(summary), "global_confusion_matrix": global_confusion(summary),
         "probability_histogram": probability_histogram(holdout), "sample_density": density_grid(samples, cell, ["ecozone"]),
+        "zone_report": zone_report(summary),
     }
 
 
-def zone_report(registry: DataFrame, status: DataFrame) -> DataFrame:
-    """Classifier, regressor and screening figures of each zone side by side."""
-    extra = [c for c in status.columns if c not in registry.columns]
-    return registry.join(status.select("ecozone", *extra), "ecozone", "left")
+def zone_metadata(registry: DataFrame) -> dict[str, DataFrame]:
+    """What is known of each zone's classifier and regressor, one row per zone that has one."""
+    clf = ["thr", "pr_auc", "auc", "f2", "f1", "accuracy", "precision", "recall", "tn", "fp", "fn", "tp", "cv_pr_auc_mean", "cv_pr_auc_std", "clf_params", "message"]
+    reg = ["best_model", "reg_params", "r2_log_space", "mse_raw", "rmse_raw", "mae_raw", "asymmetric_underestimation_cost", "catastrophic_rate", "catastrophic_miss_count"]
+    return {kind: registry.filter(flag).select("ecozone", *[c for c in cols if c in registry.columns])
+            for kind, flag, cols in (("classifier", "has_clf", clf), ("regressor", "has_reg", reg))}
+
+
+# The figures of a zone's report, by section.
+REPORT = {"classifier": ["pr_auc", "f2", "accuracy", "precision", "recall", "cv_mean", "cv_std", "tn", "fp", "fn", "tp"], "regressor": ["rmse", "r2"]}
+
+
+def zone_report(summary: DataFrame) -> DataFrame:
+    """``(zone, section, field, value)``: the figures of each zone's classifier and regressor, missing ones left out."""
+    parts = [F.struct(F.lit(s).alias("section"), F.lit(c).alias("field"), F.col(c).cast("double").alias("value")) for s, cols in REPORT.items() for c in cols]
+    return summary.select("zone", F.explode(F.array(*parts)).alias("_r")).select("zone", "_r.*").filter("value is not null")

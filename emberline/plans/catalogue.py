@@ -862,6 +862,15 @@ def zone_summary(spark, sf):
     return rounded(_summary(spark, sf))
 
 
+REPORT_SQL = " union all ".join(f"select zone, '{s}' as section, '{c}' as field, round({c}::double, 6) as value from summary where {c} is not null"
+                                for s, cols in reports.REPORT.items() for c in cols)
+
+
+@query("zone_report", f"with {SUMMARY_CTE} {REPORT_SQL}")
+def zone_report(spark, sf):
+    return rounded(reports.zone_report(_summary(spark, sf)))
+
+
 @query("global_confusion", f"""with k as (select tn, fp, fn, tp from ({SWEEP_SQL}))
   select 'Actual 0' as actual, sum(tn)::bigint as pred_0, sum(fp)::bigint as pred_1 from k
   union all select 'Actual 1', sum(fn)::bigint, sum(tp)::bigint from k""")

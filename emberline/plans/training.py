@@ -177,6 +177,8 @@ def train_zones(zoned: DataFrame, out: str, settings: Settings = Settings(), fre
     store.save_registry(entries, out, fresh=fresh and zones is None)
     write_zone_json(zoning.screen_zones(zoning.zone_profile(zoned, settings), settings).join(
         entries.select("ecozone"), "ecozone", "left_semi"), f"{out}/zone_status")
+    for kind, table in reports.zone_metadata(entries).items():
+        write_zone_json(table, f"{out}/zone_metadata/{kind}")
     return store.load_registry(spark, out)
 
 

@@ -35,7 +35,7 @@ def save_registry(entries: DataFrame, out: str, fresh: bool = False) -> None:
 
 
 # Folders that a training run writes per zone, besides the registry.
-RUN_FOLDERS = ("models", "nodes", "prep", "holdout", "holdout_reg", "oof", "importance", "drivers", "narrative", "risk", "zone_status")
+RUN_FOLDERS = ("models", "nodes", "prep", "holdout", "holdout_reg", "oof", "importance", "drivers", "narrative", "risk", "zone_status", "zone_metadata")
 
 
 def clear_run(spark: SparkSession, out: str) -> None:

@@ -142,6 +142,11 @@ def test_training_writes_everything(spark, trained):
     assert spark.read.parquet(f"{out}/oof").select("prob").filter("prob between 0 and 1").count() > 0
     assert spark.read.parquet(f"{out}/risk").count() == 120
     assert spark.read.json(f"{out}/zone_status").count() == 3
+    meta = {k: spark.read.json(f"{out}/zone_metadata/{k}").collect() for k in ("classifier", "regressor")}
+    assert {x["ecozone"]: x["pr_auc"] for x in meta["classifier"]} == {x["ecozone"]: x["pr_auc"] for x in good}
+    assert {x["ecozone"]: x["rmse_raw"] for x in meta["regressor"]} == {x["ecozone"]: x["rmse_raw"] for x in good}
+    report = spark.read.option("header", True).csv(f"{out}/global/zone_report")
+    assert report.filter("section = 'regressor' AND field = 'rmse'").count() == 2 and report.filter("field = 'tn'").count() == 3
 
 
 def test_prediction(spark, trained, samples, tmp_path):
