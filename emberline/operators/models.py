@@ -97,8 +97,10 @@ def run_parallel(jobs: list, workers: int, pools: list[str] | None = None) -> li
         finally:
             if pool:
                 spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
+    # A target of its own for every job: threads of one target would share, and overwrite, one set of properties.
     with ThreadPoolExecutor(max(1, workers)) as threads:
-        return list(threads.map(inheritable_thread_target(spark)(guarded), jobs, pools or [None] * len(jobs)))
+        running = [threads.submit(inheritable_thread_target(spark)(guarded), j, p) for j, p in zip(jobs, pools or [None] * len(jobs))]
+        return [r.result() for r in running]
 
 
 def fold_scores(params: dict, train: DataFrame, folds: int, repeats: int, seed: int, workers: int = 4) -> DataFrame:

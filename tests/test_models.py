@@ -183,7 +183,11 @@ def test_keyed_scoring_equals_the_saved_pipelines(spark, trained, samples):
 
 
 def test_jobs_of_a_pool_run_under_its_name(spark):
-    names = lambda: spark.sparkContext.getLocalProperty("spark.scheduler.pool")
+    import time
+
+    def names():
+        time.sleep(0.3)
+        return spark.sparkContext.getLocalProperty("spark.scheduler.pool")
     assert models.run_parallel([names, lambda: 1 / 0, names], 2, ["a", "b", "c"])[::2] == ["a", "c"]
     assert models.run_parallel([names], 1) == [None]
 
