@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from emberline import storage
 from emberline.operators import neighbours, resample
 
 
@@ -132,3 +133,20 @@ def test_target_rebalance(spark):
     assert out.select("row_id").distinct().count() == 400
     same = d.filter("row_id >= 10")
     assert resample.rebalance_target(same).count() == same.count()
+
+
+def test_many_dimensions_write_in_proportion_to_the_rows(spark, tmp_path, monkeypatch):
+    """Nothing is written per row and visited block where pruning is weak, and the nearest rows are the same."""
+    n, width = 6000, 64
+    x = np.random.default_rng(3).normal(0, 1, (n, width))
+    x[-200:] = x[:200]
+    df = spark.createDataFrame([(i, [float(v) for v in r], i % 2) for i, r in enumerate(x)], "row_id long, features array<double>, label int")
+    monkeypatch.setattr(storage, "scratch_root", lambda spark: str(tmp_path))
+    got = {}
+    for r in neighbours.nearest_rows(df, df, 3, block_rows=256).collect():
+        got.setdefault(r.row_id, {})[r.place] = r.neighbour
+    assert sum(f.stat().st_size for f in tmp_path.rglob("*.parquet")) < 8 * 8 * n * width
+    for i in [*range(0, n, 37), *range(n - 200, n, 7)]:
+        d = np.sqrt(((x - x[i]) ** 2).sum(1))
+        d[i] = np.inf
+        assert [got[i][p] for p in range(3)] == list(np.lexsort((np.arange(n), d))[:3])
