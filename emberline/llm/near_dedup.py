@@ -25,6 +25,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 6
 # Buckets up to this size are compared in full; larger ones by rounds of pivots, many more each round.
 SMALL, PIVOTS = 8, 2
+# Shingles fall into so many groups by their hash; what two documents can have in common is bounded group by group.
+GROUPS = 64
 # Bytes of text that a task works on at a time.
 BLOCK = 3 << 20
 
@@ -152,13 +154,29 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
              pa.array(c[at])], names=["shingle", "docs", "node", "weight"])
 
 
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How much of each document's multiset falls into each group of shingles."""
+    for t in blocks(batches, BLOCK):
+        sh, ends = shingles(*word_hashes(column(t, "text")), SHINGLE)
+        doc = np.repeat(np.arange(t.num_rows), np.diff(ends))
+        count = np.bincount(doc * GROUPS + (sh % np.uint64(GROUPS)).astype(np.int64), minlength=t.num_rows * GROUPS)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(t.num_rows + 1) * GROUPS, pa.int32()), pa.array(count.astype(np.int32)))
+        yield pa.RecordBatch.from_arrays([column(t, "doc_id"), lists], names=["node", "groups"])
+
+
 def _shared(opened: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, c): how much of each open document's multiset also occurs in another open document."""
+    """(node, c, g): how much of each open document's multiset also occurs in another open document, in all and by group."""
     nodes = materialize(opened.groupBy("node").agg(F.first("n").alias("n")), "open")
-    cut = (texts.join(nodes.select(F.col("node").alias("doc_id")), "doc_id").mapInArrow(_cut, "shingle long, docs long, node long, weight long")
+    own = texts.join(nodes.select(F.col("node").alias("doc_id")), "doc_id")
+    cut = (own.mapInArrow(_cut, "shingle long, docs long, node long, weight long")
            .groupBy("shingle").agg(F.sum("docs").alias("docs"), F.min("node").alias("node"), F.max("weight").alias("weight")))
-    alone = cut.filter("docs = 1").groupBy("node").agg(F.sum("weight").alias("alone"))
-    return materialize(nodes.join(alone, "node", "left").select("node", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("c")), "shared")
+    # GROUPS is a power of two, so the signed hash falls into the same group.
+    alone = cut.filter("docs = 1").groupBy("node", F.pmod("shingle", F.lit(GROUPS)).alias("at")).agg(F.sum("weight").alias("alone"))
+    alone = alone.groupBy("node").agg(F.sum("alone").alias("alone"), F.map_from_entries(F.collect_list(F.struct("at", "alone"))).alias("by"))
+    left = F.transform("groups", lambda n, i: (n - F.coalesce(F.element_at("by", i.cast("long")), F.lit(0))).cast("int"))
+    spread = own.mapInArrow(_grouped, "node long, groups array<int>")
+    out = nodes.join(spread, "node").join(alone, "node", "left")
+    return materialize(out.select("node", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("c"), F.when(F.col("by").isNull(), F.col("groups")).otherwise(left).alias("g")), "shared")
 
 
 def _stars(links: DataFrame) -> DataFrame:
@@ -218,21 +236,24 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, small: int = SMALL,
                  .withColumn("r", F.row_number().over(order)).filter(F.col("r") <= pivots).drop("r"))
         few = materialize(large.unionByName(part.filter((F.col("k") <= small) & (F.col("root") != F.col("main")))), "pivots")
         # A pair that meets in several buckets is made in one of them, the first that its pivot serves (32 at most).
+        bounds = comp is not None  # by group, from the second round on
         p = few.join(few.groupBy("node").agg(F.collect_set("bucket").alias("pb")), "node").select(
-            "bucket", "pb", F.col("node").alias("p"), F.col("n").alias("pn"), F.col("c").alias("pc"), F.col("root").alias("pr"))
+            "bucket", "pb", F.col("node").alias("p"), F.col("n").alias("pn"), F.col("c").alias("pc"), F.col("root").alias("pr"), *[F.col("g").alias("pg")] * bounds)
         w = part.join(part.groupBy("node").agg(F.collect_set("bucket").alias("vb")), "node").select(
-            "bucket", "vb", F.col("node").alias("v"), F.col("n").alias("vn"), F.col("c").alias("vc"), F.col("root").alias("vr"))
+            "bucket", "vb", F.col("node").alias("v"), F.col("n").alias("vn"), F.col("c").alias("vc"), F.col("root").alias("vr"), *[F.col("g").alias("vg")] * bounds)
         # Similar multisets of sizes m and n have at least need * (m + n) in common, which neither can exceed.
         w = w.withColumnRenamed("bucket", "_bucket")
-        pairs = p.join(w, (F.col("bucket") == F.col("_bucket")) & (F.col("pr") != F.col("vr"))
-                       & (F.least("pc", "vc") >= need * (F.col("pn") + F.col("vn")))
+        fit = F.least("pc", "vc") >= need * (F.col("pn") + F.col("vn"))
+        if bounds:
+            fit &= F.aggregate(F.zip_with("pg", "vg", lambda x, y: F.least(x, y)), F.lit(0), lambda t, x: t + x) >= need * (F.col("pn") + F.col("vn"))
+        pairs = p.join(w, (F.col("bucket") == F.col("_bucket")) & (F.col("pr") != F.col("vr")) & fit
                        & (F.array_min(F.array_intersect("pb", "vb")) == F.col("bucket")))
         fresh = pairs.groupBy(F.least("p", "v").alias("a"), F.greatest("p", "v").alias("b")).agg(F.min("p").alias("p")).join(done, ["a", "b"], "left_anti")
         left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
         right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
         checked = materialize(fresh.join(right, "b").join(left, "a").mapInArrow(_verify, "a long, b long, p long, d double"), "checked")
         done = materialize(done.unionByName(checked), "done")
-        rest = part.filter(F.col("k") > small).select("bucket", "node", "n", "c", "k", "rank").join(few.select("bucket", "node"), ["bucket", "node"], "left_anti")
+        rest = part.filter(F.col("k") > small).select("bucket", "node", "n", "c", "k", "rank", *["g"] * bounds).join(few.select("bucket", "node"), ["bucket", "node"], "left_anti")
         opened = materialize(rest, "buckets")
         if comp is None and not opened.isEmpty():  # what only one of the open documents holds cannot be shared
             opened = opened.drop("c").join(_shared(opened, texts), "node")

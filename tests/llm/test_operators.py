@@ -409,3 +409,32 @@ def test_very_repetitive_texts_are_tiled_in_seconds():
     took, peak = time.monotonic() - start, tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert got[1, 7] == 400 and got[2, 8] == 7 and took < 20 and peak < 300e6, (took, peak)
+
+
+def test_near_pairs_that_cannot_be_similar_are_not_read(spark, monkeypatch):
+    """Many copies of one text with different changes share bands, but few are similar: bounds by shingle group rule out the rest."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(300):
+        words = [f"w{j}" for j in range(200)]
+        for at in rng.choice(200, 4, replace=False):
+            words[at] = f"x{i}y{at}"
+        rows.append((i, " ".join(words)))
+    read, write = [], near_dedup.materialize
+
+    def kept(df, name="step"):
+        out = write(df, name)
+        if name == "checked":
+            read.append(out.count())
+        return out
+    monkeypatch.setattr(near_dedup, "materialize", kept)
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = [{tuple(t.split()[k:k + 5]) for k in range(196)} for _, t in rows]
+    root = list(range(300))
+    for a in range(300):
+        for b in range(a):
+            if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8 and root[a] != root[b]:
+                lo, hi = sorted((root[a], root[b]))
+                root = [lo if r == hi else r for r in root]
+    assert got == dict(enumerate(root))
+    assert len(read) > 1 and sum(read[1:]) < 2000
