@@ -1,4 +1,5 @@
 """Sample files as the exports write them, and the warm-up's choice of rows."""
+import time
 from dataclasses import replace
 
 from pyspark.sql import functions as F
@@ -77,3 +78,27 @@ def test_row_ids_follow_file_order_at_any_split_size(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old[0])
         spark.conf.set("spark.sql.files.openCostInBytes", old[1])
+
+
+def test_types_of_odd_texts(spark):
+    cases = {"bigint": ["12", " -7 ", "+3\t", None], "double": ["12", "2.5", ".5", "-1e3", " nan ", "Infinity", "inf", "9223372036854775808", "1d"],
+             "string": ["12", "1 2"], "none": [None, None], "dirty": ["[0.5]", "1"], "word": ["Never"], "blank": ["1", ""]}
+    n = max(map(len, cases.values()))
+    rows = list(zip(*[(v * n)[:n] for v in cases.values()]))
+    df = spark.createDataFrame(rows, ", ".join(f"`{c}` string" for c in cases))
+    want = {"bigint": "bigint", "double": "double", "none": "bigint"}
+    assert dict(tables.with_found_types(df).dtypes) == {c: want.get(c, "string") for c in cases}
+    assert {t for _, t in tables.with_found_types(df.limit(0)).dtypes} == {"string"}
+
+
+def test_texts_that_are_no_whole_numbers_are_typed_as_fast(spark, tmp_path):
+    def seconds(text):
+        path = f"{tmp_path}/{len(text)}"
+        spark.range(1_500_000).select(*[F.concat(F.lit(text), F.col("id").cast("string")).alias(f"c{i}") for i in range(6)]).write.parquet(path)
+        df = spark.read.parquet(path)
+        tables.with_found_types(df.limit(1000))
+        t0 = time.monotonic()
+        tables.with_found_types(df)
+        return time.monotonic() - t0
+    whole, real, word = seconds("1"), seconds("1."), seconds("abc")
+    assert max(real, word) < 2 * whole + 1
