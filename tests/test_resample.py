@@ -150,3 +150,28 @@ def test_many_dimensions_write_in_proportion_to_the_rows(spark, tmp_path, monkey
         d = np.sqrt(((x - x[i]) ** 2).sum(1))
         d[i] = np.inf
         assert [got[i][p] for p in range(3)] == list(np.lexsort((np.arange(n), d))[:3])
+
+
+def test_features_are_written_few_times(spark, tmp_path, monkeypatch):
+    """Two tables of the features, in single precision where it is enough."""
+    n, width = 6000, 64
+    x = np.random.default_rng(5).normal(0, 1, (n, width)).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(v) for v in r], i % 2) for i, r in enumerate(x)], "row_id long, features array<double>, label int")
+    monkeypatch.setattr(storage, "scratch_root", lambda spark: str(tmp_path))
+    assert neighbours.nearest_rows(df, df, 3, block_rows=256).count() == 3 * n
+    assert sum(f.stat().st_size for f in tmp_path.rglob("*.parquet")) < 2.5 * 4 * n * width
+
+
+def test_loose_bounds_do_not_swell_a_task():
+    import tracemalloc
+
+    import pyarrow as pa
+    rng, n, width = np.random.default_rng(6), 2048, 64
+    x, y = rng.normal(0, 1, (n, width)), rng.normal(0, 1, (n, width))
+    cols = {"names": np.arange(n), "bounds": np.full(n, 1e6), "rows": x, "ids": np.arange(n), "kinds": np.zeros(n, np.int32), "refs": y}
+    batch = pa.record_batch([pa.array([c.tobytes()], pa.binary()) for c in cols.values()], list(cols))
+    tracemalloc.start()
+    got = pa.Table.from_batches(neighbours._packs_met(width, 4)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64e6 and got.num_rows == 4 * n
