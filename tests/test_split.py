@@ -112,3 +112,15 @@ def test_a_column_of_very_many_values_trains(spark):
     got = {r.row_id: r for r in model.transform(new).collect()}
     assert [got[i].prediction for i in (1, 2)] == [1.0, 0.0] and got[1].features.size == n + 2
     assert list(got[1].features.indices) == [0, n + 1] and fitted.names[got[2].features.indices[1]] == "c=it's \\ 7"
+
+
+def test_holdout_finds_the_last_rows_without_shuffling_the_table(spark):
+    d = spark.range(30_000).select(F.col("id").alias("row_id"), (F.col("id") % 3 % 2).alias("y"), F.repeat(F.lit("x"), 100).alias("wide"))
+    out = split.stratified_holdout(d, [], "y")
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+    order = lambda i: (((i % 2147483648) * 2654435761 + 42) % 4294967296, i)
+    want = {i for y, n in ((0, 4000), (1, 2000)) for i in sorted((i for i in range(30_000) if i % 3 % 2 == y), key=order)[:n]}
+    assert {r.row_id for r in out.filter("is_test").collect()} == want
+    # Repeated row ids keep the quota.
+    twice = d.withColumn("row_id", F.lit(7))
+    assert split.stratified_holdout(twice, [], "y").filter("is_test").count() == 6000
