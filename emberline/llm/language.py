@@ -14,7 +14,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
-from emberline.llm.words import blocks, bounded_batches, column, tokens
+from emberline.llm.words import bounded_batches, by_block, column, tokens
 from emberline.storage import materialize
 
 BUCKETS = 1 << 15
@@ -23,7 +23,7 @@ MINOR = 0.02
 LETTER = regex.compile(r"\p{L}")
 NOT_LETTERS = regex.compile(r"[^\p{L}]+")
 UNKNOWN = "und"
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 
 
 def trigrams(texts: pa.Array, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -63,12 +63,16 @@ def trigrams(texts: pa.Array, buckets: int = BUCKETS) -> tuple[np.ndarray, np.nd
 def _counts(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
-        for t in blocks(batches, BLOCK):
+
+        def add(t: pa.Table) -> None:
             langs = np.array(column(t, "lang").to_pylist(), object)
             text, bucket, count, _ = trigrams(column(t, "text"), buckets)
             for lang in set(langs):
                 on = (langs == lang)[text]
                 total[lang] = total.get(lang, 0) + np.bincount(bucket[on], count[on], buckets)
+
+        for _ in by_block(batches, BLOCK, add):
+            pass
         for lang, c in total.items():
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(c[at].astype(np.int64))],
@@ -166,7 +170,8 @@ def predict(docs: DataFrame, counts: DataFrame, buckets: int = BUCKETS, steps: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, prob = sent.value
-        for t in blocks(batches, BLOCK):
+
+        def answer(t: pa.Table) -> pa.RecordBatch:
             n = t.num_rows
             text, bucket, count, has = trigrams(column(t, "text"), buckets)
             has = has & bool(names)
@@ -174,11 +179,13 @@ def predict(docs: DataFrame, counts: DataFrame, buckets: int = BUCKETS, steps: i
             best = share.argmax(axis=1)
             langs = [",".join(names[k] for k in np.argsort(-s, kind="stable") if s[k] > 0) if h else "" for s, h in zip(share, has)]
             cols = [column(t, f.name) for f in fields]
-            yield pa.RecordBatch.from_arrays(
+            return pa.RecordBatch.from_arrays(
                 [*cols, pa.array([names[b] if h else UNKNOWN for b, h in zip(best, has)], pa.string()),
                  pa.array(np.where(has, np.clip(share[np.arange(n), best], 0, 1), 0.0)), pa.array(langs, pa.string())],
                 names=[f.name for f in fields] + ["lang_pred", "score", "langs"])
 
+        yield from by_block(batches, BLOCK, answer)
+
     return src.mapInArrow(run, schema)
 
 

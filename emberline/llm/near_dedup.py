@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from emberline.llm.words import blocks, bounded_batches, column, mix, shingles, word_hashes
+from emberline.llm.words import blocks, bounded_batches, by_block, column, mix, shingles, word_hashes
 from emberline.operators.components import connected_components
 from emberline.operators.joins import is_small
 from emberline.storage import materialize
@@ -28,7 +28,7 @@ SMALL, PIVOTS = 8, 2
 # Shingles fall into so many groups by their hash; what two documents can have in common is bounded group by group.
 GROUPS = 64
 # Bytes of text that a task works on at a time.
-BLOCK = 3 << 20
+BLOCK = 1 << 20
 
 GOLD, STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
@@ -88,28 +88,27 @@ def signatures(doc: np.ndarray, sh: np.ndarray, count: np.ndarray, n_docs: int,
 
 
 def _sketch(bands: int, rows: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in blocks(batches, BLOCK):
-            words, ends = word_hashes(column(t, "text"))
-            sh, ends = shingles(words, ends, SHINGLE)
-            doc, s, c = weigh(sh, ends)
-            sig = signatures(doc, s, c, t.num_rows, bands * rows)
-            key = np.zeros((t.num_rows, bands), np.uint64)
-            for b in range(bands):
-                h = np.full(t.num_rows, b + 1, np.uint64)
-                for r in range(rows):
-                    h = mix(h * GOLD + sig[:, b * rows + r])
-                key[:, b] = h
-            one = mix(s * STEP + c.astype(np.uint64))
-            k1, k2 = np.zeros(t.num_rows, np.uint64), np.zeros(t.num_rows, np.uint64)
-            np.add.at(k1, doc, one)
-            np.add.at(k2, doc, mix(one ^ GOLD))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(t.num_rows + 1) * bands, pa.int32()),
-                                             pa.array(key.view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays(
-                [column(t, "doc_id"), pa.array(np.diff(ends)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), lists],
-                names=["doc_id", "n", "k1", "k2", "bands"])
-    return run
+    def sketch(t: pa.Table) -> pa.RecordBatch:
+        words, ends = word_hashes(column(t, "text"))
+        sh, ends = shingles(words, ends, SHINGLE)
+        doc, s, c = weigh(sh, ends)
+        sig = signatures(doc, s, c, t.num_rows, bands * rows)
+        key = np.zeros((t.num_rows, bands), np.uint64)
+        for b in range(bands):
+            h = np.full(t.num_rows, b + 1, np.uint64)
+            for r in range(rows):
+                h = mix(h * GOLD + sig[:, b * rows + r])
+            key[:, b] = h
+        one = mix(s * STEP + c.astype(np.uint64))
+        k1, k2 = np.zeros(t.num_rows, np.uint64), np.zeros(t.num_rows, np.uint64)
+        np.add.at(k1, doc, one)
+        np.add.at(k2, doc, mix(one ^ GOLD))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(t.num_rows + 1) * bands, pa.int32()),
+                                         pa.array(key.view(np.int64).ravel()))
+        return pa.RecordBatch.from_arrays(
+            [column(t, "doc_id"), pa.array(np.diff(ends)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), lists],
+            names=["doc_id", "n", "k1", "k2", "bands"])
+    return lambda batches: by_block(batches, BLOCK, sketch)
 
 
 def overlap(texts: pa.Array, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -132,11 +131,13 @@ def overlap(texts: pa.Array, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for t in blocks(batches, BLOCK):
+    def compare(t: pa.Table) -> pa.RecordBatch:
         enc = pa.concat_arrays([column(t, "text_a").cast(pa.large_string()), column(t, "text_b").cast(pa.large_string())]).dictionary_encode()
         at = enc.indices.to_numpy(zero_copy_only=False)
         j = overlap(enc.dictionary, at[:t.num_rows], at[t.num_rows:])
-        yield pa.RecordBatch.from_arrays([column(t, "a"), column(t, "b"), column(t, "p"), pa.array(1.0 - j)], names=["a", "b", "p", "d"])
+        return pa.RecordBatch.from_arrays([column(t, "a"), column(t, "b"), column(t, "p"), pa.array(1.0 - j)], names=["a", "b", "p", "d"])
+
+    return by_block(batches, BLOCK, compare)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from emberline.llm.words import blocks, bounded_batches, column, spread, tokens
+from emberline.llm.words import blocks, bounded_batches, by_block, column, spread, tokens
 from emberline.storage import materialize
 
 SIZE = 2048
@@ -40,7 +40,8 @@ def tokenizer_path() -> str:
 
 # Plain words: Latin letters, perhaps with closing marks. The tokenizer lower-cases them and cuts them from the marks.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=-@{-~]*)")
-BLOCK = 8 << 20
+# Bytes of text that a task works on at a time.
+BLOCK = 2 << 20
 CACHE = 150_000
 
 
@@ -102,7 +103,8 @@ def _pieces(path: str, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_ids(path)
         task, ranks = TaskContext.get().partitionId(), Counter()
-        for t in blocks(batches, BLOCK):
+
+        def cut(t: pa.Table) -> pa.RecordBatch:
             # The tokenizer drops white space and never joins across it, so every distinct token is encoded once.
             vocab, codes, ends = tokens(column(t, "text"))
             gc.disable()  # half a million short arrays, none in a cycle
@@ -116,8 +118,10 @@ def _pieces(path: str, size: int):
                     out.append((doc, p, start, len(part), zlib.crc32(part.tobytes()), task, ranks[len(part)]))
                     ranks[len(part)] += 1
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)],
-                                             names=["doc_id", "piece", "start", "length", "ids_crc32", "task", "place"])
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)],
+                                              names=["doc_id", "piece", "start", "length", "ids_crc32", "task", "place"])
+
+        yield from by_block(batches, BLOCK, cut)
     return run
 
 
