@@ -99,6 +99,71 @@ def test_search_stops_and_improves(table):
     assert models.search_classifier(table, table, FAST, {"bad": {"rounds": (-5, -5)}}) is None
 
 
+@pytest.mark.parametrize("workers", [1, 4])
+def test_trials_side_by_side_end_like_one_after_the_other(spark, workers):
+    import time
+    rnd = random.Random(5)
+    for case in range(4):
+        scores = [rnd.randint(0, 3 + 4 * case) if rnd.random() < 0.8 else ValueError() for _ in range(24)]
+        best, stale, place = None, 0, -1
+        while stale < 6 and place < 23:
+            place += 1
+            gain = isinstance(scores[place], int) and (best is None or scores[place] > best[1])
+            best, stale = ((place, scores[place]), 0) if gain else (best, stale + 1)
+        started = []
+
+        def trial(i):
+            started.append(i)
+            time.sleep(0.3 if i == 0 and workers > 1 else 0.01 * (i % 3))
+            return scores[i] if isinstance(scores[i], Exception) else (i, scores[i])
+        assert models._search(trial, lambda a, b: a[1] > b[1], replace(FAST, trials=24), workers) == best
+        assert set(started) >= set(range(place + 1)) and (workers > 1 or len(started) == place + 1)
+
+
+def test_a_trial_out_of_reach_is_cancelled(spark):
+    import time
+    ended = []
+
+    def trial(i):
+        time.sleep(1 if i == 0 else 0)
+        try:
+            if i == 6:  # would take hours
+                spark.range(0, 10 ** 14, 1, 2).selectExpr("sum(hash(id))").collect()
+        except Exception as e:
+            ended.append(i)
+            return e
+        return -i
+    # The first trial stays the best, so the sixth is the last one.
+    assert models._search(trial, lambda a, b: a > b, replace(FAST, trials=20), 8) == 0 and ended == [6]
+
+
+def test_search_with_several_workers_gives_the_same_model(table):
+    space, settings = {"forest": {"rounds": (2, 3), "depth": (1, 3)}}, replace(FAST, trials=4)
+    one, four = (models.search_classifier(table, table, replace(settings, trial_workers=n), space) for n in (1, 4))
+    assert one.params == four.params and abs(one.pr_auc - four.pr_auc) < 1e-9 and four.model is not None
+
+
+def test_the_registered_search_runs_all_trials_over_all_families(spark, table, monkeypatch):
+    from emberline.plans import catalogue
+
+    class Fit:
+        def __init__(self, params):
+            self.params = params
+
+        def fit(self, df):
+            return self.params
+    want = [models.draw_params(models.CLASSIFIER_SPACE, i, 42) for i in range(Settings().trials)]
+    seen = []
+    monkeypatch.setattr(catalogue, "_feature_rows", lambda spark, sf: (table, None))
+    monkeypatch.setattr(models, "estimator", lambda params, classifier, seed: seen.append(params) or Fit(params))
+    # Every trial is better than the one before, so none is left out.
+    monkeypatch.setattr(models, "precision_of", lambda model, df: want.index(model) / 100 if model in want else 0.0)
+    monkeypatch.setattr(models, "scored_by", lambda model, df: (model, df))
+    model, rows = catalogue.QUERIES["classifier_search"](spark, "")
+    assert sorted(map(str, seen)) == sorted(map(str, want)) and {p["family"] for p in seen} == set(models.CLASSIFIER_SPACE)
+    assert model == want[-1] and rows.count() == 120
+
+
 def test_too_few_fires(table):
     assert models.select_regressor(table.limit(9), table, FAST) is None
     assert models.select_regressor(table, table.limit(4), FAST) is None
